@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.packing import op6_best_fit_packing
 from pageloom.llm.simhash import op1_simhash
 from pageloom.llm.toxicity import op7_toxicity
@@ -14,10 +15,13 @@ from pageloom.llm.toxicity import op7_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_substring_dedup": OP5_SQL,
+    }
