@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 BITS = 20
 BEGINNING = 5
 CACHE = 300_000
-SAMPLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
+SAMPLED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.BinaryType())])
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -92,8 +92,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(p / (1 - p))))
     n = 1 << BITS
-    in_p = np.bincount(np.concatenate(positive).astype(np.int64), minlength=n) / len(positive)
-    in_u = np.bincount(np.concatenate(unlabelled).astype(np.int64), minlength=n) / len(unlabelled)
+    in_p = np.bincount(np.concatenate(positive), minlength=n) / len(positive)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=n) / len(unlabelled)
     both = (in_p * len(positive) + in_u * len(unlabelled)) / (len(positive) + len(unlabelled))
     z = (in_p - in_u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
     clear = np.flatnonzero(np.abs(z) >= least_z)
@@ -119,7 +119,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({int(k): float(w) for k, w in zip(keep, theta[:-1], strict=True)}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 3000, max_unlabelled: int = 12000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 7000) -> Model:
     """Fit on the bounded samples described above; only they reach the driver."""
     spark = docs.sparkSession
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(folds))
@@ -134,11 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Features()
         for part in slices(batches):
-            yield arrow_batch(SAMPLED, [part.column(0), [sorted(text_features(t, known)) for t in part.column(1).to_pylist()]])
+            yield arrow_batch(SAMPLED, [part.column(0), [np.array(sorted(text_features(t, known)), "<i4").tobytes() for t in part.column(1).to_pylist()]])
 
     # at most max_positive + max_unlabelled ids are broadcast; a repeated doc_id counts once
-    rows = id_and_text(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, SAMPLED).groupBy("doc_id").agg(F.first("features").alias("features")).toPandas().sort_values("doc_id")
-    found = {i: np.asarray(f, np.int64) for i, f in zip(rows["doc_id"], rows["features"], strict=True)}
+    rows = id_and_text(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, SAMPLED).groupBy("doc_id").agg(F.min("features").alias("features")).collect()
+    found = {r["doc_id"]: np.frombuffer(r["features"], "<i4") for r in rows}
     return fit([found[i] for i in sorted(yes & found.keys())], [found[i] for i in sorted(other & found.keys())], prior)
 
 
