@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.packing import op6_best_fit_packing
 from pageloom.llm.simhash import op1_simhash
+from pageloom.llm.suffix import op2_suffix_array_dedup
 from pageloom.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
