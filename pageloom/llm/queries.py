@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.packing import op6_best_fit_packing
 from pageloom.llm.simhash import op1_simhash
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
@@ -25,5 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": OP3_SQL,
         "op5_substring_dedup": OP5_SQL,
     }
