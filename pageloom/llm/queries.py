@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.packing import op6_best_fit_packing
+from pageloom.llm.partenum import op10_ngram_jaccard_join
 from pageloom.llm.simhash import op1_simhash
 from pageloom.llm.suffix import op2_suffix_array_dedup
 from pageloom.llm.toxicity import op7_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
