@@ -3,13 +3,14 @@
 Texts are UTF-8 bytes; "earlier" is the order of (doc_id, start); strings never cross documents and are judged on the input.
 
 1. Anchors. Of the ``gram``-byte grams in each ``length``-byte string the one with the least hash is its anchor, so equal
-   strings have equal anchors at equal places. Consecutive strings of one anchor form a segment. Only a row per segment
-   (hashes and offsets) is shuffled, by the anchor's gram. A segment whose bytes occur earlier is repeated as a whole; of the
-   others, only those whose gram another segment has too can hold a repeated string.
+   strings have equal anchors at equal places. Consecutive strings of one anchor form a segment, cut in two so that all
+   strings of a part share over half their bytes with it: those before the anchor, or those after. Only a row per segment
+   (hashes and offsets) is shuffled, by these shared bytes. A segment whose bytes occur earlier is repeated as a whole; of
+   the others, only those whose shared bytes another segment has too can hold a repeated string.
 2. Suffix order. Those contested segments bring their bytes. A task sorts the suffixes that start a string (prefix doubling
    up to ``length`` bytes) and finds for each the previous and next smaller text position in suffix order. These two give the
    longest previous factor; where it reaches ``length``, the string starts earlier too.
-3. Grams with over ``most_segments`` contested segments (a phrase in very many contexts) don't go to one task: their
+3. Shared bytes of over ``most_segments`` contested segments (a phrase in very many contexts) don't go to one task: their
    strings are dealt out by a 128-bit digest and ranked there.
 
 Within each slice of texts copies of a segment are settled before the shuffle, so a passage that many documents share
@@ -35,7 +36,7 @@ from pyspark.sql import Window
 
 from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slices
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 16
 BLOCK = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _LONG, _INT = T.LongType(), T.IntegerType()
@@ -88,7 +89,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
-    """g, s (hashes of the anchor's gram and of the whole segment), document, lo and n (first string, number of strings).
+    """g, s (hashes of what a segment's strings share and of the whole segment), document, lo and n (first string, number of strings).
 
     data: the documents' bytes one after another; starts: their bounds."""
     sizes = np.diff(starts)
@@ -110,15 +111,42 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
     n = np.diff(np.append(lo, len(anchor)))
     keep = inside[lo]
     lo, n = lo[keep], n[keep]
-    base = np.uint64(_BASES[1])
-    powers = np.cumprod(np.full(len(data) + 1, base, np.uint64)) * np.uint64(pow(_BASES[1], -1, 1 << 64))
-    inverse = np.cumprod(np.full(len(data) + 1, pow(_BASES[1], -1, 1 << 64), np.uint64)) * base
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_tables()[1][data] * powers[:-1], out=prefix[1:])
-    end = lo + n + length - 1
-    whole = _mix((prefix[end] - prefix[lo]) * inverse[lo] + (end - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    # strings that begin well before their anchor have what precedes it in common, the others what follows it
+    half = (length - gram) // 2
+    at, hi = anchor[lo], lo + n - 1
+    early = np.minimum(hi, at - half - 1)
+    late = np.maximum(lo, at - half)
+    has_early, has_late = early >= lo, late <= hi
+    lo, hi = np.concatenate([lo[has_early], late[has_late]]), np.concatenate([early[has_early], hi[has_late]])
+    at = np.concatenate([at[has_early], at[has_late]])
+    is_late = np.arange(len(lo)) >= has_early.sum()
+    shared = np.where(is_late, at, at - half - 1), np.where(is_late, at + length - half, at + gram)
+    key = _mix(_span_hashes(data, 0, *shared) + is_late.astype(np.uint64))
+    end = hi + length
+    whole = _mix(_span_hashes(data, 1, lo, end) + (end - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     doc = np.searchsorted(starts, lo, side="right") - 1
-    return grams[anchor[lo]], whole, doc, lo - starts[doc], n
+    return key, whole, doc, lo - starts[doc], hi - lo + 1
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of a base and of its inverse, kept between slices."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        base = np.full(n + n // 4, _BASES[which], np.uint64), np.full(n + n // 4, pow(_BASES[which], -1, 1 << 64), np.uint64)
+        for x in base:
+            x[0] = 1
+        _POWERS[which] = np.cumprod(base[0]), np.cumprod(base[1])
+    return _POWERS[which]
+
+
+def _span_hashes(data: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], alike for equal bytes wherever they are."""
+    powers, inverse = _powers(which, len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_tables()[which][data] * powers[: len(data)], out=prefix[1:])
+    return (prefix[end] - prefix[start]) * inverse[start]
 
 
 def _blocks(part: pa.RecordBatch, length: int) -> Iterator[tuple]:
@@ -227,11 +255,13 @@ def _spans_of(rows: list[tuple], length: int) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Spans (k, h, start, end) of bytes to be removed, and the texts dealt by key that later joins share."""
     by_key = docs.select("k", "h", "text")
-    order = Window.partitionBy("g", "s").orderBy("k", "h", "lo")
-    group = Window.partitionBy("g")
-    dealt = _all_segments(by_key, length, gram).repartition("g")
+    # segments already known to be repeated are dealt out evenly and meet nobody
+    deal = F.when(F.col("whole"), F.xxhash64("k", "h", "lo")).otherwise(F.col("g"))
+    order = Window.partitionBy("deal", "s").orderBy("k", "h", "lo")
+    group = Window.partitionBy("deal")
+    dealt = _all_segments(by_key, length, gram).withColumn("deal", deal).drop("g").repartition("deal")
     ranked = dealt.withColumn("place", F.rank().over(order)).withColumn("contested", F.min("s").over(group) != F.max("s").over(group))
-    judged = ranked.withColumn("whole", F.col("whole") | (F.col("place") > 1)).filter("whole OR contested").select("g", "k", "h", "lo", "n", "whole")
+    judged = ranked.withColumn("whole", F.col("whole") | (F.col("place") > 1)).filter("whole OR contested").select(F.col("deal").alias("g"), "k", "h", "lo", "n", "whole")
     judged = materialize(judged)
     spans = judged.filter("whole").select("k", "h", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).cast("int").alias("end"))
     rest = judged.filter("NOT whole").select("g", "k", "h", "lo", "n").distinct()
