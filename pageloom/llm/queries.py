@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pageloom.llm.decontam import op8_benchmark_decontamination
 from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.packing import op6_best_fit_packing
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
