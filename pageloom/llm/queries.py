@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.decontam import op8_benchmark_decontamination
 from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
+from pageloom.llm.order import op4_training_order
 from pageloom.llm.packing import op6_best_fit_packing
 from pageloom.llm.partenum import op10_ngram_jaccard_join
 from pageloom.llm.simhash import op1_simhash
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op4_training_order": op4_training_order,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
