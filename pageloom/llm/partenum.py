@@ -12,9 +12,12 @@ first; partitions that are empty or hold only features that a great many documen
 Frequent features come from counts over all documents; they only order partitions and lose no pair.
 
 Sets that share a signature form a bucket. Its pairs are not all made: first each set meets the least set of a bucket it is
-in; then sets of buckets that still span several components meet the other components' sets. Every candidate is checked
-with both whole sets, so the components are those of all links. Equal sets are one node throughout, named by 64 bits of a
-digest of the set.
+in, which joins most copies to a component. In a bucket that still spans several components, parity sketches (whose Hamming
+distance never exceeds the number of elements in which two sets differ) tell which components can link at all. Components
+that can, directly or through others, form a cluster; each set goes once to its cluster's task, which counts common elements
+through an inverted index and gives a spanning set of links. Clusters of over ``CLUSTER`` sets are cut into blocks and
+treated by pairs of blocks. Every link rests on both whole sets, so the components are those of all links. Equal sets are
+one node throughout, named by 64 bits of a digest of the set.
 
 Null, empty and blank texts have empty sets and link with nothing. Null ids count as the least id. Rows of one doc_id are
 separate documents unless their texts agree. Empty tables give empty results; other columns are not read.
@@ -37,12 +40,12 @@ from pageloom.llm.graph import components
 WORDS, PERCENT = 5, 80
 CACHE = 200_000
 FREQUENT, SEEN = 1 << 15, 3
-SALTS = 64
+SALTS, CLUSTER = 64, 3000
 _LONG = T.LongType()
 MEMBERS = T.StructType([T.StructField(n, _LONG) for n in ("k", "h", "n", "id")])
 SIGNED = T.StructType([T.StructField("sig", _LONG), T.StructField("id", _LONG)])
 BUCKETS = T.StructType([T.StructField(n, _LONG) for n in ("sig", "hub", "id")])
-SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType())])
+SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 PAIRS = T.StructType([T.StructField("a", _LONG), T.StructField("b", _LONG)])
 
 
@@ -178,8 +181,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. A set meets its partners as a stream, split by a salt where it has many."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    ones = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
-    others = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "set")
+    ones = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "set"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
+    others = salted.join(sets.select(F.col("id").alias("b"), "set"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = own = None
@@ -197,31 +200,135 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ones.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").select("a", "kind", "b", "set").mapInArrow(run, PAIRS)
 
 
-def _across(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, but for those with its hub (they have met)."""
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in cells of the hash range's low bits; a power of two of cells, over 1.5 a set's
+    size. Adding its halves gives the sketch of half as many cells."""
+    cells = 1 << max(6, int(len(hashes) * 3 // 2).bit_length())
+    return np.packbits(np.bincount(_mix(hashes) & np.uint64(cells - 1), minlength=cells).astype(np.uint8) & 1, bitorder="little")
+
+
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _may_link(ids: list[int], roots: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of roots that connect a bucket's components as far as sets of them can link."""
+    root, n = np.array(roots), np.array(sizes, np.int64)
+    least = min(map(len, sketches))
+    bits = np.stack([_fold(np.frombuffer(x, np.uint8), least) for x in sketches]).view(np.uint64)
+    waiting, out = np.ones(len(ids), bool), []
+    for first in range(len(ids)):
+        if not waiting[first]:
+            continue
+        queue, met = list(np.flatnonzero(root == root[first])), {int(root[first])}
+        waiting[queue] = False
+        while queue:
+            i, rest = queue.pop(), np.flatnonzero(waiting)
+            if not len(rest):
+                break
+            apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
+            for r in set(root[near].tolist()):
+                out.append((int(root[first]), r))
+                same = np.flatnonzero(waiting & (root == r))
+                waiting[same] = False
+                queue += same.tolist()
+                met.add(r)
+    return out
+
+
+def _clusters(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that can link, as edges between their roots."""
     rows = buckets.select("sig", "id").unionByName(buckets.select("sig", F.col("hub").alias("id")).distinct())
     named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
+    sketches = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"), "sketch")
+    wide = named.join(mixed, "sig").join(sketches, "id").select("sig", "id", "root", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(ids: list[int], roots: list[int]) -> Iterator[pa.RecordBatch]:
-            own, root = np.array(ids), np.array(roots)  # sorted by id: the first is the hub
-            for i in range(1, len(own) - 1):
-                far = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                if len(far):
-                    yield arrow_batch(PAIRS, [np.full(len(far), own[i]), own[far]])
-
-        sig, ids, roots = None, [], []
+        sig, held, seen = None, [], set()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = set(_may_link(*map(list, zip(*held, strict=True)), percent)) - seen if held else None
+            if found:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(found)
+                yield arrow_batch(PAIRS, list(map(list, zip(*sorted(found), strict=True))))
+
         for batch in batches:
-            for s, i, r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if s != sig:
-                    yield from pairs(ids, roots)
-                    sig, ids, roots = s, [], []
-                ids.append(i)
-                roots.append(r)
-        yield from pairs(ids, roots)
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if row[0] != sig:
+                    yield from close()
+                    sig, held = row[0], []
+                held.append(row[1:])
+        yield from close()
+
+    return wide.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, PAIRS).distinct()
+
+
+def links_across(root: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that join different roots into one, a spanning set of them.
+
+    side: sets of 0 and 1 meet each other only if both sides occur (two blocks); else all meet all."""
+    sizes = np.array([len(s) for s in sets])
+    _, feature = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(feature, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(feature))])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    label, out, two = np.unique(root, return_inverse=True)[1], [], side.any()
+    for i in range(len(sets)):
+        if two and side[i]:
+            continue
+        own = feature[starts[i] : starts[i + 1]]
+        a, n = begin[own], begin[own + 1] - begin[own]
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        linked = (100 * common >= percent * (sizes + sizes[i] - common)) & (label != label[i])
+        if two:
+            linked &= side
+        for j in np.flatnonzero(linked):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+        if (label == label[0]).all():
+            break
+    return out
+
+
+def _within(edges: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each cluster."""
+    clusters = materialize(components(edges))
+    named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("own"), "set")
+    member = named.join(clusters.select(F.col("node").alias("own"), F.col("root").alias("cluster")), "own")
+    sizes = clusters.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "node"), "node", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+    blocks = sizes.select(F.col("root").alias("cluster"), F.ceil(F.col("n") / CLUSTER).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = member.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("side"), "own", "id", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                own, ids, side, found = (list(x) for x in zip(*held, strict=True))
+                pairs = links_across(np.array(own), found, np.array(side), percent)
+                if pairs:
+                    yield arrow_batch(PAIRS, [[ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]])
+
+        for part in slices(batches, "set"):
+            for c, x, y, side, own, i, raw in zip(*(part.column(n).to_pylist() for n in range(7)), strict=True):
+                if (c, x, y) != key:
+                    yield from close()
+                    key, held = (c, x, y), []
+                held.append((own, i, side, np.frombuffer(raw, np.uint64)))
+        yield from close()
 
-    return named.join(mixed, "sig").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, PAIRS).distinct()
+    return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, PAIRS)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -240,23 +347,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         known = WordHashes()
         for part in slices(batches):
             sets = [shingles(t, known) for t in part.column(0).to_pylist()]
-            yield arrow_batch(SETS, [[set_id(s) for s in sets], [s.tobytes() for s in sets]])
+            yield arrow_batch(SETS, [[set_id(s) for s in sets], [s.tobytes() for s in sets], [parity_sketch(s).tobytes() for s in sets]])
 
     sets = materialize(texts.join(shown, ["k", "h"]).dropDuplicates(["k", "h"]).select("text").mapInArrow(whole, SETS))
 
     met = materialize(buckets.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     links = materialize(_verified(met, sets, percent))
     roots = materialize(components(links))
-    name = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-    stars = buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    apart = stars.join(name("a"), "a", "left").join(name("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    more = materialize(_verified(materialize(apart.select("a", "b")), sets, percent))
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = materialize(components(links))
-    pairs = materialize(_across(buckets, roots))
-    if pairs.limit(1).count():
-        more = materialize(_verified(pairs, sets, percent))
+    edges = materialize(_clusters(buckets, roots, sets, percent))
+    if edges.limit(1).count():
+        more = materialize(_within(edges, roots, sets, percent))
         if more.limit(1).count():
             roots = materialize(components(links.unionByName(more)))
 
