@@ -37,7 +37,7 @@ from pyspark.sql import Window
 from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slices
 
 LENGTH, GRAM = 100, 16
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _LONG, _INT = T.LongType(), T.IntegerType()
 SEGMENTS = T.StructType([T.StructField(n, _LONG) for n in ("g", "s", "k", "h")] + [T.StructField("lo", _INT), T.StructField("n", _INT), T.StructField("whole", T.BooleanType())])
