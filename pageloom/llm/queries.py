@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.decontam import op8_benchmark_decontamination
@@ -20,6 +21,7 @@ from pageloom.llm.toxicity import op7_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_line_dedup": op3_line_dedup,
