@@ -13,9 +13,9 @@ from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
 from pageloom.llm.lm import op9_lm_scoring
 from pageloom.llm.order import op4_training_order
 from pageloom.llm.packing import op6_best_fit_packing
-from pageloom.llm.partenum import op10_ngram_jaccard_join
+from pageloom.llm.partenum import OP10_SQL, op10_ngram_jaccard_join
 from pageloom.llm.simhash import op1_simhash
-from pageloom.llm.suffix import op2_suffix_array_dedup
+from pageloom.llm.suffix import OP2_SQL, op2_suffix_array_dedup
 from pageloom.llm.toxicity import op7_toxicity
 
 
@@ -37,6 +37,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_array_dedup": OP2_SQL,
         "op3_line_dedup": OP3_SQL,
         "op5_substring_dedup": OP5_SQL,
+        "op10_ngram_jaccard_join": OP10_SQL,
     }

@@ -363,3 +363,33 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_se
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_bytes(read_table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+OP2_SQL = """
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
+), numbered AS (
+  SELECT doc_id, x, n_bytes, unnest(range(0, n_bytes, 100)) AS b FROM raw
+), blocks AS (
+  SELECT doc_id, n_bytes, b, substr(x, (2 * b + 1)::BIGINT, 400) AS piece FROM numbered
+), windowed AS (
+  SELECT doc_id, b + o AS p, substr(piece, (2 * o + 1)::BIGINT, 200) AS window_bytes
+  FROM blocks, (SELECT unnest(range(0, 100)) AS o) WHERE b + o + 100 <= n_bytes
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY window_bytes ORDER BY doc_id, p) > 1 AS again FROM windowed
+), repeated AS (
+  SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS fresh FROM ranked WHERE again
+), runs AS (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM repeated
+), spans AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), cut AS (
+  SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept, max(b) AS last
+  FROM pieces s JOIN raw r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+)
+SELECT r.doc_id, r.n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM raw r LEFT JOIN cut c ON c.doc_id = r.doc_id
+"""
