@@ -73,8 +73,10 @@ def shingles(text: str, known: WordHashes) -> np.ndarray:
     n = len(each) - width + 1
     total = np.full(n, width, np.uint64)
     for i in range(width):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n])
-    return np.unique(total)
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += each[i : i + n]
+    total = np.sort(_mix(total))
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -108,8 +110,8 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
         cuts = np.concatenate([[0], np.searchsorted((high * np.uint64(m)) >> np.uint64(32), np.arange(1, m, dtype=np.uint64)), [len(hashes)]])
         content = _mix(total[cuts[1:]] - total[cuts[:-1]] + np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band))
         weight = (np.minimum(rare[cuts[1:]] - rare[cuts[:-1]], 255) << 8) + np.minimum(np.diff(cuts), 255)
-        rank = (weight.astype(np.uint64) << np.uint64(47)) | (content >> np.uint64(17))
-        found.append(content[np.argsort(rank, kind="stable")[m - k - 1 :]])
+        rank = (weight.astype(np.uint64) << np.uint64(47)) | (content >> np.uint64(17))  # a partition's own: ties are as rare as equal hashes
+        found.append(content[np.argpartition(rank, m - k - 1)[m - k - 1 :]])
     return np.concatenate(found)
 
 
@@ -144,28 +146,41 @@ def _signed(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """Of every signature that several sets share: its least set (hub) with each other one. A stream over sorted rows."""
+    """Of every signature that several sets share: its least set (hub) with each other one. A bucket is named by a digest of
+    its members, so that signatures with the same members are one bucket after a distinct."""
+
+    def groups(sig: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        sig, own = sig[fresh], own[fresh]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        name = np.add.reduceat(_mix(own.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts)
+        name, kept = np.unique(np.where(sizes > 1, name, 0), return_index=True)
+        kept, name = kept[sizes[kept] > 1], name[sizes[kept] > 1]
+        n = sizes[kept] - 1
+        if len(kept):
+            at = np.repeat(starts[kept] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield arrow_batch(BUCKETS, [np.repeat(name, n).view(np.int64), np.repeat(own[starts[kept]], n), own[at]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_id = hub = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            new, fresh = np.ones(len(sig), bool), np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            fresh[1:] = new[1:] | (own[1:] != own[:-1])
-            if last_sig is not None and sig[0] == last_sig:
-                new[0], fresh[0] = False, own[0] != last_id
-            start = np.where(new, np.arange(len(sig)), -1)
-            start = np.maximum.accumulate(start)
-            hubs = np.where(start >= 0, own[np.maximum(start, 0)], hub if hub is not None else 0)
-            emit = fresh & ~new
-            if emit.any():
-                yield arrow_batch(BUCKETS, [sig[emit], hubs[emit], own[emit]])
-            last_sig, last_id, hub = sig[-1], own[-1], hubs[-1]
-
-    return signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, BUCKETS)
+            last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on in the next batch
+            if last or held and held[-1][0][-1] != sig[0]:
+                held.append((sig[:last], own[:last]))
+                yield from groups(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append((sig[last:], own[last:]))
+        if held:
+            yield from groups(*map(np.concatenate, zip(*held, strict=True)))
+
+    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, BUCKETS)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -241,7 +256,8 @@ def _may_link(ids: list[int], roots: list[int], sizes: list[int], sketches: list
 
 def _clusters(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that can link, as edges between their roots."""
-    rows = buckets.select("sig", "id").unionByName(buckets.select("sig", F.col("hub").alias("id")).distinct())
+    once = buckets.distinct()
+    rows = once.select("sig", "id").unionByName(once.select("sig", F.col("hub").alias("id")).distinct())
     named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
     sketches = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"), "sketch")
