@@ -18,7 +18,7 @@ def best_and_patience(df: DataFrame, series: list[str], order: str, metric: str)
     """Per series: the best value, its earliest place, and the longest run of rows without a strictly better value."""
     seen = with_progress(df, series, order, metric)
     since = Window.partitionBy(*series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = seen.withColumn("run", F.sum(F.col("better").cast("int")).over(since))
-    waits = runs.groupBy(*series, "run").agg((F.count(F.lit(1)) - 1).alias("wait"), F.max(F.struct(F.col(metric).alias("v"), (-F.col(order)).alias("o"))).alias("top"))
-    top: Column = F.max("top")
-    return waits.groupBy(*series).agg(top["v"].alias("best"), (-top["o"]).alias("best_at"), F.max("wait").alias("longest_wait"))
+    runs = seen.withColumn("__run", F.sum(F.col("better").cast("int")).over(since))
+    waits = runs.groupBy(*series, "__run").agg((F.count(F.lit(1)) - 1).alias("__wait"), F.max(F.struct(F.col(metric).alias("v"), (-F.col(order)).alias("o"))).alias("__top"))
+    top: Column = F.max("__top")
+    return waits.groupBy(*series).agg(top["v"].alias("best"), (-top["o"]).alias("best_at"), F.max("__wait").alias("longest_wait"))

@@ -1,13 +1,12 @@
 """The page pipeline as DataFrame stages: transcription, detection, crops, structures, entities, summary, bundle.
 
-A model call is a mapInPandas over small batches; its backend is made once per Python worker. Every stage's output is
+A model call is a mapInPandas over small batches; its backend is made once per task. Every stage's output is
 written before the next one reads it, so a lost task repeats its own calls only. A failing page or crop becomes a row with
 its error and stops nothing else.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,6 +25,21 @@ CROP_OCR = PAGE_OCR.replace("page_id long, ", "page_id long, det_id int, ")
 FOUND = "page_id long, det_id int, cls string, conf double, xyxy array<double>, content binary, error string"
 
 
+class Once:
+    """Makes its value at the first call within a task; travels without it."""
+
+    def __init__(self, make: Callable):
+        self.make, self.made = make, None
+
+    def __call__(self):
+        if self.made is None:
+            self.made = self.make()
+        return self.made
+
+    def __reduce__(self):
+        return Once, (self.make,)
+
+
 def read_page(backend, file: str, content: bytes, prompt: str) -> dict:
     """One transcription, and a second one of the turned image where the first says so; the second replaces the first."""
     out: dict = dict.fromkeys(OCR_COLUMNS) | {"file": file}
@@ -52,7 +66,7 @@ def transcribe(pages: DataFrame, make_backend: Callable, prompt: str, key: list[
     key = key or ["page_id"]
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.OCR_RESULT)
-    backend = functools.cache(make_backend)
+    backend = Once(make_backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +78,7 @@ def transcribe(pages: DataFrame, make_backend: Callable, prompt: str, key: list[
 
 def detect(pages: DataFrame, make_backend: Callable, config: Config) -> DataFrame:
     """A row per detection, numbered within its page, with its crop; a page that fails has one row with the error."""
-    backend = functools.cache(make_backend)
+    backend = Once(make_backend)
     least = config.least_confidence
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +100,7 @@ def detect(pages: DataFrame, make_backend: Callable, config: Config) -> DataFram
 
 def recognise(crops: DataFrame, make_backend: Callable) -> DataFrame:
     """smiles or error per structure crop; the default backend recognises nothing."""
-    backend = functools.cache(make_backend)
+    backend = Once(make_backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +118,7 @@ def recognise(crops: DataFrame, make_backend: Callable) -> DataFrame:
 
 def ask(df: DataFrame, make_backend: Callable, system: str, prompt: str, answer: str, schema: dict | None = None) -> DataFrame:
     """Each row's prompt column to the language model: adds ``answer`` and ``<answer>_error``."""
-    backend = functools.cache(make_backend)
+    backend = Once(make_backend)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
