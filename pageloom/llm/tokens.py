@@ -47,10 +47,10 @@ class Encoder:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = list(added)
 
     def ids(self, text: str) -> list[int]:
-        if PLAIN.search(text) or self.added and self.added.search(text):
+        if not text.isascii() and PLAIN.search(text) or any(x in text for x in self.added):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
