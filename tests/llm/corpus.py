@@ -35,3 +35,37 @@ def rows(seed: int = 1, n: int = 30) -> list[tuple]:
 
 def frame(spark, found=None):
     return spark.createDataFrame(rows() if found is None else found, SCHEMA)
+
+
+def some(seed=4) -> dict:
+    """Documents of known fate for the pipeline: toxic ones, one-line near copies, leaks, and clean ones."""
+    rng = random.Random(seed)
+    common = words(rng, 300)
+    prose = lambda n: [rng.choice(common) for _ in range(n)]
+    documents, labels, toxic = [], [], set()
+    for i in range(500):
+        each = prose(rng.randint(20, 90)) + [f"own{i}a", f"own{i}b"]
+        if rng.random() < 0.2:
+            toxic.add(i)
+            for _ in range(3):
+                each.insert(rng.randrange(len(each)), rng.choice(["vilestuff", "awfulness", "nastiness"]))
+        documents.append((i, " ".join(each)))
+        labels.append((i, 1, int(i in toxic)))
+    copies, at = [], 1000
+    for n in (2, 3, 8):
+        base, group = words(rng, 120), set()
+        for k in range(n):
+            each = list(base)
+            each[(7 * k) % 120] = f"edit{k}"
+            documents.append((at, " ".join(each)))
+            group.add(at)
+            at += 1
+        copies.append(group)
+    benchmark = [(i, " ".join(words(rng, 30))) for i in range(6)]
+    leaks = set()
+    for i, text in benchmark:
+        documents.append((2000 + i, " ".join([*prose(25), *text.split(), *prose(25)])))
+        leaks.add(2000 + i)
+    clean = {i for i in range(500) if i not in toxic}
+    found = [(i, t, "en", "s", len(t)) for i, t in documents] + [(3000, None, None, None, None), (3001, "", "en", "s", 0)]
+    return {"documents": found, "labels": labels, "benchmark": benchmark, "toxic": toxic, "copies": copies, "leaks": leaks, "clean": clean}
