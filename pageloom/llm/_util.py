@@ -52,6 +52,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def least_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
+    """At most n rows of df, those whose column hashes least (ties by the column).
+
+    A bound on the hash leaves about 4 n rows to be sorted, however many partitions there are."""
+    x, total = F.xxhash64(column), df.count()
+    if total > 8 * n:
+        df = df.filter(x < -(1 << 63) + (1 << 64) * 4 * n // total)
+    return df.orderBy(x, column).limit(n)
+
+
+def most_counted(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the greatest counts, most of them at most; whole ranges of counts, so that no tie is cut. A histogram of
+    a few hundred ranges is all that reaches the driver."""
+    level = F.floor(F.log2(count) * 8).cast("int")
+    sizes = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, total = None, 0
+    for at, n in sorted(((r["level"], r["n"]) for r in sizes), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = at
+    return df.filter(level >= least) if least is not None else df.limit(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about most_bytes of one string column (one longer row stays whole)."""
     for batch in batches:

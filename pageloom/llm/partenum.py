@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slices
+from pageloom.llm._util import arrow_batch, keyed, materialize, most_counted, read_table, slices
 from pageloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -352,7 +352,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark, texts = docs.sparkSession, keyed(docs)
     found = materialize(_sets(texts))
     members = found.filter("k IS NOT NULL")
-    often = found.filter("k IS NULL").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    often = most_counted(found.filter("k IS NULL").groupBy("h").agg(F.sum("n").alias("n")), "n", FREQUENT).select("h").collect()
     frequent = np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
     buckets = materialize(_buckets(_signed(texts, frequent, percent)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm._util import arrow_batch, id_and_text, read_table, slices
+from pageloom.llm._util import arrow_batch, id_and_text, least_by_hash, read_table, slices
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int
     spark = docs.sparkSession
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(folds))
     prior = learn.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    ranked = lambda df, n: df.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    ranked = lambda df, n: least_by_hash(df.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", n)
     yes = {r[0] for r in ranked(learn.filter("toxic = 1"), max_positive).collect()}
     other = {r[0] for r in ranked(docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(folds)), max_unlabelled).collect()}
     if not yes or not other:
