@@ -165,3 +165,18 @@ def test_pipeline_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in whole.collect()} == ids["best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None and decontam.MIN_WORDS == 5
+
+
+def test_least_by_hash_is_the_head_of_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    assert [r.doc_id for r in _util.least_by_hash(df, "doc_id", 50).collect()] == want
+    assert _util.least_by_hash(df, "doc_id", 9000).count() == 5000 and _util.least_by_hash(df.limit(0), "doc_id", 5).count() == 0
+
+
+def test_most_counted_cuts_no_tie(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([100] * 5 + [50] * 20 + [1] * 300)], "w int, c long")
+    assert [_util.most_counted(df, "c", n).count() for n in (0, 4, 5, 24, 25, 324, 325, 999)] == [0, 0, 5, 5, 25, 25, 325, 325]
+    assert _util.most_counted(df.limit(0), "c", 5).count() == 0
