@@ -40,12 +40,13 @@ from pageloom.llm.graph import components
 WORDS, PERCENT = 5, 80
 CACHE = 200_000
 FREQUENT, SEEN = 1 << 15, 3
-SALTS, CLUSTER = 64, 3000
+SALTS, CLUSTER, SPOTS = 64, 3000, 1 << 23
 _LONG = T.LongType()
 MEMBERS = T.StructType([T.StructField(n, _LONG) for n in ("k", "h", "n", "id")])
 SIGNED = T.StructType([T.StructField("sig", _LONG), T.StructField("id", _LONG)])
 BUCKETS = T.StructType([T.StructField(n, _LONG) for n in ("sig", "hub", "id")])
 SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+KEYED_SETS = T.StructType([T.StructField("k", _LONG), T.StructField("h", _LONG), *SETS.fields])
 PAIRS = T.StructType([T.StructField("a", _LONG), T.StructField("b", _LONG)])
 
 
@@ -347,6 +348,34 @@ def _within(edges: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, PAIRS)
 
 
+def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
+    """id, set and sketch of the documents in shown (k, h). A bitmap of SPOTS bits, whatever the size of shown, keeps most
+    other texts from being shuffled; the join that follows is exact."""
+    spot = F.pmod(F.xxhash64("k", "h"), F.lit(SPOTS))
+    words_of = shown.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 AS int))")).alias("bits"))
+    bitmap = np.zeros(SPOTS // 64, np.int64)
+    for r in words_of.collect():
+        bitmap[r["word"]] = r["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen, wanted = WordHashes(), set(), sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted[np.asarray(batch.column(3))]))
+            for part in slices([batch]):
+                out = []
+                for k, h, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if (k, h) not in seen:
+                        seen.add((k, h))
+                        own = shingles(text, known)
+                        out.append((k, h, set_id(own), own.tobytes(), parity_sketch(own).tobytes()))
+                if out:
+                    yield arrow_batch(KEYED_SETS, list(map(list, zip(*out, strict=True))))
+
+    made = texts.select("k", "h", "text", spot.alias("spot")).mapInArrow(run, KEYED_SETS)
+    return made.join(shown, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("id", "set", "sketch")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """k, h (the document's key), n (its set's size) and component_id (the least k that links reach) of every document."""
     spark, texts = docs.sparkSession, keyed(docs)
@@ -359,13 +388,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = buckets.select("id").unionByName(buckets.select(F.col("hub").alias("id"))).distinct()
     shown = members.filter("n > 0").groupBy("id").agg(F.min(F.struct("k", "h")).alias("doc")).join(nodes, "id").select("doc.k", "doc.h").distinct()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in slices(batches):
-            sets = [shingles(t, known) for t in part.column(0).to_pylist()]
-            yield arrow_batch(SETS, [[set_id(s) for s in sets], [s.tobytes() for s in sets], [parity_sketch(s).tobytes() for s in sets]])
-
-    sets = materialize(texts.join(shown, ["k", "h"]).dropDuplicates(["k", "h"]).select("text").mapInArrow(whole, SETS))
+    sets = materialize(_whole_sets(texts, shown))
 
     met = materialize(buckets.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
     links = materialize(_verified(met, sets, percent))
