@@ -48,6 +48,8 @@ class Encoder:
         ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.added = list(added)
+        self.spaced = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def ids(self, text: str) -> list[int]:
         if not text.isascii() and PLAIN.search(text) or any(x in text for x in self.added):
