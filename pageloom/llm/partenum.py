@@ -11,13 +11,12 @@ among the heaviest k + 1 of both, so these are a set's signatures. The order put
 first; partitions that are empty or hold only features that a great many documents share come last and are mostly left out.
 Frequent features come from counts over all documents; they only order partitions and lose no pair.
 
-Sets that share a signature form a bucket. Its pairs are not all made: first each set meets the least set of a bucket it is
-in, which joins most copies to a component. In a bucket that still spans several components, parity sketches (whose Hamming
-distance never exceeds the number of elements in which two sets differ) tell which components can link at all. Components
-that can, directly or through others, form a cluster; each set goes once to its cluster's task, which counts common elements
-through an inverted index and gives a spanning set of links. Clusters of over ``CLUSTER`` sets are cut into blocks and
-treated by pairs of blocks. Every link rests on both whole sets, so the components are those of all links. Equal sets are
-one node throughout, named by 64 bits of a digest of the set.
+Sets that share a signature form a bucket. Its pairs are not all made: parity sketches (whose Hamming distance never exceeds
+the number of elements in which two sets differ) tell which of its sets can link at all, and the bucket gives a spanning set
+of such pairs. Sets that can link, directly or through others, form a cluster; each set goes once to its cluster's task,
+which counts common elements through an inverted index and gives a spanning set of links. Clusters of over ``CLUSTER`` sets
+are cut into blocks and treated by pairs of blocks. Every link rests on both whole sets, so the components are those of all
+links. Equal sets are one node throughout, named by 64 bits of a digest of the set.
 
 Null, empty and blank texts have empty sets and link with nothing. Null ids count as the least id. Rows of one doc_id are
 separate documents unless their texts agree. Empty tables give empty results; other columns are not read.
@@ -40,12 +39,12 @@ from pageloom.llm.graph import components
 WORDS, PERCENT = 5, 80
 CACHE = 200_000
 FREQUENT, SEEN = 1 << 15, 3
-SALTS, CLUSTER, SPOTS = 64, 3000, 1 << 23
+CLUSTER, SPOTS = 3000, 1 << 23
 _LONG = T.LongType()
-MEMBERS = T.StructType([T.StructField(n, _LONG) for n in ("k", "h", "n", "id")])
+MEMBERS = T.StructType([*(T.StructField(n, _LONG) for n in ("k", "h", "n", "id")), T.StructField("sketch", T.BinaryType())])
 SIGNED = T.StructType([T.StructField("sig", _LONG), T.StructField("id", _LONG)])
 BUCKETS = T.StructType([T.StructField(n, _LONG) for n in ("sig", "hub", "id")])
-SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType())])
 KEYED_SETS = T.StructType([T.StructField("k", _LONG), T.StructField("h", _LONG), *SETS.fields])
 PAIRS = T.StructType([T.StructField("a", _LONG), T.StructField("b", _LONG)])
 
@@ -117,19 +116,19 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """k, h, n and id of every document, and rows with k = null that count features seen SEEN times in a slice (in h: the
+    """k, h, n, id and sketch of every document, and rows with k = null that count features seen SEEN times in a slice (in h: the
     feature, in n: the count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches, most_bytes=2 << 20):
             sets = [shingles(t, known) for t in part.column(2).to_pylist()]
-            yield arrow_batch(MEMBERS, [part.column(0), part.column(1), [len(s) for s in sets], [set_id(s) for s in sets]])
+            yield arrow_batch(MEMBERS, [part.column(0), part.column(1), [len(s) for s in sets], [set_id(s) for s in sets], [parity_sketch(s).tobytes() for s in sets]])
             distinct = {set_id(s): s for s in sets}
             features, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             often = counts >= SEEN
             if often.any():
-                yield arrow_batch(MEMBERS, [pa.nulls(int(often.sum()), pa.int64()), features[often].view(np.int64), counts[often].astype(np.int64), np.zeros(int(often.sum()), np.int64)])
+                yield arrow_batch(MEMBERS, [pa.nulls(int(often.sum()), pa.int64()), features[often].view(np.int64), counts[often].astype(np.int64), np.zeros(int(often.sum()), np.int64), pa.nulls(int(often.sum()), pa.binary())])
 
     return docs.mapInArrow(run, MEMBERS)
 
@@ -184,38 +183,6 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, BUCKETS)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < percent * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. A set meets its partners as a stream, split by a salt where it has many."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    ones = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "set"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
-    others = salted.join(sets.select(F.col("id").alias("b"), "set"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = own = None
-        for part in slices(batches, "set"):
-            found = []
-            for a, kind, b, raw in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                hashes = np.frombuffer(raw, np.uint64)
-                if kind == 0:
-                    held, own = hashes, a
-                elif a == own and _linked(held, hashes, percent):
-                    found.append((a, b))
-            if found:
-                yield arrow_batch(PAIRS, list(map(list, zip(*found, strict=True))))
-
-    return ones.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").select("a", "kind", "b", "set").mapInArrow(run, PAIRS)
-
-
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     """Parities of the numbers of elements in cells of the hash range's low bits; a power of two of cells, over 1.5 a set's
     size. Adding its halves gives the sketch of half as many cells."""
@@ -229,40 +196,32 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _may_link(ids: list[int], roots: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Pairs of roots that connect a bucket's components as far as sets of them can link."""
-    root, n = np.array(roots), np.array(sizes, np.int64)
-    least = min(map(len, sketches))
+def _may_link(ids: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect a bucket's sets as far as they can link."""
+    n, least = np.array(sizes, np.int64), min(map(len, sketches))
     bits = np.stack([_fold(np.frombuffer(x, np.uint8), least) for x in sketches]).view(np.uint64)
     waiting, out = np.ones(len(ids), bool), []
     for first in range(len(ids)):
-        if not waiting[first]:
-            continue
-        queue, met = list(np.flatnonzero(root == root[first])), {int(root[first])}
-        waiting[queue] = False
+        queue = [first] if waiting[first] else []
+        waiting[first] = False
         while queue:
             i, rest = queue.pop(), np.flatnonzero(waiting)
             if not len(rest):
                 break
             apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
-            for r in set(root[near].tolist()):
-                out.append((int(root[first]), r))
-                same = np.flatnonzero(waiting & (root == r))
-                waiting[same] = False
-                queue += same.tolist()
-                met.add(r)
+            near = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)].tolist()
+            waiting[near] = False
+            queue += near
+            out += [(ids[first], ids[j]) for j in near]
     return out
 
 
-def _clusters(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components that can link, as edges between their roots."""
+def _can_link(buckets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets that can link, a spanning set of them in every bucket."""
     once = buckets.distinct()
     rows = once.select("sig", "id").unionByName(once.select("sig", F.col("hub").alias("id")).distinct())
-    named = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
-    sketches = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"), "sketch")
-    wide = named.join(mixed, "sig").join(sketches, "id").select("sig", "id", "root", "n", "sketch")
+    sketches = members.select("id", "n", "sketch").dropDuplicates(["id"])
+    wide = rows.join(sketches, "id").select("sig", "id", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, held, seen = None, [], set()
@@ -276,7 +235,7 @@ def _clusters(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
                 yield arrow_batch(PAIRS, list(map(list, zip(*sorted(found), strict=True))))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if row[0] != sig:
                     yield from close()
                     sig, held = row[0], []
@@ -286,17 +245,16 @@ def _clusters(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     return wide.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, PAIRS).distinct()
 
 
-def links_across(root: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Index pairs of linked sets that join different roots into one, a spanning set of them.
-
-    side: sets of 0 and 1 meet each other only if both sides occur (two blocks); else all meet all."""
+def links_across(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of linked sets, a spanning set of them. side: where both sides occur (two blocks), only sets of different
+    sides meet."""
     sizes = np.array([len(s) for s in sets])
     _, feature = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(feature, kind="stable")
     owner = np.repeat(np.arange(len(sets)), sizes)[order]
     begin = np.concatenate([[0], np.cumsum(np.bincount(feature))])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    label, out, two = np.unique(root, return_inverse=True)[1], [], side.any()
+    label, out, two = np.arange(len(sets)), [], side.any()
     for i in range(len(sets)):
         if two and side[i]:
             continue
@@ -316,40 +274,37 @@ def links_across(root: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
     return out
 
 
-def _within(edges: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components of each cluster."""
-    clusters = materialize(components(edges))
-    named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("own"), "set")
-    member = named.join(clusters.select(F.col("node").alias("own"), F.col("root").alias("cluster")), "own")
-    sizes = clusters.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "node"), "node", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
-    blocks = sizes.select(F.col("root").alias("cluster"), F.ceil(F.col("n") / CLUSTER).cast("int").alias("blocks"))
+def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets of each cluster (node, root)."""
+    blocks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER).cast("int").alias("blocks"))
+    member = clusters.withColumnRenamed("node", "id").join(blocks, "root").join(sets, "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = member.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("side"), "own", "id", "set")
+    dealt = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("side"), "id", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                own, ids, side, found = (list(x) for x in zip(*held, strict=True))
-                pairs = links_across(np.array(own), found, np.array(side), percent)
+                ids, side, found = (list(x) for x in zip(*held, strict=True))
+                pairs = links_across(found, np.array(side), percent)
                 if pairs:
                     yield arrow_batch(PAIRS, [[ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]])
 
         for part in slices(batches, "set"):
-            for c, x, y, side, own, i, raw in zip(*(part.column(n).to_pylist() for n in range(7)), strict=True):
+            for c, x, y, side, i, raw in zip(*(part.column(n).to_pylist() for n in range(6)), strict=True):
                 if (c, x, y) != key:
                     yield from close()
                     key, held = (c, x, y), []
-                held.append((own, i, side, np.frombuffer(raw, np.uint64)))
+                held.append((i, side, np.frombuffer(raw, np.uint64)))
         yield from close()
 
-    return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, PAIRS)
+    return dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, PAIRS)
 
 
 def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
-    """id, set and sketch of the documents in shown (k, h). A bitmap of SPOTS bits, whatever the size of shown, keeps most
+    """id and set of the documents in shown (k, h). A bitmap of SPOTS bits, whatever the size of shown, keeps most
     other texts from being shuffled; the join that follows is exact."""
     spot = F.pmod(F.xxhash64("k", "h"), F.lit(SPOTS))
     words_of = shown.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 AS int))")).alias("bits"))
@@ -368,12 +323,12 @@ def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
                     if (k, h) not in seen:
                         seen.add((k, h))
                         own = shingles(text, known)
-                        out.append((k, h, set_id(own), own.tobytes(), parity_sketch(own).tobytes()))
+                        out.append((k, h, set_id(own), own.tobytes()))
                 if out:
                     yield arrow_batch(KEYED_SETS, list(map(list, zip(*out, strict=True))))
 
     made = texts.select("k", "h", "text", spot.alias("spot")).mapInArrow(run, KEYED_SETS)
-    return made.join(shown, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("id", "set", "sketch")
+    return made.join(shown, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("id", "set")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -385,19 +340,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
     buckets = materialize(_buckets(_signed(texts, frequent, percent)))
 
-    nodes = buckets.select("id").unionByName(buckets.select(F.col("hub").alias("id"))).distinct()
-    shown = members.filter("n > 0").groupBy("id").agg(F.min(F.struct("k", "h")).alias("doc")).join(nodes, "id").select("doc.k", "doc.h").distinct()
-
+    clusters = materialize(components(_can_link(buckets, members.filter("n > 0"), percent)))
+    shown = members.filter("n > 0").groupBy("id").agg(F.min(F.struct("k", "h")).alias("doc")).join(clusters, F.col("id") == F.col("node")).select("doc.k", "doc.h").distinct()
     sets = materialize(_whole_sets(texts, shown))
-
-    met = materialize(buckets.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    links = materialize(_verified(met, sets, percent))
-    roots = materialize(components(links))
-    edges = materialize(_clusters(buckets, roots, sets, percent))
-    if edges.limit(1).count():
-        more = materialize(_within(edges, roots, sets, percent))
-        if more.limit(1).count():
-            roots = materialize(components(links.unionByName(more)))
+    roots = materialize(components(_within(clusters, sets, percent)))
 
     named = members.filter("n > 0").join(roots, members["id"] == roots["node"], "left").select("k", "h", "n", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("component_id"), F.min(F.struct("k", "h")).alias("first"))
