@@ -5,6 +5,10 @@ unit's normal form is lower-cased with white space collapsed; its digest is grou
 ranks first by (doc_id, offset) stays, and the others are removed. Units of fewer than ``min_words`` words always stay.
 Offsets of what is removed are those of the original text.
 
+With ``whole_lines`` a repeated line goes whole, however short it or its sentences are (lines of white space alone stay), and
+the floor holds only for sentences of lines that are not repeated. A line is a run of characters other than newline with the
+newlines after it; its units are cut within it.
+
 Each task first settles what it can by itself: of a digest's occurrences it has seen it keeps the first and gives up the
 others, so that a unit that many documents share reaches the shuffle about once a task.
 
@@ -28,10 +32,11 @@ from pyspark.sql import Window
 
 from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slices
 
+LINE = re.compile(r"[^\n]+\n*|\n+")
 UNIT = re.compile(r"[^.\n]+[.\n]*|[.\n]+")
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 MIN_WORDS = 8
-HELD = 400_000
+HELD, SENT = 200_000, 20_000
 UNITS = T.StructType([T.StructField(n, T.LongType()) for n in ("k", "h", "d1", "d2")] + [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lost", T.BooleanType())])
 
 
@@ -45,45 +50,66 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]
     return found
 
 
-def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+def lines(text: str, min_words: int = MIN_WORDS) -> list[list[tuple[int, int, bytes]]]:
+    """Of each line: itself, then its units that may be removed, as units gives them. A line of one unit that may be removed
+    is that unit: wherever it recurs, the unit does."""
+    found = []
+    for m in LINE.finditer(text):
+        own = [(m.start() + start, m.start() + end, digest) for start, end, digest in units(m[0], min_words)]
+        if not own or own[0][:2] != m.span():
+            # lower-cased by unit: lines of equal form then have equal units
+            normal = SPACE.sub(" ", "".join(u[0].lower() for u in UNIT.finditer(m[0]))).strip(" ")
+            if not normal:
+                continue
+            own.insert(0, (*m.span(), hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), digest_size=16, person=b"line").digest()))
+        found.append(own)
+    return found
+
+
+def _occurrences(docs: DataFrame, min_words: int, whole_lines: bool = False) -> DataFrame:
     """Every unit's key, digest and offsets; lost: an earlier one is known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple] = {}
 
-        def batch(rows: list[tuple], lost: bool) -> pa.RecordBatch:
-            digests = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2)
-            k, h, start, end, _ = zip(*rows, strict=True)
-            return arrow_batch(UNITS, [list(k), list(h), digests[:, 0], digests[:, 1], list(start), list(end), [lost] * len(rows)])
+        def batches_of(rows: list[tuple], lost: bool) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(rows), SENT):
+                k, h, start, end, each = zip(*rows[a : a + SENT], strict=True)
+                digests = np.frombuffer(b"".join(each), "<i8").reshape(-1, 2)
+                yield arrow_batch(UNITS, [list(k), list(h), digests[:, 0], digests[:, 1], list(start), list(end), [lost] * len(k)])
 
         for part in slices(batches):
             lost = []
             for k, h, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, end, digest in units(text, min_words):
-                    row = (k, h, start, end, digest)
-                    held = first.setdefault(digest, row)
-                    if held[:3] < row[:3]:
-                        lost.append(row)
-                    elif row[:3] < held[:3]:
-                        lost.append(held)
-                        first[digest] = row
-            if lost:
-                yield batch(lost, True)
+                for group in lines(text, min_words) if whole_lines else ([u] for u in units(text, min_words)):
+                    for start, end, digest in group:
+                        row = (k, h, start, end, digest)
+                        held = first.setdefault(digest, row)
+                        if held[:3] < row[:3]:
+                            lost.append(row)
+                            if digest is group[0][2]:  # the units of a lost line go with it, and the held line's are known
+                                break
+                        elif row[:3] < held[:3]:
+                            lost.append(held)
+                            first[digest] = row
+            yield from batches_of(lost, True)
             if len(first) > HELD:
-                yield batch(list(first.values()), False)
+                yield from batches_of(list(first.values()), False)
                 first = {}
-        if first:
-            yield batch(list(first.values()), False)
+        yield from batches_of(list(first.values()), False)
 
     return keyed(docs).mapInArrow(run, UNITS)
 
 
-def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
     """k, h and spans: the sorted array of (start, end) that go from a document."""
-    found = materialize(_occurrences(docs, min_words))
+    found = materialize(_occurrences(docs, min_words, whole_lines))
     order = Window.partitionBy("d1", "d2").orderBy("k", "h", "start")
     later = found.filter(~F.col("lost")).withColumn("place", F.rank().over(order)).filter("place > 1")
     gone = found.filter("lost").select("k", "h", "start", "end").unionByName(later.select("k", "h", "start", "end"))
+    if whole_lines:  # units of a line that goes lie within its span
+        before = Window.partitionBy("k", "h").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        gone = gone.withColumn("reach", F.max("end").over(before)).filter("reach IS NULL OR end > reach").drop("reach")
     return gone.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -99,13 +125,13 @@ def cut(text: str, spans) -> tuple[str, int, int]:
     return "".join(kept), n_bytes, runs
 
 
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
     """docs with ``text`` cut, and the columns spans, n_removed (bytes) and n_spans (maximal removed runs).
 
     A null text stays null. Columns of docs with those three names are replaced."""
     rest = [c for c in docs.columns if c not in ("spans", "n_removed", "n_spans")]
     own = docs.select(*rest, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__h"))
-    spans = removed_spans(docs, min_words).select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    spans = removed_spans(docs, min_words, whole_lines).select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("struct<text:string,n_removed:long,n_spans:long>")
     def apply(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
@@ -118,13 +144,18 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.select(*columns, F.coalesce("__spans", empty).alias("spans"), F.col("__cut.n_removed").alias("n_removed"), F.col("__cut.n_spans").alias("n_spans"))
 
 
-def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
+def op5_substring_dedup(spark, sf_dir: str, whole_lines: bool = False) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = dedup_units(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
+    done = dedup_units(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), whole_lines=whole_lines)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), spans.alias("removed_offsets"))
 
 
+def op5_whole_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """As op5_substring_dedup, but repeated lines go whole; OP5_SQL has the floor on every sentence and does not apply."""
+    return op5_substring_dedup(spark, sf_dir, whole_lines=True)
+
+
 OP5_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.\n]+[.\n]*|[.\n]+') AS us FROM documents

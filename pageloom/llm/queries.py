@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.decontam import op8_benchmark_decontamination
 from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
-from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup
+from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup, op5_whole_line_dedup
 from pageloom.llm.lm import op9_lm_scoring
 from pageloom.llm.order import op4_training_order
 from pageloom.llm.packing import op6_best_fit_packing
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_training_order": op4_training_order,
         "op5_substring_dedup": op5_substring_dedup,
+        "op5_whole_line_dedup": op5_whole_line_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,

@@ -104,6 +104,36 @@ def test_units_hot_line_is_settled_in_the_task(spark):
     assert [r.doc_id for r in got] == [0]
 
 
+def brute_lines(found):
+    seen, out = set(), {}
+    for doc, text, *_ in ordered(found):
+        kept = []
+        for m in linehash.LINE.finditer(text or ""):
+            normal = " ".join(m[0].lower().replace("\xa0", "~").split())
+            if normal and ("line", normal) in seen:
+                continue
+            seen.add(("line", normal))
+            for u in linehash.UNIT.finditer(m[0]):
+                normal = " ".join(u[0].lower().replace("\xa0", "~").split())
+                if len(normal.split(" ")) >= linehash.MIN_WORDS:
+                    if normal in seen:
+                        continue
+                    seen.add(normal)
+                kept.append(u[0])
+        out[doc] = "".join(kept) if text is not None else None
+    return out
+
+
+def test_whole_lines(spark):
+    a, b = "Short one. Short two! No floor here.", "Seven words are not enough for units"
+    own = [(i, t, "en", "s", 0) for i, t in [(20001, f"{a}\n{b}\nx1"), (20002, f"x2\n\n{a.upper()}\n\n{b}"), (20003, f"{a} {b}\n{a}"), (20004, f"x2\n\n{a.upper()}\n\n{b}")]]
+    found = [r for r in rows() if not (r[0] is None and r[1] is None)] + own
+    got = {r.doc_id: r for r in linehash.dedup_units(frame(spark, found), whole_lines=True).collect()}
+    assert {d: r.text for d, r in got.items()} == brute_lines(found)
+    assert got[20002].text == "x2\n\n" and got[20003].text == f"{a} {b}\n" and got[20004].text == ""
+    assert all(x.end <= y.start for r in got.values() for x, y in zip(r.spans, r.spans[1:], strict=False))
+
+
 # chunks of lines
 
 
