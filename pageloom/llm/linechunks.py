@@ -6,6 +6,10 @@ lines that occur more than once in the corpus are removed but for the first one
 their bytes. Only a row of two hashes per chunk is grouped globally; texts move for the comparison of repeated chunks and
 for the result.
 
+With ``long_line`` nothing is too short to be removed: every chunk that is not white space alone takes part, and a line of at
+least so many characters is a chunk of its own, which also depends on three lines alone. A repeated long line thus goes
+wherever it is, and an exact copy goes whole. What stays are short lines of a repeat in a chunk with other lines.
+
 Lines are what newlines separate, and what is left is joined by newlines again. A null text stays null and counts as empty;
 null ids rank first. Rows of one doc_id with different texts rank by a hash of the text; fully repeated rows count as one
 document and all get its result. Empty tables give empty results; other columns pass through.
@@ -20,6 +24,7 @@ from pyspark.sql import Window
 from pageloom.llm._util import materialize, read_table
 
 DIVISOR, MIN_LINES = 3, 2
+LONG = 99  # fifty words have no fewer characters
 
 
 def _text() -> Column:
@@ -30,7 +35,7 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64(_text()))
 
 
-def chunks(text: Column, divisor: int = DIVISOR) -> Column:
+def chunks(text: Column, divisor: int = DIVISOR, long_line: int | None = None) -> Column:
     """The array of a text's chunks, each an array of lines."""
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
@@ -39,7 +44,9 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     def cut(p: Column) -> Column:
         n = F.size(p["lines"])
         at = lambda i: F.coalesce(F.get(p["hashes"], i), F.lit(0))
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((at(i - 1) + 31 * at(i - 2) + 961 * at(i - 3)) % divisor == 0))
+        by_hash = lambda i: (i == n) | ((at(i - 1) + 31 * at(i - 2) + 961 * at(i - 3)) % divisor == 0)
+        is_long = lambda i: F.length(F.get(p["lines"], i)) >= long_line
+        ends = F.filter(F.sequence(F.lit(1), n), by_hash if long_line is None else lambda i: by_hash(i) | is_long(i - 1) | is_long(i))
         return F.struct(p["lines"].alias("lines"), ends.alias("ends"))
 
     def part(p: Column) -> Column:
@@ -51,12 +58,12 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     return bound[0]
 
 
-
-def removed_chunks(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
+def removed_chunks(docs: DataFrame, divisor: int, min_lines: int, long_line: int | None = None) -> DataFrame:
     """__k, __h and gone: the places (from 0) of the chunks that go from a document."""
     keyed = _key(docs).select("__k", "__h", _text().alias("text"))
-    cut = chunks(F.col("text"), divisor)
-    marks = F.transform(cut, lambda c, j: F.when(F.size(c) >= min_lines, F.struct(j.alias("no"), F.xxhash64(F.array_join(c, "\n")).alias("c1"), F.xxhash64(F.lit(1), F.array_join(c, "\n"), F.size(c)).alias("c2"))))
+    cut = chunks(F.col("text"), divisor, long_line)
+    taken = lambda c: F.size(c) >= min_lines if long_line is None else (F.size(c) >= min_lines) | F.array_join(c, "").rlike(r"\S")
+    marks = F.transform(cut, lambda c, j: F.when(taken(c), F.struct(j.alias("no"), F.xxhash64(F.array_join(c, "\n")).alias("c1"), F.xxhash64(F.lit(1), F.array_join(c, "\n"), F.size(c)).alias("c2"))))
     lean = materialize(keyed.select("__k", "__h", F.explode(marks).alias("m")).filter("m IS NOT NULL").select("__k", "__h", "m.no", "m.c1", "m.c2").distinct())
     place = F.struct("__k", "__h", "no")
     repeated = lean.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
@@ -73,14 +80,14 @@ def removed_chunks(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
     return gone.unionByName(apart.select("__k", "__h", "no")).groupBy("__k", "__h").agg(F.collect_list("no").alias("__gone"))
 
 
-def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
+def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, counts: bool = False, long_line: int | None = None) -> DataFrame:
     """docs with text cut; with counts also n_lines, n_removed_lines and n_removed_chunks (replacing columns of these names)."""
     added = ["n_lines", "n_removed_lines", "n_removed_chunks"] if counts else []
     rest = [c for c in docs.columns if c not in added]
-    gone = removed_chunks(docs, divisor, min_lines)
+    gone = removed_chunks(docs, divisor, min_lines, long_line)
     joined = _key(docs).repartition("__k", "__h").join(gone, ["__k", "__h"], "left")
     bound = F.transform(
-        F.array(F.struct(chunks(_text(), divisor).alias("cut"), F.col("__gone").alias("gone"))),
+        F.array(F.struct(chunks(_text(), divisor, long_line).alias("cut"), F.col("__gone").alias("gone"))),
         lambda p: F.struct(
             F.array_join(F.flatten(F.filter(p["cut"], lambda c, j: ~F.array_contains(p["gone"], j))), "\n").alias("text"),
             F.aggregate(p["cut"], F.lit(0), lambda n, c: n + F.size(c)).alias("n_lines"),
@@ -100,6 +107,11 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_line_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op3_whole_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup with one-line chunks taking part and long lines apart; OP3_SQL has the other rule and does not apply."""
+    return dedup_line_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, long_line=LONG)
+
+
 #: Rows of ``source`` (doc_id, text) without the repeated chunks; ``made`` has one row per document.
 CHUNKS_SQL = """
 {p}lines AS (

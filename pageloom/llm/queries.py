@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm.decontam import op8_benchmark_decontamination
-from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup
+from pageloom.llm.linechunks import OP3_SQL, op3_line_dedup, op3_whole_line_dedup
 from pageloom.llm.linehash import OP5_SQL, op5_substring_dedup, op5_whole_line_dedup
 from pageloom.llm.lm import op9_lm_scoring
 from pageloom.llm.order import op4_training_order
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_line_dedup": op3_line_dedup,
+        "op3_whole_line_dedup": op3_whole_line_dedup,
         "op4_training_order": op4_training_order,
         "op5_substring_dedup": op5_substring_dedup,
         "op5_whole_line_dedup": op5_whole_line_dedup,

@@ -171,6 +171,37 @@ def test_chunks(spark):
     assert all(r.n_removed_lines < r.n_lines or r.text == "" for r in got if r.n_removed_chunks)
 
 
+def brute_whole_chunks(found):
+    seen, out = set(), {}
+    for doc, text, *_ in ordered(found):
+        each, kept, chunk, gone = (text or "").split("\n"), [], [], 0
+        h = [0, 0, *(int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in each)]
+        for i, line in enumerate(each):
+            chunk.append(line)
+            last = i == len(each) - 1
+            if last or (h[i + 2] + 31 * h[i + 1] + 961 * h[i]) % linechunks.DIVISOR == 0 or max(len(line), len(each[i + 1])) >= linechunks.LONG:
+                if tuple(chunk) in seen and (len(chunk) >= linechunks.MIN_LINES or chunk[0].strip()):
+                    gone += 1
+                else:
+                    kept += chunk
+                seen.add(tuple(chunk))
+                chunk = []
+        out[doc] = ("\n".join(kept) if gone else text, gone)
+    return out
+
+
+def test_whole_chunks(spark):
+    line = " ".join(f"w{i}" for i in range(50))
+    found = [r for r in rows(n=60) if not (r[0] is None and r[1] is None)] + [(20000 + i, t, "en", "s", 0) for i, t in enumerate([f"a1\n{line}\nb1", "one line", f"a2\n{line}\nb2", "one line", line])]
+    got = {r.doc_id: (r.text, r.n_removed_chunks) for r in linechunks.dedup_line_chunks(frame(spark, found), counts=True, long_line=linechunks.LONG).collect()}
+    assert got == brute_whole_chunks(found)
+    assert got[20002][0] == "a2\nb2" and got[20003][0] == got[20004][0] == ""
+    first = {}
+    for doc, text, *_ in ordered(found):
+        if (text or "").strip() and first.setdefault(text, doc) != doc:
+            assert not got[doc][0].strip()
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [f"line {i}" for i in range(50)]
     cuts = lambda x: {tuple(c) for c in _cut(x)}
