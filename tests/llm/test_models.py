@@ -12,7 +12,7 @@ from corpus import frame, rows
 from corpus import words as some_words
 from pyspark.sql import functions as F
 
-from pageloom.llm import attention, decontam, lm, simhash, tokens, toxicity
+from pageloom.llm import _util, attention, decontam, lm, simhash, tokens, toxicity
 
 # toxicity
 
@@ -177,6 +177,35 @@ def test_model_beats_chance_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_sample_grows_and_all_texts_count(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = some_words(rng, 60)
+    docs = [(i, " ".join(rng.choices(vocabulary, k=80)), "en", "s", 0) for i in range(60)] + [(60, " ".join(rng.choices(vocabulary, k=60_000)), "en", "s", 0)]
+    path, seen = tokens.default_vocabulary(), {}
+    rows = _util.materialize(lm.tokenised(frame(spark, docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.lit(False).alias("held_out")), path))
+    ids = [np.frombuffer(r["ids"], np.int32) for r in rows.collect()]
+    symbols = attention.Vocabulary.of_counts(np.bincount(np.concatenate(ids), minlength=1 << 16).astype(float))
+    inputs, queried, targets, _ = attention.blocks_of([symbols.symbols[x] for x in ids])
+    for trainers, share in ((1, 1.0), (4, 0.25)):
+        made = lm.gather(rows, symbols, trainers, share).collect()
+        pairs = Counter()
+        for r in made:
+            if r["pair"] is not None:
+                pairs[r["pair"]] += r["c"]
+        want = attention.pair_counts(inputs[queried].reshape(-1), targets)
+        assert dict(pairs) == {int(i): int(want[i]) for i in np.flatnonzero(want)}  # of all texts, whatever the share
+        blocks = [r for r in made if r["pair"] is None]
+        assert {r["trainer"] for r in blocks} == set(range(trainers)) and abs(len(blocks) - share * queried.sum()) < 0.1 * queried.sum()
+    # trainers follow the training ids
+    real = lm.gather
+    monkeypatch.setattr(lm, "gather", lambda t, s, trainers, share: seen.update({per: (trainers, share)}) or real(t, s, trainers, share))
+    for per in (10**9, 20_000):
+        monkeypatch.setattr(lm, "PER_TRAINER", per)
+        got = lm.score_texts(frame(spark, docs), sample_ids=4_000, steps=4).collect()
+        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert seen[10**9][0] == 1 and seen[20_000][0] > 2 and seen[20_000][1] > 2 * seen[10**9][1]
+
+
 def test_language_model_without_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
 
