@@ -177,6 +177,11 @@ def test_model_beats_chance_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_model_has_its_whole_size():
+    p, _ = attention.start(np.array([1, 2, 3], np.int32), np.array([2, 3, 0], np.int32))
+    assert p["E"].shape[1] == 32 and p["Wk"].shape == (32, 16) and p["W1"].shape == (64, 64)
+
+
 def test_sample_grows_and_all_texts_count(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = some_words(rng, 60)
