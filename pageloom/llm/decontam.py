@@ -8,7 +8,8 @@ some run of its words is within floor(max_edit * m) word edits (insert, delete,
 2. CGK embedding. A window is read by a random walk: at each of 3 m steps the symbol under the pointer is written and a
    random bit of (step, symbol) decides whether the pointer moves. Edit distance becomes Hamming distance.
 3. Bit sampling. A key is a sample of embedded positions; a window that has a key of the item's is a candidate. The number
-   of walks follows from the target recall, measured on copies of the items with as many edits as are allowed.
+   of walks follows from the target recall, measured on copies of the items with as many edits as are allowed, by the items'
+   length. Items for which ``MOST`` walks miss the target skip this step: all their windows are candidates.
 4. Exact check. The least edit distance of the item to any run of words in the candidate's neighbourhood decides.
 
 Items are used in blocks of at most ``block_bytes``; each block is sent to the tasks whole, and more blocks mean more passes.
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slices
 
 MAX_EDIT, MIN_WORDS, RECALL, GRAM, SAMPLE, PER_WALK = 0.2, 5, 0.99, 3, 4, 4
+MOST, SAMPLED = 96, 100  # walks; words of the longest items that go by them
 CACHE = 300_000
 EDGE = re.compile(r"^\W+|\W+$")
 HITS = T.StructType([T.StructField("k", T.LongType()), T.StructField("h", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType()), T.StructField("end_word", T.IntegerType())])
@@ -113,7 +115,7 @@ class Item:
     k: int
     width: int
     need: int  # grams that must be left
-    keys: np.ndarray  # by (walk, sample)
+    keys: np.ndarray  # by (walk, sample); none: every window is a candidate
 
 
 @dataclass
@@ -155,8 +157,9 @@ def edited(item: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def walks_needed(items: list[tuple[np.ndarray, int]], recall: float, trials: int = 200, most: int = 96) -> int:
-    """Walks at which copies of items with as many edits as are allowed share a key in the target share of trials."""
+def walks_needed(items: list[tuple[np.ndarray, int]], recall: float, trials: int = 200, most: int = MOST) -> int:
+    """Walks at which copies of items with as many edits as are allowed share a key in the target share of trials; 0 where most
+    are too few."""
     rng, needed = np.random.default_rng(1), []
     for t in range(trials if items else 0):
         item, k = items[t * len(items) // trials]
@@ -164,7 +167,8 @@ def walks_needed(items: list[tuple[np.ndarray, int]], recall: float, trials: int
         both = np.concatenate([item, copy])
         keys = _keys(both, np.array([0, len(item)]), np.array([len(item), len(both)]), len(item), range(most))
         needed.append(int(np.append((keys[0] == keys[1]).any(axis=1), True).argmax()) + 1)
-    return min(most, int(np.quantile(needed, recall, method="higher"))) if needed else 1
+    walks = int(np.quantile(needed, recall, method="higher")) if needed else 1
+    return walks if walks <= most else 0
 
 
 def build(rows: list[tuple[int, str]], max_edit: float = MAX_EDIT, min_words: int = MIN_WORDS, recall: float = RECALL) -> Index:
@@ -175,13 +179,17 @@ def build(rows: list[tuple[int, str]], max_edit: float = MAX_EDIT, min_words: in
         if len(each) >= min_words:
             by_words[each.tobytes()].append(item_id)
     found = [np.frombuffer(raw, np.uint64) for raw in sorted(by_words)]
-    # fewer items than trials would leave the target to a few lengths, more are sampled evenly
-    walks = walks_needed([(x, edits_allowed(len(x), max_edit)) for x in sorted(found, key=len)], recall)
+    # by powers of two of the length; fewer items than trials would leave the target to a few lengths, more are sampled evenly
+    by_length = defaultdict(list)
+    for x in sorted(found, key=len):
+        by_length[len(x).bit_length()].append((x, edits_allowed(len(x), max_edit)))
+    walks = {b: walks_needed([i for i in each if len(i[0]) <= SAMPLED], recall) for b, each in by_length.items()}
     index, gram_rows = Index(), defaultdict(list)
     for each in found:
         m, k = len(each), edits_allowed(len(each), max_edit)
         width = _gram_width(m, k)
-        keys = _keys(each, np.array([0]), np.array([m]), m, range(walks))[0]
+        by = walks[m.bit_length()] if m <= SAMPLED else 0
+        keys = _keys(each, np.array([0]), np.array([m]), m, range(by))[0] if by else np.empty((0, PER_WALK), np.uint64)
         own = np.unique(grams(each, width))
         gram_rows[width].append((own, np.full(len(own), len(index.items))))
         index.items.append(Item(each, by_words[each.tobytes()], k, width, m - width + 1 - width * k, keys))
@@ -224,6 +232,8 @@ def _clusters(each: np.ndarray, index: Index) -> Iterator[tuple[Item, np.ndarray
 def shares_key(each: np.ndarray, item: Item, starts: np.ndarray, kept: np.ndarray) -> bool:
     """Whether some window has a key of the item: first the window with most grams, then all, walks doubling."""
     m, walks = len(item.words), len(item.keys)
+    if not walks:
+        return True
     best = starts[kept == kept.max()]
     best = best[len(best) // 2 :][:1] if len(best) > 1 else best
     done, step = 0, 1

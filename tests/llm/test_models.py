@@ -283,6 +283,18 @@ def test_recall_at_the_threshold():
     assert hits >= 0.95 * total
 
 
+def test_long_items_are_found():
+    rng = np.random.default_rng(12)
+    index = decontam.build([(0, " ".join(some_words(random.Random(9), 800)))])
+    item, known = index.items[0], decontam.WordHashes()
+    for _ in range(15):
+        pad = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+        each = np.concatenate([pad[:20], decontam.edited(item.words, item.k, rng), pad[20:]])
+        found = [c for c in decontam._clusters(each, index)]
+        assert found and any(decontam.shares_key(each, it, starts, kept) for it, starts, kept in found)
+    assert decontam.walks_needed([(item.words, item.k)], 0.99, trials=20, most=1) == 0 and not known
+
+
 def test_least_edits():
     def plain(a, b):
         row = [0] * (len(b) + 1)
