@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pageloom.functions import boxes
+from pageloom.operators import slices
 
 
 def project(df: DataFrame, names: dict[int, str]) -> DataFrame:
@@ -46,47 +50,98 @@ def _ious(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return shared / np.maximum(size(one) + size(many) - shared, 1e-12)
 
 
+def _in_groups(df: DataFrame, key: list[str], order: list[Column], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+    """run over many whole groups at once: rows by key and order, and where each group begins. Partitions are sorted and read in
+    batches; a group that goes on in the next batch waits for it."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            begins = np.zeros(len(rows), bool)
+            begins[0] = True
+            for k in key:
+                before = rows[k].shift()
+                begins |= ((rows[k] != before) & ~(rows[k].isna() & before.isna())).to_numpy()
+            starts = np.flatnonzero(begins)
+            held = rows[starts[-1] :].reset_index(drop=True)
+            if len(starts) > 1:
+                yield run(rows[: starts[-1]], starts)
+        if held is not None:
+            yield run(held, np.array([0, len(held)]))
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(each, schema)
+
+
+CORNERS = ["x0", "y0", "x1", "y1"]
+
+
 def suppress(df: DataFrame, image: str = "image", iou: float = 0.7, most: int = 300) -> DataFrame:
     """Greedy non-maximum suppression within an image and class; df: image, box_id, cls, conf, x0, y0, x1, y1."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["conf", "box_id"], ascending=[False, True], kind="stable")
-        corners, kept = group[["x0", "y0", "x1", "y1"]].to_numpy(), []
-        for i in range(len(group)):
-            if len(kept) < most and not (kept and (_ious(corners[i], corners[kept]) > iou).any()):
-                kept.append(i)
-        return group.iloc[kept]
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        corners, kept = rows[CORNERS].to_numpy(), []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            own = [a][:most]
+            for i in range(a + 1, b):
+                if len(own) < most and not (_ious(corners[i], corners[own]) > iou).any():
+                    own.append(i)
+            kept += own
+        return rows.iloc[kept]
 
-    return df.groupBy(image, "cls").applyInPandas(run, df.schema)
+    return _in_groups(df, [image, "cls"], [F.col("conf").desc(), F.col("box_id")], run, df.schema)
 
 
 def average_precision(truth: DataFrame, found: DataFrame, image: str = "image", iou: float = 0.5) -> DataFrame:
-    """Precision, recall and average precision by class: greedy matching per image, then one cumulative window per class.
-
-    truth: image, cls, x0..y1. found: the same with conf and box_id. Area under the precision envelope over recall."""
-    corners = ["x0", "y0", "x1", "y1"]
-
-    def match(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        mine = mine.sort_values(["conf", "box_id"], ascending=[False, True], kind="stable")
-        free, hit = np.ones(len(theirs), bool), []
-        there = theirs[corners].to_numpy()
-        for one in mine[corners].to_numpy():
-            score = np.where(free, _ious(one, there), 0) if len(there) else np.zeros(0)
-            best = int(score.argmax()) if len(score) else -1
-            ok = best >= 0 and score[best] >= iou
-            if ok:
-                free[best] = False
-            hit.append(ok)
-        return pd.DataFrame({"cls": key[1], "conf": mine["conf"].to_numpy(), "box_id": mine["box_id"].to_numpy(), "image": key[0], "hit": np.array(hit, int)})
+    """Precision, recall and average precision by class: greedy matching per image, then cumulative
+    counts over ranges of confidence (slices.in_slices).
 
+    truth: image, cls, x0..y1. found: the same with conf and box_id. Area under the precision
+    envelope over recall. Boxes of equal overlap are taken by their corners."""
     kind = dict(found.dtypes)
+    none = [F.lit(None).cast("double").alias("conf"), F.lit(None).cast(kind["box_id"]).alias("box_id"), F.lit(False).alias("found")]
+    truth = truth.select(F.col(image).cast(kind[image]).alias("image"), F.col("cls").cast(kind["cls"]).alias("cls"), *CORNERS)
+    mine = found.select(F.col(image).alias("image"), "cls", *CORNERS, F.col("conf").cast("double").alias("conf"), "box_id", F.lit(True).alias("found"))
+
+    def match(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        corners, is_found, hit = rows[CORNERS].to_numpy(), rows["found"].to_numpy(), np.zeros(len(rows), np.int32)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            n = int(b - a - is_found[a:b].sum())  # true boxes come first
+            there, free = corners[a : a + n], np.ones(n, bool)
+            for i in range(a + n, b) if n else ():
+                score = np.where(free, _ious(corners[i], there), 0)
+                best = int(score.argmax())
+                if score[best] >= iou:
+                    free[best], hit[i] = False, 1
+        return rows.assign(hit=hit).loc[is_found, ["cls", "conf", "box_id", "image", "hit"]]
+
     schema = f"cls {kind['cls']}, conf double, box_id {kind['box_id']}, image {kind[image]}, hit int"
-    hits = found.groupBy(image, "cls").cogroup(truth.groupBy(image, "cls")).applyInPandas(match, schema)
+    order = [F.col("found"), F.col("conf").desc(), F.col("box_id"), *map(F.col, CORNERS)]
+    hits = _in_groups(truth.select("*", *none).unionByName(mine), ["image", "cls"], order, match, schema)
     total = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("truth"))
-    run = Window.partitionBy("cls").orderBy(F.col("conf").desc(), "image", "box_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = hits.withColumn("tp", F.sum("hit").over(run)).withColumn("n", F.count(F.lit(1)).over(run)).join(F.broadcast(total), "cls")
-    curve = curve.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.col("tp") / F.col("truth"))
-    ahead = Window.partitionBy("cls").orderBy(F.col("conf").desc(), "image", "box_id").rowsBetween(0, Window.unboundedFollowing)
-    envelope = curve.withColumn("best", F.max("precision").over(ahead))
-    made = envelope.groupBy("cls").agg(F.sum(F.col("hit") * F.col("best") / F.col("truth")).alias("ap"), F.max_by("precision", "n").alias("precision"), F.max("recall").alias("recall"))
-    return total.join(made, "cls", "left").select("cls", "truth", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "ap")])
+    order = [F.col("conf").desc(), F.col("image"), F.col("box_id")]
+    sliced = slices.in_slices(hits, ["cls"], order)
+    run = slices.within(["cls"], order)
+    local = sliced.withColumn("tp", F.sum("hit").over(run)).withColumn("n", F.count(F.lit(1)).over(run))
+    before = slices.carried(sliced, ["cls"], {"n_tp": F.sum("hit"), "n_rows": F.count(F.lit(1))})
+    curve = slices.joined(local, before, ["cls"]).withColumns({"tp": F.col("tp") + F.coalesce("n_tp", F.lit(0)), "n": F.col("n") + F.coalesce("n_rows", F.lit(0))}).drop("n_tp", "n_rows")
+    curve = curve.withColumn("precision", F.col("tp") / F.col("n"))
+    # the envelope: the best precision from a row on, first within its range, then of the ranges after it
+    ahead = Window.partitionBy("cls", slices.SLICE).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    after = slices.carried(curve, ["cls"], {"later": F.max("precision")}, backwards=True)
+    envelope = slices.joined(curve.withColumn("best", F.max("precision").over(ahead)), after, ["cls"]).withColumn("best", F.greatest("best", "later"))
+    made = envelope.groupBy("cls").agg(F.sum(F.col("hit") * F.col("best")).alias("area"), F.max_by("precision", "n").alias("precision"), F.max("tp").alias("tp"))
+    whole = total.join(made, "cls", "left")
+    return whole.select("cls", "truth", F.coalesce("precision", F.lit(0.0)).alias("precision"), F.coalesce(F.col("tp") / F.col("truth"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("area") / F.col("truth"), F.lit(0.0)).alias("ap"))
+
+
+def mean_average_precision(truth: DataFrame, found: DataFrame, image: str = "image", ious: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))) -> DataFrame:
+    """Per class: truth, precision and recall at the first threshold, the average precision there (ap50) and its mean over all
+    thresholds (ap50_95)."""
+    each = [average_precision(truth, found, image, t).withColumn("iou", F.lit(t)) for t in ious]
+    every = functools.reduce(DataFrame.unionByName, each)
+    first = F.col("iou") == ious[0]
+    at_first = [F.max(F.when(first, F.col(c))).alias(a) for c, a in (("truth", "truth"), ("precision", "precision"), ("recall", "recall"), ("ap", "ap50"))]
+    return every.groupBy("cls").agg(*at_first, F.avg("ap").alias("ap50_95"))

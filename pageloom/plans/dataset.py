@@ -12,6 +12,8 @@ from pageloom.functions import boxes
 from pageloom.operators import match, split
 from pageloom.sources import readers, writers
 
+EXACT_FILES = 20_000  # names that the driver shuffles and sends to the tasks at most, unless asked to
+
 
 @dataclass
 class Dataset:
@@ -22,12 +24,15 @@ class Dataset:
     counts: DataFrame  # what, name, n
 
 
-def build(annotations: DataFrame, images: DataFrame, share: float = 0.2, seed: int = 42, classes: tuple[str, ...] = schemas.BOX_CLASSES, exact_shuffle: bool = True) -> Dataset:
+def build(annotations: DataFrame, images: DataFrame, share: float = 0.2, seed: int = 42, classes: tuple[str, ...] = schemas.BOX_CLASSES, exact_shuffle: bool | None = None) -> Dataset:
     """images: name, path. With exact_shuffle the split is a seeded driver-side shuffle of the matched file names in
-    annotation order (file lists are small); else it is the digest split, which has no driver-side list."""
+    annotation order; else it is the digest split, which has no driver-side list. Unless told, lists of up to EXACT_FILES
+    files are shuffled."""
     files = annotations.groupBy("filename").agg(F.min("file_ord").alias("file_ord"))
     pairs = match.require_pairs(match.matched(files, images).select("filename", "file_ord", "name", "path"))
     absent = match.missing(files, images).select("filename")
+    if exact_shuffle is None:
+        exact_shuffle = pairs.select("filename").limit(EXACT_FILES + 1).count() <= EXACT_FILES
     if exact_shuffle:
         names = [r["filename"] for r in pairs.select("filename", "file_ord").orderBy("file_ord").collect()]
         train, val = split.seeded_shuffle_split(names, share, seed)

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pageloom import schemas
 from pageloom.functions.text import extension, norm_name
 from pageloom.operators.match import last_per_key
+from pageloom.operators.slices import numbered
 
 
 def images(spark: SparkSession, path: str, extensions: tuple[str, ...] = schemas.PAGE_EXTENSIONS, content: bool = True) -> DataFrame:
@@ -43,7 +44,7 @@ def class_of(path: str):
 
 def ordered_crops(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """ord: the place by (dir_ord, path), within a key if one is given; paths compare as text."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy(*(key or ["dir_ord"])).orderBy("dir_ord", "path")))
+    return numbered(df, key or ["dir_ord"], [F.col("dir_ord"), F.col("path")], "ord")
 
 
 def literal_annotations(text: str, name: str = "ANN") -> dict[str, list[tuple]]:
@@ -82,12 +83,16 @@ def annotation_file(spark: SparkSession, path: str) -> DataFrame:
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
     """Box label text: one line a box, split and stem from the path (…/<split>/<stem>.txt)."""
-    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.url_decode("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    parts = F.split(F.trim("value"), r"\s+")
+    return label_lines(spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.url_decode("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+def label_lines(texts: DataFrame) -> DataFrame:
+    """The boxes of label texts (path, text): blank lines are skipped, but for that lines are numbered from 1."""
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    one = texts.select(class_of("path").alias("split"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("stem"), F.posexplode(lines).alias("at", "line"))
+    parts = F.split("line", r"\s+")
     numbers = [F.get(parts, i).cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)]
-    line = F.row_number().over(Window.partitionBy("path").orderBy("at")).alias("line_no")
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return lines.filter(F.trim("value") != "").select(class_of("path").alias("split"), stem.alias("stem"), line, F.get(parts, 0).cast("int").alias("cls"), *numbers)
+    return one.select("split", "stem", (F.col("at") + 1).alias("line_no"), F.get(parts, 0).cast("int").alias("cls"), *numbers)
 
 
 def training_log(spark: SparkSession, path: str) -> DataFrame:
@@ -96,12 +101,13 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_arguments(argv: list[str] | None = None) -> argparse.Namespace:
-    """Command line of the page pipeline. Structure recognition is off unless asked for (the library's default is on)."""
+    """Command line of the page pipeline: an image, a folder or a pattern. Structure recognition is off unless asked for (the
+    library's default is on)."""
     p = argparse.ArgumentParser(prog="pageloom-pages")
     p.add_argument("page")
     p.add_argument("--weights", default=None)
     p.add_argument("--ocsr", action="store_true")
-    p.add_argument("--run-dir", default="runs")
+    p.add_argument("--run-dir", default=None)
     return p.parse_args(argv)
 
 

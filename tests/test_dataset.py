@@ -1,12 +1,13 @@
 import pytest
+from pyspark.sql import functions as F
 
-from pageloom.operators import split, traininglog
+from pageloom.operators import slices, split, traininglog
 from pageloom.plans import dataset
 from pageloom.sources import readers, writers
 
 SOURCE = '''
 ANN = {
-    "a b.png": [("reaction_scheme", 0.26, 0.265, 0.74, 0.375), ("chemical_structure", 0.26, 0.265, 0.41, 0.365)],
+    "a b.png": [("reaction_scheme", 0.125, 0.25, 0.875, 0.5), ("chemical_structure", 0.1, 0.3, 0.3, 0.45)],
     "none.png": [("arrow", 0.1, 0.1, 0.2, 0.2)],
     "lost.png": [("reaction_scheme", 0.1, 0.1, 0.2, 0.2)],
 }
@@ -31,7 +32,7 @@ def test_dataset(spark, tmp_path):
     made = dataset.build(readers.annotation_file(spark, str(ann)), readers.images_by_name(spark, str(pictures)))
     assert [r.filename for r in made.missing.collect()] == ["lost.png"]
     texts = {r.stem: r.text for r in made.labels.collect()}
-    assert texts == {"a_b": "1 0.500000 0.320000 0.480000 0.110000\n0 0.335000 0.315000 0.150000 0.100000\n", "none": "", "late": "0 0.150000 0.150000 0.100000 0.100000\n"}
+    assert texts == {"a_b": "1 0.500000 0.375000 0.750000 0.250000\n0 0.200000 0.375000 0.200000 0.150000\n", "none": "", "late": "0 0.150000 0.150000 0.100000 0.100000\n"}
     counts = {(r["what"], r["name"]): r["n"] for r in made.counts.collect()}
     assert counts[("images", "val")] == 1 and counts[("images", "train")] == 2
     assert counts[("boxes", "reaction_scheme")] == 1 and counts[("boxes", "chemical_structure")] == 2 and counts[("missing", "lost.png")] == 1
@@ -91,3 +92,46 @@ def test_training_log(spark, tmp_path):
     assert traininglog.best_and_patience(log, ["run"], "epoch", "m").first().asDict() == {"run": 1, "best": 0.5, "best_at": 6, "longest_wait": 3}
     tie = log.filter("epoch < 6")
     assert traininglog.best_and_patience(tie, ["run"], "epoch", "m").first().best_at == 2
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_progress_over_ranges(spark, parts):
+    """Against a plain loop: several ranges per series, null keys, a rising series and a constant one."""
+    import random
+
+    rng = random.Random(4)
+    series = {"a": [rng.random() for _ in range(300)], "up": list(range(200)), "flat": [1.0] * 50, None: [rng.randint(0, 9) for _ in range(80)], "one": [3.0]}
+    found = [(k, i, float(v)) for k, vs in series.items() for i, v in enumerate(vs)]
+    rng.shuffle(found)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(found, "s string, i int, m double")
+        got = {r.s: (r.best, r.best_at, r.longest_wait) for r in traininglog.best_and_patience(df, ["s"], "i", "m").collect()}
+        numbers = {(r.s, r.i): r.ord for r in slices.numbered(df, ["s"], [F.col("i").desc()], "ord").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for k, vs in series.items():
+        best, wait, longest = None, 0, 0
+        for v in vs:
+            if best is None or v > best:
+                best, wait = v, 0
+            else:
+                wait += 1
+            longest = max(longest, wait)
+        assert got[k] == (best, vs.index(best), longest)
+        assert all(numbers[k, i] == len(vs) - i for i in range(len(vs)))
+
+
+def test_long_file_lists_are_split_by_digest(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "EXACT_FILES", 3)
+    ann = readers.annotations(spark, {f"{i}.png": [("reaction_scheme", 0, 0, 1, 1)] for i in range(10)})
+    images = spark.createDataFrame([(f"{i}.png", f"/{i}.png") for i in range(10)], "name string, path string")
+    made = dataset.build(ann, images)
+    assert {r.filename: r.split for r in made.images.collect()} == {r.filename: r.split for r in split.hash_split(ann.select("filename"), "filename").collect()}
+
+
+def test_label_lines(spark):
+    texts = spark.createDataFrame([("/x/train/a b.txt", "1 0.5 0.25  0.5 0.5\r\n\n 0 1 1 1 1 \n"), ("/x/val/e.txt", "")], "path string, text string")
+    assert [tuple(r) for r in readers.label_lines(texts).orderBy("line_no").collect()] == [("train", "a b", 1, 1, 0.5, 0.25, 0.5, 0.5), ("train", "a b", 2, 0, 1.0, 1.0, 1.0, 1.0)]
