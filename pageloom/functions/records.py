@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom import schemas
-from pageloom.functions.text import validate_smiles
+from pageloom.functions.text import canonical_smiles
 
 FENCE = re.compile(r"```(?:json)?(.*?)```", re.DOTALL)
 
@@ -87,10 +87,11 @@ def _object(value) -> dict:
 
 
 def valid_entity(value) -> dict:
+    """An entity's fields; its structure is validated on the way."""
     e = _object(value)
     if "text" not in e or "label" not in e:
         raise Invalid("missing field")
-    return {"text": _text(e["text"], True), "label": _text(e["label"], True), "normalized": _text(e.get("normalized")), "smiles": _text(e.get("smiles")), "source": _text(e.get("source", "page"), True)}
+    return {"text": _text(e["text"], True), "label": _text(e["label"], True), "normalized": _text(e.get("normalized")), "smiles": canonical_smiles(_text(e.get("smiles"))), "source": _text(e.get("source", "page"), True)}
 
 
 def valid_entities(value) -> list[dict]:
@@ -168,14 +169,5 @@ def summary_of(texts: pd.Series) -> pd.DataFrame:
 
 
 def finish_entities(entities: Column, source: str) -> Column:
-    """Structures are validated again; an entity's empty source becomes the caller's."""
+    """An entity's empty source becomes the caller's, an empty structure null."""
     return F.transform(entities, lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"), e["normalized"].alias("normalized"), F.nullif(e["smiles"], F.lit("")).alias("smiles"), F.when(e["source"] == "", F.lit(source)).otherwise(e["source"]).alias("source")))
-
-
-def canonical_entities(df, column: str, key: list[str]):
-    """With RDKit, structures of an entity column are made canonical; UDFs can't run inside transform, so the array is
-    opened and closed again in order."""
-    opened = df.select(*key, F.posexplode_outer(column).alias("pos", "e")).withColumn("smiles", validate_smiles(F.col("e.smiles")))
-    fields = [F.col(f"e.{n}").alias(n) if n != "smiles" else F.col("smiles") for n in schemas.ENTITY.names]
-    closed = opened.withColumn("one", F.when(F.col("e").isNotNull(), F.struct("pos", F.struct(*fields).alias("e")))).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["e"]).alias(column))
-    return df.drop(column).join(closed, key)

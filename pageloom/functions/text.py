@@ -122,17 +122,26 @@ def to_json_all(c: str | Column) -> Column:
     return F.to_json(_col(c), {"ignoreNullFields": "false"})
 
 
-def validate_smiles(c: str | Column) -> Column:
+def canonical_smiles(text: str | None) -> str | None:
     """Empty becomes null. With RDKit installed a structure is made canonical or null, else it passes as it is."""
+    if not text:
+        return None
     try:
         from rdkit import Chem
     except ImportError:
+        return text
+    found = Chem.MolFromSmiles(text)
+    return Chem.MolToSmiles(found) if found else None
+
+
+def validate_smiles(c: str | Column) -> Column:
+    """canonical_smiles of a column; a built-in where RDKit is not installed."""
+    if not capabilities()["rdkit"]:
         return F.nullif(_col(c), F.lit(""))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(schemas.STR)
     def canonical(texts: pd.Series) -> pd.Series:
-        mols = [Chem.MolFromSmiles(t) if t else None for t in texts]
-        return pd.Series([Chem.MolToSmiles(m) if m else None for m in mols])
+        return texts.map(canonical_smiles, na_action="ignore")
 
     return canonical(_col(c))
 

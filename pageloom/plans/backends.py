@@ -53,9 +53,7 @@ def encode_image(content: bytes, longest: int, turn: int = 0) -> str:
     image = Image.open(io.BytesIO(content)).convert("RGB")
     if turn:
         image = image.rotate(-turn, expand=True)
-    if max(image.size) > longest:
-        scale = longest / max(image.size)
-        image = image.resize((max(1, round(image.width * scale)), max(1, round(image.height * scale))))
+    image.thumbnail((longest, longest))
     out = io.BytesIO()
     image.save(out, format="PNG")
     return base64.b64encode(out.getvalue()).decode()
@@ -88,6 +86,33 @@ class HttpModels:
         return with_retries(lambda: self._chat(c.llm_url, c.llm_key, body), c.max_retries)
 
 
+@dataclass
+class WeightsDetector:
+    """A detector from trained weights; needs the ultralytics package and Pillow. Crops are PNG bytes."""
+
+    config: Config
+
+    def __post_init__(self):
+        from ultralytics import YOLO
+
+        self.model = YOLO(self.config.weights)
+
+    def names(self) -> dict[int, str]:
+        return dict(self.model.names)
+
+    def detect(self, image: bytes) -> list[tuple[int, float, list[float], bytes | None]]:
+        from PIL import Image
+
+        c, picture = self.config, Image.open(io.BytesIO(image)).convert("RGB")
+        (result,) = self.model.predict(picture, conf=c.least_confidence, imgsz=c.image_size, device=c.device, verbose=False)
+        found = []
+        for b in result.boxes:
+            corners, out = b.xyxy[0].tolist(), io.BytesIO()
+            picture.crop(tuple(map(int, corners))).save(out, format="PNG")
+            found.append((int(b.cls), float(b.conf), corners, out.getvalue()))
+        return found
+
+
 class NoStructures:
     """The default: structures are not recognised, every result is null."""
 

@@ -16,8 +16,10 @@ class Config:
     ocr_tokens: int = 2048
     ocr_temperature: float = 0.1
     ocr_repetition_penalty: float = 1.15
-    ocr_stop: tuple[str, ...] = ()
-    longest_side: int = 1024
+    # fixed values: the repeated text at which a transcription stops, and the longest side of an image that is sent
+    ocr_stop: tuple[str, ...] = ("\\\\\n\\text{O}",)
+    longest_side: int = 1288
+    rotate_retry: bool = True
     # language model service
     llm_url: str = "http://localhost:8001/v1"
     llm_model: str = "records-llm"
@@ -27,14 +29,17 @@ class Config:
     guided_json: bool = True
     # detector
     weights: str | None = None
+    device: str = "0"
     least_confidence: float = 0.25
     image_size: int = 1024
-    scheme_classes: tuple[str, ...] = ("reaction_scheme", "scheme")
-    structure_classes: tuple[str, ...] = ("chemical_structure", "structure")
+    # fixed values: the classes of each role, in order
+    scheme_classes: tuple[str, ...] = ("reaction_scheme", "scheme", "reaction")
+    structure_classes: tuple[str, ...] = ("chemical_structure", "molecule", "structure")
     # behaviour
     max_retries: int = 4
     recognise_structures: bool = True
     rows_per_batch: int = 16
+    run_dir: str | None = None  # where stages are written; without one, the session's shared folder
     run_id: str = "run"
 
     def roles(self) -> dict[str, list[str]]:

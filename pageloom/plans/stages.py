@@ -1,8 +1,8 @@
 """The page pipeline as DataFrame stages: transcription, detection, crops, structures, entities, summary, bundle.
 
-A model call is a mapInPandas over small batches; its backend is made once per task. Every stage's output is
-written before the next one reads it, so a lost task repeats its own calls only. A failing page or crop becomes a row with
-its error and stops nothing else.
+A model call is a mapInPandas over small batches; its backend is made once per task. Every stage's output is written before
+the next one reads it, so a lost task repeats its own calls only and a page or crop is sent to a model once per stage. A
+failing page or crop becomes a row with its error and stops nothing else.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import records, text
 from pageloom.operators import match
 from pageloom.plans.config import DEFAULT_PROMPTS, Config, Prompts
+from pageloom.sources import writers
+from pageloom.sources.shared import materialize
 
 OCR_COLUMNS = [f.name for f in schemas.OCR_RESULT]
 PAGE_OCR = "page_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.OCR_RESULT)
@@ -40,13 +42,13 @@ class Once:
         return Once, (self.make,)
 
 
-def read_page(backend, file: str, content: bytes, prompt: str) -> dict:
+def read_page(backend, path: str, content: bytes, prompt: str, rotate_retry: bool = True) -> dict:
     """One transcription, and a second one of the turned image where the first says so; the second replaces the first."""
-    out: dict = dict.fromkeys(OCR_COLUMNS) | {"file": file}
+    out: dict = dict.fromkeys(OCR_COLUMNS) | {"file": path.rsplit("/", 1)[-1]}
     try:
         raw = backend.read(content, prompt)
         meta, body = split_page(raw)
-        if meta["retry"]:
+        if rotate_retry and meta["retry"]:
             raw = backend.read(content, prompt, turn=meta["rotation_correction"])
             meta, body = split_page(raw)
     except Exception as e:  # noqa: BLE001 - one page must not stop the others
@@ -61,7 +63,7 @@ def split_page(raw: str) -> tuple[dict, str]:
     return (text.read_meta(found[1]), found[2].strip()) if found else (text.read_meta(""), raw.strip())
 
 
-def transcribe(pages: DataFrame, make_backend: Callable, prompt: str, key: list[str] | None = None) -> DataFrame:
+def transcribe(pages: DataFrame, make_backend: Callable, prompt: str, key: list[str] | None = None, rotate_retry: bool = True) -> DataFrame:
     """pages: key columns, path, content. One row of schemas.OCR_RESULT per image."""
     key = key or ["page_id"]
     kinds = dict(pages.dtypes)
@@ -70,7 +72,7 @@ def transcribe(pages: DataFrame, make_backend: Callable, prompt: str, key: list[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{k: r[k] for k in key} | read_page(backend(), r["path"], r["content"], prompt) for r in batch.to_dict("records")]
+            rows = [{k: r[k] for k in key} | read_page(backend(), r["path"], r["content"], prompt, rotate_retry) for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=[*key, *OCR_COLUMNS]).astype({"rotation_correction": "Int32", "is_rotation_valid": "object"})
 
     return pages.select(*key, "path", "content").mapInPandas(run, schema)
@@ -107,9 +109,9 @@ def recognise(crops: DataFrame, make_backend: Callable) -> DataFrame:
             rows = []
             for r in batch.to_dict("records"):
                 try:
-                    rows.append((r["page_id"], r["det_id"], r["path"], backend().recognise(r["content"]), None))
+                    rows.append((r["page_id"], r["det_id"], r["path"].rsplit("/", 1)[-1], backend().recognise(r["content"]), None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((r["page_id"], r["det_id"], r["path"], None, str(e) or type(e).__name__))
+                    rows.append((r["page_id"], r["det_id"], r["path"].rsplit("/", 1)[-1], None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["page_id", "det_id", "file", "smiles", "error"])
 
     made = crops.select("page_id", "det_id", "path", "content").mapInPandas(run, "page_id long, det_id int, file string, smiles string, error string")
@@ -163,32 +165,54 @@ def summaries(pages: DataFrame, make_backend: Callable, prompts: Prompts = DEFAU
     return asked.withColumn("summary", records.summary_of("answer")).select("page_id", "summary", F.col("answer_error").alias("error"))
 
 
-def run_pages(pages: DataFrame, config: Config, ocr: Callable, detector: Callable, llm: Callable, structure: Callable | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, stage: df, prompts: Prompts = DEFAULT_PROMPTS) -> DataFrame:
-    """All stages over pages (page_id, path, content): one row per page with its bundle.
+def stored(spark: SparkSession, config: Config) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a stage below config.run_dir, by run, and reads it back; without a run_dir in the session's shared folder."""
 
-    keep(df, stage) writes a stage and reads it back (see writers.stage_output); by default nothing is written."""
-    page = keep(transcribe(pages, ocr, prompts.page), "1_page_ocr")
+    def keep(df: DataFrame, stage: str) -> DataFrame:
+        if config.run_dir is None:
+            return materialize(df)
+        return spark.read.schema(df.schema).parquet(writers.stage_output(df, config.run_dir, stage, config.run_id))
+
+    return keep
+
+
+def listed(crops: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """page_id and the array of its crops' structs, by det_id."""
+    row = F.struct("det_id", F.struct(*columns).alias("r"))
+    return crops.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias(name))
+
+
+def assemble(page: DataFrame, found: DataFrame, scheme: DataFrame, shapes: DataFrame | None, ner: DataFrame, final: DataFrame) -> DataFrame:
+    """One row per page with its bundle, from the stages' tables; each many-side is one row per page before it is joined."""
+    boxes = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("det_id").isNotNull(), F.struct("det_id", "cls", "conf", "xyxy")))).alias("detections"), F.max("error").alias("detection_error"))
+    empty = F.lit(None).cast("array<struct<file:string,smiles:string,error:string>>")
+    whole = page.select("page_id", F.struct(*OCR_COLUMNS).alias("page_ocr")).join(boxes, "page_id", "left").join(listed(scheme, OCR_COLUMNS, "scheme_ocr"), "page_id", "left")
+    whole = whole.withColumn("structures", empty) if shapes is None else whole.join(listed(shapes, ["file", "smiles", "error"], "structures"), "page_id", "left")
+    whole = whole.join(ner.select("page_id", "entities", F.col("error").alias("entities_error")), "page_id", "left")
+    return whole.join(final.withColumnRenamed("error", "summary_error"), "page_id", "left")
+
+
+def run_pages(pages: DataFrame, config: Config, ocr: Callable, detector: Callable, llm: Callable, structure: Callable | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, prompts: Prompts = DEFAULT_PROMPTS) -> DataFrame:
+    """All stages over pages (page_id, path, content): one row per page with its bundle and what optional packages there were.
+
+    keep(df, stage) writes a stage and reads it back, by default as stored does. page_id is unique."""
+    keep = keep or stored(pages.sparkSession, config)
+    page = keep(transcribe(pages, ocr, prompts.page, rotate_retry=config.rotate_retry), "1_page_ocr")
     found = keep(detect(pages, detector, config), "2_detections")
     crops = match.with_role(found.filter("det_id IS NOT NULL"), config.roles())
     crops = crops.withColumn("path", F.concat_ws("/", F.col("page_id").cast("string"), "cls", F.concat(F.lpad(F.col("det_id").cast("string"), 5, "0"), F.lit(".png"))))
-    scheme = keep(transcribe(crops.filter("role = 'scheme'"), ocr, prompts.scheme, ["page_id", "det_id"]), "3_scheme_ocr")
+    scheme = keep(transcribe(crops.filter("role = 'scheme'"), ocr, prompts.scheme, ["page_id", "det_id"], config.rotate_retry), "3_scheme_ocr")
     shapes = None
     if config.recognise_structures and structure is not None:
         shapes = keep(recognise(crops.filter("role = 'structure'"), structure), "3b_ocsr")
 
-    texts = scheme.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_id", F.struct(*OCR_COLUMNS).alias("r")))).alias("s"))
-    joined = page.join(texts, "page_id", "left").withColumn("scheme_texts", F.transform(F.coalesce("s", F.array().cast(texts.schema["s"].dataType)), lambda x: x["r"]["natural_text"]))
-    ner = keep(entities(joined.select("page_id", text.entity_context("natural_text", "scheme_texts").alias("context")), llm, prompts), "4_ner")
-    base = joined.join(ner.select("page_id", "entities", F.col("error").alias("entities_error")), "page_id", "left")
+    texts = listed(scheme, ["natural_text"], "s")
+    read = page.select("page_id", "natural_text").join(texts, "page_id", "left").withColumn("scheme_texts", F.transform(F.coalesce("s", F.array().cast(texts.schema["s"].dataType)), lambda x: x["natural_text"]))
+    ner = keep(entities(read.select("page_id", text.entity_context("natural_text", "scheme_texts").alias("context")), llm, prompts), "4_ner")
+    ready = read.join(ner.select("page_id", "entities"), "page_id", "left")
     if shapes is not None:
-        listed = shapes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_id", "file", "smiles", "error"))).alias("structures"))
-        base = base.join(listed, "page_id", "left")
-    else:
-        base = base.withColumn("structures", F.lit(None).cast("array<struct<det_id:int,file:string,smiles:string,error:string>>"))
-    smiles = F.filter(F.transform("structures", lambda x: x["smiles"]), lambda x: x.isNotNull())
-    ready = base.select("page_id", F.col("natural_text").alias("page"), text.scheme_blob("scheme_texts").alias("schemes"), F.when(F.size("entities") > 0, text.to_json_all("entities")).alias("entities"), F.when(F.size(smiles) > 0, F.to_json(smiles)).alias("structures"))
-    final = keep(summaries(ready, llm, prompts), "5_summary")
-    boxes = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("det_id").isNotNull(), F.struct("det_id", "cls", "conf", "xyxy")))).alias("detections"), F.max("error").alias("detection_error"))
-    bundle = base.select("page_id", F.struct(*OCR_COLUMNS).alias("page_ocr"), F.transform("s", lambda x: x["r"]).alias("scheme_ocr"), "structures", "entities", "entities_error")
-    whole = bundle.join(boxes, "page_id", "left").join(final.withColumnRenamed("error", "summary_error"), "page_id", "left")
-    return keep(whole, "run")
+        ready = ready.join(shapes.filter("smiles IS NOT NULL").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("det_id", "smiles"))), lambda x: x["smiles"]).alias("shapes")), "page_id", "left")
+    blobs = [F.col("natural_text").alias("page"), text.scheme_blob("scheme_texts").alias("schemes"), F.when(F.size("entities") > 0, text.to_json_all("entities")).alias("entities")]
+    final = keep(summaries(ready.select("page_id", *blobs, (F.to_json("shapes") if shapes is not None else F.lit(None).cast("string")).alias("structures")), llm, prompts), "5_summary")
+    there = F.struct(*[F.lit(v).alias(k) for k, v in text.capabilities().items()])
+    return keep(assemble(page, found, scheme, shapes, ner, final).withColumn("capabilities", there), "run")

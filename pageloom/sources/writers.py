@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 
 import pandas as pd
@@ -87,16 +86,32 @@ def material_line(m: Column) -> Column:
     return F.concat(m["name"], F.lit(" ("), m["role"], F.lit(")"), F.when(F.size(parts) > 0, F.concat(F.lit(": "), F.array_join(parts, " / "))).otherwise(F.lit("")))
 
 
-def summary_report(row) -> str:
-    """A readable report of one summary row; empty sections are left out."""
-    s = row.asDict(recursive=True) if hasattr(row, "asDict") else dict(row)
-    out = [f"{s.get('title') or 'Untitled'}" + (f" [{s['run_id']}]" if s.get("run_id") else ""), f"Goal: {s.get('goal') or ''}"]
-    materials = ["  - " + f"{m['name']} ({m['role']})" + "".join([": "] + [" / ".join(x for x in (m["amount"], m["concentration"], m["smiles"]) if x)]) * any((m["amount"], m["concentration"], m["smiles"])) for m in s.get("materials") or []]
-    for title, lines in (("Materials", materials), ("Conditions", [f"  {s['conditions']}"] if s.get("conditions") not in (None, "", "{}") else []), ("Procedure", [f"  {i}. {x}" for i, x in enumerate(s.get("procedure") or [], 1)]), ("Results", [f"  - {x}" for x in s.get("results") or []]), ("Conclusions", [f"  {s['conclusions']}"] if s.get("conclusions") else []), ("Uncertainties", [f"  - {x}" for x in s.get("uncertainties") or []])):
-        if lines:
-            out += [f"{title}:", *lines]
-    confidence = s.get("confidence") or 0.0
-    return "\n".join([*out, f"Confidence: {0.0 if math.isnan(confidence) else confidence:.2f}"])
+def report(summary: str | Column) -> Column:
+    """A readable report of a summary column (schemas.SUMMARY); empty sections are left out."""
+    s = F.col(summary) if isinstance(summary, str) else summary
+    shown = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def section(title: str, lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")))
+
+    def alone(title: str, c: Column, empty: str = "") -> Column:
+        return F.when(shown(c) & (c != empty), F.concat(F.lit(f"{title}:\n  "), c))
+
+    bullets = lambda c: F.transform(c, lambda x: F.concat(F.lit("  - "), x))
+    head = F.concat(F.coalesce(F.nullif(s["title"], F.lit("")), F.lit("Untitled")), F.when(shown(s["run_id"]), F.concat(F.lit(" ["), s["run_id"], F.lit("]"))).otherwise(F.lit("")))
+    confidence = F.coalesce(F.nanvl(s["confidence"], F.lit(0.0)), F.lit(0.0))
+    parts = [
+        head,
+        F.concat(F.lit("Goal: "), F.coalesce(s["goal"], F.lit(""))),
+        section("Materials", F.transform(s["materials"], lambda m: F.concat(F.lit("  - "), material_line(m)))),
+        alone("Conditions", s["conditions"], "{}"),
+        section("Procedure", F.transform(s["procedure"], lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x))),
+        section("Results", bullets(s["results"])),
+        alone("Conclusions", s["conclusions"]),
+        section("Uncertainties", bullets(s["uncertainties"])),
+        F.concat(F.lit("Confidence: "), F.format_number(confidence, 2)),
+    ]
+    return F.concat_ws("\n", *parts)
 
 
 def dataset_counts(split_images: DataFrame, boxes_per_class: DataFrame, missing: DataFrame) -> DataFrame:

@@ -49,7 +49,70 @@ def test_whole_pipeline(spark, tmp_path):
     assert one.summary.goal == "Plain page with 5V" and one.summary.confidence == 0.5
     assert got[2].page_ocr.natural_text is None and got[2].detection_error == "no detector" and got[2].detections == []
     assert got[3].page_ocr.is_rotation_valid is True  # read a second time, turned
-    assert "Confidence: 0.50" in writers.summary_report(one.summary)
+    assert one.page_ocr.file == "1.png" and set(one.capabilities.asDict()) == {"rdkit", "PIL", "yaml"}
+    again = spark.read.parquet(f"{tmp_path}/run_id=run/5_summary").filter("page_id = 1").select(writers.report("summary").alias("r")).first().r
+    assert again == "Untitled\nGoal: Plain page with 5V\nConditions:\n  {\"n\": 1}\nConfidence: 0.50"
+
+
+class Counting:
+    """Notes every call in a folder, so that calls in any worker count."""
+
+    def __init__(self, folder, inner, name):
+        self.folder, self.inner, self.name = folder, inner, name
+
+    def _note(self):
+        import uuid
+
+        open(f"{self.folder}/{self.name}-{uuid.uuid4().hex}", "w").close()
+
+    def read(self, *a, **k):
+        self._note()
+        return self.inner.read(*a, **k)
+
+    def detect(self, image):
+        self._note()
+        return self.inner.detect(image)
+
+    def names(self):
+        return self.inner.names()
+
+    def answer(self, system, prompt, schema):
+        self.name = "entities" if "entities" in system else "summary"
+        self._note()
+        return self.inner.answer(system, prompt, schema)
+
+
+@pytest.mark.parametrize("run_dir", [None, "runs"])
+def test_each_model_call_is_made_once(spark, tmp_path, run_dir):
+    """Stages are written unless told otherwise: 10 pages of one scheme each."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    folder = str(notes)
+    pages = spark.createDataFrame([(i, f"/p/{i}.png", f"page {i}\n1 0.9 0 0 1 1 heat {i}h".encode()) for i in range(10)], "page_id long, path string, content binary")
+    config = Config(run_dir=run_dir and str(tmp_path / run_dir))
+    made = stages.run_pages(pages, config, lambda: Counting(folder, backends.FakeOcr(), "read"), lambda: Counting(folder, backends.FakeDetector(), "detect"), lambda: Counting(folder, backends.FakeLlm(), "answer"), backends.NoStructures)
+    assert made.count() == 10 and made.filter("size(scheme_ocr) = 1").count() == 10
+    calls = [p.name.split("-")[0] for p in notes.iterdir()]
+    assert {n: calls.count(n) for n in set(calls)} == {"read": 20, "detect": 10, "entities": 10, "summary": 10}
+    if run_dir:
+        assert {p.name for p in (tmp_path / "runs/run_id=run").iterdir()} == {"1_page_ocr", "2_detections", "3_scheme_ocr", "3b_ocsr", "4_ner", "5_summary", "run"}
+
+
+def test_retry_can_be_switched_off(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, path string, content binary")
+    made = stages.run_pages(pages, Config(rotate_retry=False), backends.FakeOcr, FailingDetector, backends.FakeLlm)
+    assert {r.page_id: r.page_ocr.is_rotation_valid for r in made.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_command_line_runs(spark, tmp_path, capsys):
+    from pageloom.plans import pages
+
+    (tmp_path / "a b.png").write_bytes(b"first 3g\n1 0.9 0 0 1 1 stir")
+    (tmp_path / "note.txt").write_bytes(b"no")
+    pages.main([f"{tmp_path}/*", "--run-dir", str(tmp_path / "out")], ocr=backends.FakeOcr, detector=backends.FakeDetector, llm=backends.FakeLlm)
+    assert capsys.readouterr().out.startswith("Untitled\nGoal: first 3g\n")
+    row = spark.read.parquet(str(tmp_path / "out/run_id=run/run")).first()
+    assert row.page_ocr.file == "a b.png" and row.structures is None and [x.natural_text for x in row.scheme_ocr] == ["stir"]
 
 
 def test_structures_off_and_bad_answers(spark):

@@ -93,3 +93,9 @@ def test_entities(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "raw string").select(records.summary_of("raw").alias("s"), records.entities_of("raw").alias("e"))
     assert df.count() == 0
+
+
+def test_structures_of_entities_are_validated(monkeypatch):
+    monkeypatch.setattr(records, "canonical_smiles", lambda x: {"C1CC1": "canonical"}.get(x))
+    answer = '{"entities": [{"text": "a", "label": "CHEMICAL", "smiles": "C1CC1"}, {"text": "b", "label": "CHEMICAL", "smiles": "bad"}, {"text": "c", "label": "X"}]}'
+    assert [e["smiles"] for e in records.read_entities(answer)["entities"]] == ["canonical", None, None]
