@@ -13,42 +13,13 @@ from pyspark.sql import types as T
 from pageloom import schemas
 from pageloom.functions import boxes, records, text
 from pageloom.operators import detections, match, split, traininglog
+from pageloom.plans import page_queries, stages
 from pageloom.plans.backends import with_retries
+from pageloom.plans.tables import BOXES_SQL, LINE, corner_boxes, read
 from pageloom.sources import readers
 
-LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = _read(spark, sf_dir, "lineitem")
-    label = F.when(F.col("l_returnflag") == "R", "chemical_structure").when(F.col("l_returnflag") == "A", "reaction_scheme").otherwise("arrow")
-    return line.select(*LINE, label.alias("label"), (F.col("l_discount") * 10).alias("x0"), (F.col("l_tax") * 12).alias("y0"), (F.col("l_quantity") / 50).alias("x1"), (F.col("l_quantity") / 50).alias("y1"))
-
-
-BOXES_SQL = """
-raw AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
-         CASE l_returnflag WHEN 'R' THEN 'chemical_structure' WHEN 'A' THEN 'reaction_scheme' ELSE 'arrow' END AS label,
-         l_discount * 10 AS x0, l_tax * 12 AS y0, l_quantity / 50 AS x1, l_quantity / 50 AS y1
-  FROM lineitem
-), clamped AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label,
-         least(greatest(least(x0, x1), 0.0), 1.0) AS x0, least(greatest(greatest(x0, x1), 0.0), 1.0) AS x1,
-         least(greatest(least(y0, y1), 0.0), 1.0) AS y0, least(greatest(greatest(y0, y1), 0.0), 1.0) AS y1
-  FROM raw WHERE label <> 'arrow'
-), boxes AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, label, CASE label WHEN 'chemical_structure' THEN 0 ELSE 1 END AS cls,
-         (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS w, y1 - y0 AS h
-  FROM clamped WHERE x1 - x0 > 0 AND y1 - y0 > 0
-)"""
-
-
 def q01_box_normalize(spark, sf_dir):
-    return boxes.normalize(_boxes(spark, sf_dir), schemas.BOX_CLASSES)
+    return boxes.normalize(corner_boxes(spark, sf_dir), schemas.BOX_CLASSES)
 
 
 Q01 = f"WITH {BOXES_SQL} SELECT * FROM boxes"
@@ -64,8 +35,8 @@ SELECT k.label, k.class_id, count(b.label) AS boxes FROM known k LEFT JOIN boxes
 
 def _named(spark, sf_dir):
     """Files whose names differ in white space on both sides of the match."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Shot "), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"))
-    labels = _read(spark, sf_dir, "labels").select(F.concat(F.lit("Shot "), F.col("doc_id").cast("string"), F.lit(".png")).alias("name"), "quality")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Shot "), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"))
+    labels = read(spark, sf_dir, "labels").select(F.concat(F.lit("Shot "), F.col("doc_id").cast("string"), F.lit(".png")).alias("name"), "quality")
     return docs, labels
 
 
@@ -84,7 +55,7 @@ Q04 = "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l W
 
 
 def q05_split_leakage(spark, sf_dir):
-    ids = _read(spark, sf_dir, "documents").select("doc_id")
+    ids = read(spark, sf_dir, "documents").select("doc_id")
     return split.leakage(split.hash_split(ids, "doc_id", seed=42), split.hash_split(ids, "doc_id", seed=7), "doc_id")
 
 
@@ -93,7 +64,7 @@ Q05 = f"WITH s AS (SELECT doc_id, {_SPLIT.format(seed=42)} AS a, {_SPLIT.format(
 
 
 def q06_split_train_val(spark, sf_dir):
-    return split.hash_split(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return split.hash_split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 Q06 = f"SELECT doc_id, CASE WHEN {_SPLIT.format(seed=42)} THEN 'val' ELSE 'train' END AS split FROM documents"
@@ -101,7 +72,7 @@ Q06 = f"SELECT doc_id, CASE WHEN {_SPLIT.format(seed=42)} THEN 'val' ELSE 'train
 
 def q07_name_normalize(spark, sf_dir):
     name = F.concat("source", F.lit("  \t"), "lang", F.lit("é"), F.col("doc_id").cast("string"), F.lit(".PNG"))
-    return _read(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", text.norm_name("name").alias("norm"), text.safe_stem("name").alias("stem"), text.extension("name").alias("ext"))
+    return read(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", text.norm_name("name").alias("norm"), text.safe_stem("name").alias("stem"), text.extension("name").alias("ext"))
 
 
 Q07 = r"""WITH n AS (SELECT doc_id, source || chr(8239) || ' ' || chr(9) || lang || 'e' || chr(769) || doc_id || '.PNG' AS name FROM documents)
@@ -112,13 +83,47 @@ def _told(flag: str) -> Column:
     return F.coalesce(F.col(flag).cast("string"), F.lit("unknown")).alias(flag.rsplit(".", 1)[-1])
 
 
+# The parts of a page's front matter and of a model's answer, dealt by an id, so that they meet in all combinations.
+VALID = ("false", "true", "false", '"false"', "false", "null", "no", "0")
+ANGLE = ("90", "180", "45", '"90"', "270", "null", "90.0", "-90")
+
+
+def _pick(values: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values: tuple[str, ...], n: str) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][({n}) % {len(values)} + 1]"
+
+
+def _div(column: str, by: int) -> Column:
+    return F.floor(F.col(column) / by)
+
+
 def _raw_pages(spark, sf_dir):
-    n = F.col("doc_id") % 8
-    valid = F.element_at(F.array(*map(F.lit, ("false", "true", "false", '"false"', "false", "null", "false", "false"))), (n + 1).cast("int"))
-    angle = F.element_at(F.array(*map(F.lit, ("90", "90", "45", "180", '"90"', "270", "90.0", "270"))), (n + 1).cast("int"))
-    body = F.when(n == 5, F.lit("\n NULL ")).otherwise(F.coalesce("text", F.lit("")))
-    raw = F.concat(F.lit('---\nprimary_language: "'), "lang", F.lit('"\nis_rotation_valid: '), valid, F.lit("\nrotation_correction: "), angle, F.lit("\nis_table: false\n---\n"), body)
-    return _read(spark, sf_dir, "documents").select("doc_id", F.when(n == 7, F.coalesce("text", F.lit(""))).otherwise(raw).alias("raw"))
+    text_ = F.coalesce("text", F.lit(""))
+    body = F.when(F.col("doc_id") % 11 == 5, F.lit("\n NULL ")).otherwise(text_)
+    raw = F.concat(F.lit('---\nprimary_language: "'), "lang", F.lit('"\nis_rotation_valid: '), _pick(VALID, F.col("doc_id")), F.lit("\nrotation_correction: "), _pick(ANGLE, _div("doc_id", 8)), F.lit("\nis_table: false\n---\n"), body)
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 13 == 7, text_).otherwise(raw).alias("raw"))
+
+
+RAW_SQL = rf"""raw AS (
+  SELECT doc_id, CASE WHEN doc_id % 13 = 7 THEN coalesce(text, '') ELSE '---' || chr(10) || 'primary_language: "' || lang || '"' || chr(10) || 'is_rotation_valid: ' || {_pick_sql(VALID, "doc_id")} || chr(10)
+    || 'rotation_correction: ' || {_pick_sql(ANGLE, "doc_id // 8")} || chr(10) || 'is_table: false' || chr(10) || '---' || chr(10) || CASE WHEN doc_id % 11 = 5 THEN chr(10) || ' NULL ' ELSE coalesce(text, '') END END AS raw
+  FROM documents
+), cut AS (
+  SELECT doc_id, regexp_matches(raw, '(?s)\A\s*---\s*\n.*?\n---') AS matched, regexp_extract(raw, '(?s)\A\s*---\s*\n(.*?)\n---\s*\n?(.*)', 1) AS meta,
+         CASE WHEN regexp_matches(raw, '(?s)\A\s*---\s*\n.*?\n---') THEN regexp_extract(raw, '(?s)\A\s*---\s*\n(.*?)\n---\s*\n?(.*)', 2) ELSE raw END AS body
+  FROM raw
+), fields AS (
+  SELECT doc_id, matched, regexp_replace(body, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS body, nullif(regexp_extract(meta, 'primary_language: "([^"]*)"', 1), '') AS primary_language,
+         nullif(regexp_extract(meta, 'is_table: (\w*)', 1), '') AS is_table, regexp_extract(meta, 'is_rotation_valid: ([^\n]*)', 1) AS v, regexp_extract(meta, 'rotation_correction: ([^\n]*)', 1) AS a
+  FROM cut
+), typed AS (
+  SELECT *, CASE WHEN v IN ('true', 'yes', 'on') THEN true WHEN v IN ('false', 'no', 'off') THEN false END AS valid, TRY_CAST(a AS DOUBLE) AS angle,
+         v NOT IN ('true', 'yes', 'on', 'false', 'no', 'off', 'null', '') OR TRY_CAST(a AS DOUBLE) IS NULL AND a NOT IN ('null', '') AS type_error
+  FROM fields
+)"""
 
 
 def q08_front_matter(spark, sf_dir):
@@ -126,9 +131,8 @@ def q08_front_matter(spark, sf_dir):
     return parsed.select("doc_id", F.col("f.matched").alias("matched"), "meta.primary_language", _told("meta.is_table"), "meta.type_error", text.natural_text("f.body").alias("natural_text"))
 
 
-Q08 = r"""SELECT doc_id, doc_id % 8 <> 7 AS matched, CASE WHEN doc_id % 8 <> 7 THEN lang END AS primary_language, CASE WHEN doc_id % 8 <> 7 THEN 'false' ELSE 'unknown' END AS is_table,
-doc_id % 8 IN (3, 4) AS type_error,
-CASE WHEN doc_id % 8 = 5 OR lower(regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) = 'null' THEN NULL ELSE regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS natural_text FROM documents"""
+Q08 = f"""WITH {RAW_SQL}
+SELECT doc_id, matched, primary_language, coalesce(is_table, 'unknown') AS is_table, type_error, CASE WHEN lower(body) <> 'null' THEN body END AS natural_text FROM typed"""
 
 
 def q09_rotation_retry(spark, sf_dir):
@@ -136,40 +140,72 @@ def q09_rotation_retry(spark, sf_dir):
     return parsed.select("doc_id", _told("meta.is_rotation_valid"), F.coalesce("meta.rotation_correction", F.lit(-1)).alias("rotation_correction"), "meta.retry")
 
 
-Q09 = """SELECT doc_id, CASE WHEN doc_id % 8 = 1 THEN 'true' WHEN doc_id % 8 IN (3, 5, 7) THEN 'unknown' ELSE 'false' END AS is_rotation_valid,
-CASE doc_id % 8 WHEN 0 THEN 90 WHEN 1 THEN 90 WHEN 2 THEN 45 WHEN 3 THEN 180 WHEN 5 THEN 270 WHEN 6 THEN 90 ELSE -1 END AS rotation_correction, doc_id % 8 IN (0, 6) AS retry FROM documents"""
+Q09 = f"""WITH {RAW_SQL}
+SELECT doc_id, coalesce(valid::VARCHAR, 'unknown') AS is_rotation_valid, coalesce(trunc(angle), -1)::INT AS rotation_correction, coalesce(NOT valid AND angle IN (90, 180, 270), false) AS retry FROM typed"""
 
 
 def q10_json_salvage(spark, sf_dir):
-    n = F.col("event_id") % 6
+    n = F.col("event_id") % 8
     raw = F.when(n == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone."))).when(n == 1, F.concat(F.lit("Sure, "), "props", F.lit(" as asked"))).when(n == 2, F.col("props"))
-    raw = raw.when(n == 3, F.expr("substring(props, 1, length(props) - 1)")).when(n == 4, F.concat(F.lit("[note] "), "props")).otherwise(F.lit("nothing to see"))
-    found = _read(spark, sf_dir, "events").select("event_id", records.salvage_json(raw).alias("s"))
+    raw = raw.when(n == 3, F.expr("substring(props, 1, length(props) - 1)")).when(n == 4, F.concat(F.lit("[note] "), "props")).when(n == 5, F.concat(F.lit("```\nno\n``` "), "props"))
+    raw = raw.when(n == 6, F.concat(F.lit("  "), F.col("event_id").cast("string"), F.lit(" "))).otherwise(F.concat("event_type", F.lit(" to see")))
+    found = read(spark, sf_dir, "events").select("event_id", records.salvage_json(raw).alias("s"))
     value = F.try_parse_json("s.json")
-    return found.select("event_id", F.coalesce(F.try_variant_get(value, "$.k", "bigint"), F.lit(-1)).alias("k"), F.col("s.error").alias("error"))
+    return found.select("event_id", F.coalesce(F.try_variant_get(value, "$.k", "bigint"), F.try_variant_get(value, "$", "bigint"), F.lit(-1)).alias("k"), F.col("s.error").alias("error"))
 
 
-Q10 = """SELECT event_id, CASE WHEN event_id % 6 <= 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k,
-CASE event_id % 6 WHEN 3 THEN 'unbalanced' WHEN 4 THEN 'decode error' WHEN 5 THEN 'no JSON found' END AS error FROM events"""
-
+Q10 = r"""WITH raw AS (
+  SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN 'Sure, ' || props || ' as asked' WHEN 2 THEN props
+    WHEN 3 THEN substr(props, 1, length(props) - 1) WHEN 4 THEN '[note] ' || props WHEN 5 THEN '```' || chr(10) || 'no' || chr(10) || '``` ' || props WHEN 6 THEN '  ' || event_id || ' ' ELSE event_type || ' to see' END AS raw FROM events
+), cut AS (
+  SELECT event_id, trim(CASE WHEN regexp_matches(raw, '(?s)```.*?```') THEN regexp_extract(raw, '(?s)```(?:json)?(.*?)```', 1) ELSE raw END, chr(10) || ' ') AS t FROM raw
+), placed AS (
+  SELECT *, least(nullif(strpos(t, '{'), 0), nullif(strpos(t, '['), 0)) AS place FROM cut
+), part AS (
+  SELECT *, CASE WHEN json_valid(t) THEN t WHEN place IS NULL THEN NULL ELSE regexp_extract(substr(t, place), '^(\{[^{}]*\}|\[[^\[\]]*\])') END AS j FROM placed
+)
+SELECT event_id, CASE WHEN json_valid(j) THEN coalesce(CAST(json_extract(j, '$.k') AS BIGINT), TRY_CAST(j AS BIGINT), -1) ELSE -1 END AS k,
+CASE WHEN j IS NULL THEN 'no JSON found' WHEN j = '' THEN 'unbalanced' WHEN NOT json_valid(j) THEN 'decode error' END AS error FROM part"""
 
-def q11_validation_verdict(spark, sf_dir):
-    n = F.col("event_id") % 8
-    answers = ['{"goal": "g", "confidence": "0.5", "extra": 1}', '{"goal": "g", "confidence": true, "procedure": ["a", "b"]}', '{"goal": "g", "confidence": 1.5}', '{"confidence": 0.5}', '{"goal": 5}', '{"goal": "g", "procedure": null}', '["goal"]', '{"goal": "g", "materials": [{"name": "a", "role": "b"}]}']
-    raw = F.element_at(F.array(*map(F.lit, answers)), (n + 1).cast("int"))
-    read = _read(spark, sf_dir, "events").select("event_id", records.summary_of(raw).alias("s"))
-    return read.select("event_id", "s.goal", "s.confidence", F.size("s.procedure").alias("steps"), F.size("s.materials").alias("materials"), F.col("s.error").alias("error"))
+# parts of a summary: each is left out, right, or wrong in its own way
+GOAL = ('"goal": "g"', '"goal": "h"', '"goal": 5', "")
+SURE = ("", '"confidence": "0.5"', '"confidence": true', '"confidence": "high"')
+STEPS = ('"procedure": ["a", "b"]', '"procedure": null', "", '"procedure": [1]', "")
+STUFF = ("", '"materials": [{"name": "a", "role": "b"}]', '"materials": [{"name": "a"}]', '"materials": {}', "", "")
 
 
-Q11 = """SELECT event_id, CASE event_id % 8 WHEN 2 THEN '[synthesis failed: out of range]' WHEN 3 THEN '[synthesis failed: missing field]' WHEN 4 THEN '[synthesis failed: not a string]' WHEN 5 THEN '[synthesis failed: not a list]' WHEN 6 THEN '[synthesis failed: not an object]' ELSE 'g' END AS goal,
-CAST(CASE event_id % 8 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS confidence, CASE event_id % 8 WHEN 1 THEN 2 ELSE 0 END AS steps, CASE event_id % 8 WHEN 7 THEN 1 ELSE 0 END AS materials,
-CASE event_id % 8 WHEN 2 THEN 'out of range' WHEN 3 THEN 'missing field' WHEN 4 THEN 'not a string' WHEN 5 THEN 'not a list' WHEN 6 THEN 'not an object' END AS error FROM events"""
+def q11_validation_verdict(spark, sf_dir):
+    number = F.concat(F.lit('"confidence": '), F.floor(F.col("event_id") % 150 / 100).cast("string"), F.lit("."), F.lpad((F.col("event_id") % 150 % 100).cast("string"), 2, "0"))
+    sure = F.when(F.col("event_id") % 2 == 0, number).otherwise(_pick(SURE, _div("event_id", 2)))
+    parts = F.filter(F.array(_pick(GOAL, _div("event_id", 3)), sure, _pick(STEPS, _div("event_id", 12)), _pick(STUFF, _div("event_id", 60)), F.lit('"extra": 1')), lambda x: x != "")
+    made = F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    raw = F.when(F.col("event_id") % 97 == 3, F.concat(F.lit("["), made, F.lit("]"))).otherwise(made)
+    judged = read(spark, sf_dir, "events").select("event_id", records.summary_of(raw).alias("s"))
+    return judged.select("event_id", "s.goal", "s.confidence", F.size("s.procedure").alias("steps"), F.size("s.materials").alias("materials"), F.col("s.error").alias("error"))
+
+
+Q11 = f"""WITH made AS (
+  SELECT event_id, '{{' || array_to_string(list_filter([{_pick_sql(GOAL, "event_id // 3")}, CASE WHEN event_id % 2 = 0 THEN '"confidence": ' || (event_id % 150 // 100) || '.' || lpad((event_id % 150 % 100)::VARCHAR, 2, '0') ELSE {_pick_sql(SURE, "event_id // 2")} END,
+    {_pick_sql(STEPS, "event_id // 12")}, {_pick_sql(STUFF, "event_id // 60")}, '"extra": 1'], lambda x: x <> ''), ', ') || '}}' AS j FROM events
+), answer AS (
+  SELECT event_id, CASE WHEN event_id % 97 = 3 THEN '[' || j || ']' ELSE j END AS j FROM made
+), kinds AS (
+  SELECT event_id, j, json_type(j) AS whole, json_type(j, '$.goal') AS goal, json_type(j, '$.procedure') AS steps, json_type(j, '$.materials') AS stuff, json_type(j, '$.confidence') AS sure,
+         CASE json_type(j, '$.confidence') WHEN 'BOOLEAN' THEN CAST(json_extract(j, '$.confidence') AS BOOLEAN)::INT::DOUBLE ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS number FROM answer
+), judged AS (
+  SELECT *, CASE WHEN whole <> 'OBJECT' THEN 'not an object' WHEN goal IS NULL THEN 'missing field' WHEN stuff IS NOT NULL AND stuff <> 'ARRAY' THEN 'not a list' WHEN goal <> 'VARCHAR' THEN 'not a string'
+    WHEN steps IS NOT NULL AND steps <> 'ARRAY' THEN 'not a list' WHEN len(list_filter(json_extract(j, '$.procedure[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'not a string'
+    WHEN len(list_filter(json_extract(j, '$.materials[*]'), lambda x: json_extract(x, '$.name') IS NULL OR json_extract(x, '$.role') IS NULL)) > 0 THEN 'missing field'
+    WHEN sure IS NOT NULL AND number IS NULL THEN 'not a number' WHEN number < 0 OR number > 1 THEN 'out of range' END AS error FROM kinds
+)
+SELECT event_id, CASE WHEN error IS NULL THEN json_extract_string(j, '$.goal') ELSE '[synthesis failed: ' || error || ']' END AS goal, CASE WHEN error IS NULL THEN coalesce(number, 0.0) ELSE 0.0 END AS confidence,
+CASE WHEN error IS NULL THEN coalesce(json_array_length(j, '$.procedure'), 0) ELSE 0 END::INT AS steps, CASE WHEN error IS NULL THEN coalesce(json_array_length(j, '$.materials'), 0) ELSE 0 END::INT AS materials, error FROM judged"""
 
 
 def _turns(spark, sf_dir):
     """Conversations as pages: the first turn is the page, the others its schemes; every third is blank."""
     shown = F.when(F.col("turn") % 3 == 2, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", shown.alias("text"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", shown.alias("text"))
     listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return turns.groupBy("conv_id").agg(listed.alias("all")).select("conv_id", F.col("all")[0]["text"].alias("page"), F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["text"]).alias("schemes"))
 
@@ -198,7 +234,7 @@ SELECT conv_id, coalesce(string_agg('[scheme ' || (r - 1) || ']' || chr(10) || t
 def q14_entity_explode(spark, sf_dir):
     number = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit("MEASUREMENT").alias("label"), F.lit(None).cast("string").alias("normalized"), F.lit("").alias("smiles"), F.lit("").alias("source")))
     mail = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit("OTHER").alias("label"), F.lower(x).alias("normalized"), F.lit("").alias("smiles"), F.lit("page").alias("source")))
-    found = _read(spark, sf_dir, "documents").select("doc_id", records.finish_entities(F.concat(number, mail), "page+scheme").alias("entities"))
+    found = read(spark, sf_dir, "documents").select("doc_id", records.finish_entities(F.concat(number, mail), "page+scheme").alias("entities"))
     return found.select("doc_id", F.posexplode("entities").alias("ord", "e")).select("doc_id", "ord", "e.text", "e.label", "e.normalized", "e.smiles", "e.source")
 
 
@@ -212,7 +248,7 @@ SELECT doc_id, ord::INT AS ord, text, label, normalized, NULL::VARCHAR AS smiles
 
 
 def q15_detection_filter(spark, sf_dir):
-    line = _read(spark, sf_dir, "lineitem")
+    line = read(spark, sf_dir, "lineitem")
     cls = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
     found = line.select(*LINE, cls.alias("cls_id"), (F.col("l_discount") * 10).alias("conf"), F.array(F.col("l_quantity") / 4, F.col("l_quantity") / 8).alias("xyxy"))
     named = detections.project(found, {0: "chemical_structure", 1: "reaction_scheme", 2: "arrow"})
@@ -231,7 +267,7 @@ Q15 = """WITH named AS (
 
 def q16_crop_order(spark, sf_dir):
     path = F.concat(F.regexp_replace("url", r"[?#].*\z", ""), F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".tif", ".webp"))), (F.col("page_id") % 4 + 1).cast("int")))
-    files = _read(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.when(F.col("url").startswith("https"), 0).otherwise(1).alias("dir_ord"))
+    files = read(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.when(F.col("url").startswith("https"), 0).otherwise(1).alias("dir_ord"))
     return readers.ordered_crops(files.filter(text.extension("path").isin(list(schemas.CROP_EXTENSIONS)))).select("page_id", "path", "dir_ord", "ord")
 
 
@@ -240,20 +276,38 @@ Q16 = r"""WITH files AS (
 ) SELECT page_id, path, dir_ord, row_number() OVER (PARTITION BY dir_ord ORDER BY path)::INT AS ord FROM files WHERE page_id % 4 <> 2"""
 
 
-def q17_stage_bundle(spark, sf_dir):
-    """Documents with their label row and their conversation's turns, one row each."""
-    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"))
-    whole = docs.join(_read(spark, sf_dir, "labels"), "doc_id", "left").join(turns.withColumnRenamed("conv_id", "doc_id"), "doc_id", "left")
-    return whole.select("doc_id", "lang", "n", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce(F.size("t"), F.lit(0)).alias("turns"), F.coalesce(F.array_join(F.transform("t", lambda x: x["role"]), ","), F.lit("")).alias("roles"))
+def _ocr(df: DataFrame, key: list[str], file: Column, natural: Column) -> DataFrame:
+    given = {"file": file, "natural_text": natural}
+    return df.select(*key, *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.OCR_RESULT])
 
 
-Q17 = """SELECT d.doc_id, d.lang, length(d.text)::INT AS n, coalesce(l.quality, -1) AS quality, coalesce(t.turns, 0)::INT AS turns, coalesce(t.roles, '') AS roles FROM documents d LEFT JOIN labels l USING (doc_id)
-LEFT JOIN (SELECT conv_id AS doc_id, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) t USING (doc_id)"""
+def q17_stage_bundle(spark, sf_dir):
+    """Bundles put together by the library from stage tables: documents as pages, turns as detections, the user's turns as
+    schemes and the assistant's as structures, labels as entities."""
+    docs, turns, labels = (read(spark, sf_dir, n) for n in ("documents", "conversations", "labels"))
+    key = F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("det_id")
+    found = turns.select(*key, F.col("role").alias("cls"), (F.col("turn") / 10).alias("conf"), F.array(F.col("turn").cast("double")).alias("xyxy"), F.when(F.col("turn") % 5 == 4, F.lit("faint")).alias("error"))
+    scheme = _ocr(turns.filter("role = 'user'").select(*key, "text"), ["page_id", "det_id"], F.col("det_id"), F.length("text"))
+    shapes = turns.filter("role = 'assistant'").select(*key, F.concat(F.col("turn").cast("string"), F.lit(".png")).alias("file"), F.length("text").cast("string").alias("smiles"), F.lit(None).cast("string").alias("error"))
+    listed = F.array(F.struct(F.lit("q").alias("text"), F.lit("OTHER").alias("label"), F.col("quality").cast("string").alias("normalized"), F.lit(None).cast("string").alias("smiles"), F.lit("page").alias("source")))
+    ner = labels.select(F.col("doc_id").alias("page_id"), listed.alias("entities"), F.when(F.col("toxic") == 1, "toxic").alias("error"))
+    final = docs.select(F.col("doc_id").alias("page_id"), records.summary_of(F.concat(F.lit('{"goal": "'), "lang", F.lit('", "confidence": 0.25}'))).alias("summary"), F.lit(None).cast("string").alias("error"))
+    whole = stages.assemble(_ocr(docs, ["doc_id"], F.concat(F.col("doc_id").cast("string"), F.lit(".png")), F.col("source")).withColumnRenamed("doc_id", "page_id"), found, scheme, shapes, ner, final)
+    joined = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: x[f].cast("string")), ","), F.lit(""))
+    return whole.select("page_id", "page_ocr.file", "page_ocr.natural_text", joined("detections", "cls").alias("classes"), "detection_error", joined("scheme_ocr", "natural_text").alias("schemes"), joined("structures", "smiles").alias("smiles"), joined("entities", "normalized").alias("entities"), "entities_error", "summary.goal", "summary.confidence")
+
+
+Q17 = """WITH turns AS (
+  SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS classes, max(CASE WHEN turn % 5 = 4 THEN 'faint' END) AS detection_error, string_agg(length(text)::VARCHAR, ',' ORDER BY turn) FILTER (WHERE role = 'user') AS schemes,
+         string_agg(length(text)::VARCHAR, ',' ORDER BY turn) FILTER (WHERE role = 'assistant') AS smiles FROM conversations GROUP BY conv_id
+)
+SELECT d.doc_id AS page_id, d.doc_id || '.png' AS file, d.source AS natural_text, coalesce(t.classes, '') AS classes, t.detection_error, coalesce(t.schemes, '') AS schemes, coalesce(t.smiles, '') AS smiles,
+coalesce(l.quality::VARCHAR, '') AS entities, CASE WHEN l.toxic = 1 THEN 'toxic' END AS entities_error, d.lang AS goal, 0.25::DOUBLE AS confidence
+FROM documents d LEFT JOIN turns t ON t.conv_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
 def q18_log_best(spark, sf_dir):
-    return traininglog.best_and_patience(_read(spark, sf_dir, "events"), ["event_type"], "event_id", "value")
+    return traininglog.best_and_patience(read(spark, sf_dir, "events"), ["event_type"], "event_id", "value")
 
 
 Q18 = """WITH seen AS (SELECT event_type, event_id, value, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events
@@ -265,7 +319,7 @@ SELECT w.event_type, b.value AS best, b.event_id AS best_at, max(w.wait) AS long
 
 def q19_box_containment(spark, sf_dir):
     """An extension: structures at least half inside a scheme of the same image."""
-    b = _boxes(spark, sf_dir)
+    b = corner_boxes(spark, sf_dir)
     made = b.select(F.col("l_orderkey").alias("image"), "label", F.struct(*LINE[1:]).alias("box_id"), *[F.greatest(F.least(f"{a}0", f"{a}1"), F.lit(0.0)).alias(f"{a}0") for a in "xy"], *[F.greatest(f"{a}0", f"{a}1").alias(f"{a}1") for a in "xy"])
     found = detections.contained(made, ["image"], "chemical_structure", "reaction_scheme")
     return found.select("image", F.col("a_box_id.l_partkey").alias("part"), F.col("a_box_id.l_suppkey").alias("supp"), F.col("a_box_id.l_linenumber").alias("line"), F.col("b_box_id.l_partkey").alias("in_part"), F.col("b_box_id.l_suppkey").alias("in_supp"), F.col("b_box_id.l_linenumber").alias("in_line"), F.bround("share", 6).alias("share"))
@@ -303,11 +357,12 @@ def q20_failure_isolation(spark, sf_dir):
                     rows.append((doc_id, None, float(sum(waits)), str(e)))
             yield pd.DataFrame(rows, columns=ATTEMPTS.names)
 
-    return _read(spark, sf_dir, "documents").select("doc_id", "lang").mapInPandas(run, ATTEMPTS)
+    return read(spark, sf_dir, "documents").select("doc_id", "lang").mapInPandas(run, ATTEMPTS)
 
 
-Q20 = """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS natural_text, CAST(CASE WHEN doc_id % 7 = 0 THEN 15 WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS DOUBLE) AS waited,
-CASE WHEN doc_id % 7 = 0 THEN 'gave up after 4 attempts: service is down' END AS error FROM documents"""
+Q20 = """WITH failed AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 4 WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS times FROM documents)
+SELECT doc_id, CASE WHEN times < 4 THEN lang END AS natural_text, coalesce(list_sum(list_transform(range(0, times), lambda i: least(pow(2, i), 20))), 0)::DOUBLE AS waited,
+CASE WHEN times = 4 THEN 'gave up after 4 attempts: service is down' END AS error FROM failed"""
 
 _QUERIES = (
     q01_box_normalize, q02_box_class_counts, q03_annotation_match, q04_annotation_missing, q05_split_leakage, q06_split_train_val, q07_name_normalize,
@@ -318,8 +373,8 @@ _SQL = (Q01, Q02, Q03, Q04, Q05, Q06, Q07, Q08, Q09, Q10, Q11, Q12, Q13, Q14, Q1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in (*_QUERIES, *page_queries.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.__name__: sql for q, sql in zip(_QUERIES, _SQL, strict=True)}
+    return {q.__name__: sql for q, sql in zip((*_QUERIES, *page_queries.QUERIES), (*_SQL, *page_queries.SQL), strict=True)}
