@@ -1,10 +1,7 @@
-"""Helpers shared by the corpus operators: durable cut points, stable text columns, Arrow batches."""
+"""Helpers shared by the corpus operators: stable text columns, bounded selections, Arrow batches."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,25 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.sources.shared import materialize, shared_dir
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="pageloom-checkpoints-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor never reruns what made it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +28,8 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """k (doc_id, null as the least long), h (hash of the text) and text (null as empty).
 
-    (k, h) names a row: rows of one doc_id with different texts are told apart, fully repeated rows count as one."""
+    (k, h) names a row: rows of one doc_id with different texts are told apart, fully repeated rows count as one. A doc_id of
+    -2^63 and a null one are the same."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 

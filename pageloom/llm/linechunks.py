@@ -1,14 +1,14 @@
 """Line dedup by content-defined chunks, with DataFrame functions only.
 
 A line ends a chunk where a rolling hash over its own hash and those of the two lines before it is divisible by ``divisor``;
-a boundary thus depends on three lines alone and an insertion moves no boundary further on. Chunks of at least ``min_lines``
-lines that occur more than once in the corpus are removed but for the first one by (doc_id, place), after a comparison of
-their bytes. Only a row of two hashes per chunk is grouped globally; texts move for the comparison of repeated chunks and
-for the result.
+a boundary thus depends on three lines alone and an insertion moves no boundary further on. A line of at least ``long_line``
+characters is a chunk of its own. Chunks that occur more than once in the corpus are removed but for the first one by
+(doc_id, place), after a comparison of their bytes; only white space on a single line is no chunk. A repeated long line thus
+goes wherever it is, and an exact copy goes whole. What stays are short lines of a repeat in a chunk with other lines.
 
-With ``long_line`` nothing is too short to be removed: every chunk that is not white space alone takes part, and a line of at
-least so many characters is a chunk of its own, which also depends on three lines alone. A repeated long line thus goes
-wherever it is, and an exact copy goes whole. What stays are short lines of a repeat in a chunk with other lines.
+Only a row of two hashes per chunk is grouped globally; texts move for the comparison of repeated chunks and for the result.
+A chunk that very many documents share is summed up in the tasks before it is grouped, and what is joined by chunk are plain
+tables, so that Spark deals such a chunk's rows to several tasks.
 
 Lines are what newlines separate, and what is left is joined by newlines again. A null text stays null and counts as empty;
 null ids rank first. Rows of one doc_id with different texts rank by a hash of the text; fully repeated rows count as one
@@ -23,7 +23,7 @@ from pyspark.sql import Window
 
 from pageloom.llm._util import materialize, read_table
 
-DIVISOR, MIN_LINES = 3, 2
+DIVISOR = 3
 LONG = 99  # fifty words have no fewer characters
 
 
@@ -35,7 +35,7 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__h", F.xxhash64(_text()))
 
 
-def chunks(text: Column, divisor: int = DIVISOR, long_line: int | None = None) -> Column:
+def chunks(text: Column, divisor: int = DIVISOR, long_line: int | None = LONG) -> Column:
     """The array of a text's chunks, each an array of lines."""
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
@@ -58,33 +58,34 @@ def chunks(text: Column, divisor: int = DIVISOR, long_line: int | None = None) -
     return bound[0]
 
 
-def removed_chunks(docs: DataFrame, divisor: int, min_lines: int, long_line: int | None = None) -> DataFrame:
+def removed_chunks(docs: DataFrame, divisor: int = DIVISOR, long_line: int | None = LONG) -> DataFrame:
     """__k, __h and gone: the places (from 0) of the chunks that go from a document."""
     keyed = _key(docs).select("__k", "__h", _text().alias("text"))
     cut = chunks(F.col("text"), divisor, long_line)
-    taken = lambda c: F.size(c) >= min_lines if long_line is None else (F.size(c) >= min_lines) | F.array_join(c, "").rlike(r"\S")
+    taken = lambda c: (F.size(c) > 1) | F.array_join(c, "").rlike(r"\S")
     marks = F.transform(cut, lambda c, j: F.when(taken(c), F.struct(j.alias("no"), F.xxhash64(F.array_join(c, "\n")).alias("c1"), F.xxhash64(F.lit(1), F.array_join(c, "\n"), F.size(c)).alias("c2"))))
-    lean = materialize(keyed.select("__k", "__h", F.explode(marks).alias("m")).filter("m IS NOT NULL").select("__k", "__h", "m.no", "m.c1", "m.c2").distinct())
+    lean = materialize(keyed.select("__k", "__h", F.explode(marks).alias("m")).filter("m IS NOT NULL").select("__k", "__h", "m.no", "m.c1", "m.c2"))
     place = F.struct("__k", "__h", "no")
-    repeated = lean.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # a fully repeated row has the places of the first one, so its chunks alone are no repeat
+    repeated = materialize(lean.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"))
     candidates = materialize(lean.join(repeated, ["c1", "c2"]))
-    wanted = candidates.groupBy("__k", "__h").agg(F.collect_list(F.struct("no", "c1", "c2")).alias("wanted"))
+    wanted = candidates.groupBy("__k", "__h").agg(F.collect_set(F.struct("no", "c1", "c2")).alias("wanted"))
     texts = keyed.repartition("__k", "__h")
     bound = F.transform(F.array(F.struct(cut.alias("cut"), F.col("wanted").alias("w"))), lambda p: F.transform(p["w"], lambda w: F.struct(w["no"].alias("no"), w["c1"].alias("c1"), w["c2"].alias("c2"), F.array_join(F.get(p["cut"], w["no"]), "\n").alias("chunk"))))[0]
     exact = texts.join(wanted, ["__k", "__h"]).select("__k", "__h", F.explode(bound).alias("w")).select("__k", "__h", "w.*")
-    verdict = exact.groupBy("c1", "c2").agg((F.min("chunk") == F.max("chunk")).alias("same"))
+    verdict = materialize(exact.groupBy("c1", "c2").agg((F.min("chunk") == F.max("chunk")).alias("same")))
     judged = candidates.join(verdict, ["c1", "c2"])
     gone = judged.filter(F.col("same") & (place != F.col("first"))).select("__k", "__h", "no")
     # different bytes under equal hashes: each text of them has a first place of its own
-    apart = exact.join(verdict.filter("NOT same"), ["c1", "c2"], "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("c1", "c2", "chunk").orderBy("__k", "__h", "no"))).filter("rank > 1")
-    return gone.unionByName(apart.select("__k", "__h", "no")).groupBy("__k", "__h").agg(F.collect_list("no").alias("__gone"))
+    apart = exact.join(verdict.filter("NOT same"), ["c1", "c2"], "left_semi").withColumn("rank", F.dense_rank().over(Window.partitionBy("c1", "c2", "chunk").orderBy("__k", "__h", "no"))).filter("rank > 1")
+    return gone.unionByName(apart.select("__k", "__h", "no")).groupBy("__k", "__h").agg(F.collect_set("no").alias("__gone"))
 
 
-def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, counts: bool = False, long_line: int | None = None) -> DataFrame:
+def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR, counts: bool = False, long_line: int | None = LONG) -> DataFrame:
     """docs with text cut; with counts also n_lines, n_removed_lines and n_removed_chunks (replacing columns of these names)."""
     added = ["n_lines", "n_removed_lines", "n_removed_chunks"] if counts else []
     rest = [c for c in docs.columns if c not in added]
-    gone = removed_chunks(docs, divisor, min_lines, long_line)
+    gone = removed_chunks(docs, divisor, long_line)
     joined = _key(docs).repartition("__k", "__h").join(gone, ["__k", "__h"], "left")
     bound = F.transform(
         F.array(F.struct(chunks(_text(), divisor, long_line).alias("cut"), F.col("__gone").alias("gone"))),
@@ -107,11 +108,6 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_line_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
-def op3_whole_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """As op3_line_dedup with one-line chunks taking part and long lines apart; OP3_SQL has the other rule and does not apply."""
-    return dedup_line_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, long_line=LONG)
-
-
 #: Rows of ``source`` (doc_id, text) without the repeated chunks; ``made`` has one row per document.
 CHUNKS_SQL = """
 {p}lines AS (
@@ -119,14 +115,14 @@ CHUNKS_SQL = """
 ), {p}hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS lh FROM {p}lines
 ), {p}cuts AS (
-  SELECT *, ((lh + 31 * coalesce(lag(lh, 1) OVER w, 0) + 961 * coalesce(lag(lh, 2) OVER w, 0)) % 3 = 0)::INT AS cut
+  SELECT *, ((lh + 31 * coalesce(lag(lh, 1) OVER w, 0) + 961 * coalesce(lag(lh, 2) OVER w, 0)) % 3 = 0 OR length(line) >= 99 OR coalesce(length(lead(line) OVER w) >= 99, false))::INT AS cut
   FROM {p}hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), {p}numbered AS (
   SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM {p}cuts
 ), {p}chunks AS (
   SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM {p}numbered GROUP BY doc_id, no
 ), {p}ranked AS (
-  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, chunk ORDER BY doc_id, no) > 1 AS gone FROM {p}chunks
+  SELECT *, (n >= 2 OR regexp_matches(chunk, '[^ \\t\\n\\x0B\\f\\r]')) AND row_number() OVER (PARTITION BY n, chunk ORDER BY doc_id, no) > 1 AS gone FROM {p}chunks
 ), {p}made AS (
   SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS kept, sum(n)::BIGINT AS n_lines,
          coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed_lines, count(*) FILTER (WHERE gone) AS n_removed_chunks

@@ -1,6 +1,7 @@
 """Suffix-array, line, chunk and Jaccard dedup against brute force on small corpora."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -72,106 +73,60 @@ def test_longest_previous_is_exact():
         assert got.tolist() == [bool(first[s] < p) for s, p in zip(strings, position, strict=True)]
 
 
-# lines and sentences
+# runs of repeated sentences
 
 
-def test_units(spark):
-    found = [r for r in rows() if not (r[0] is None and r[1] is None)]
-    seen, want = set(), {}
+def brute_runs(found):
+    """Sentence by sentence, with an own idea of runs: a string of r (repeat), b (blank) and . (first) per document."""
+    seen, out = set(), {}
     for doc, text, *_ in ordered(found):
-        spans = []
-        for m in linehash.UNIT.finditer(text or ""):
-            normal = " ".join(m[0].lower().replace("\xa0", "~").split())
-            if len(normal.split(" ")) >= linehash.MIN_WORDS:
-                if normal in seen:
-                    spans.append((m.start(), m.end()))
-                seen.add(normal)
-        want[doc] = linehash.cut(text, spans) if text is not None else (None, 0, 0)
-    got = {r.doc_id: (r.text, r.n_removed, r.n_spans) for r in linehash.dedup_units(frame(spark, found)).collect()}
-    assert got == want and any(x[1] for x in want.values())
+        each = linehash.UNIT.findall(text or "")
+        kinds = ""
+        for u in each:
+            normal = " ".join(u.lower().replace("\xa0", "~").split())
+            kinds += "b" if not normal else "r" if normal in seen else "."
+            seen.add(normal)
+        gone = set()
+        for m in re.finditer("[rb]+", kinds):
+            n = sum(len(re.findall(f"[{linehash.UNSPACED}]|[^\\s{linehash.UNSPACED}]+", each[i].replace("\xa0", "~"))) for i in range(*m.span()) if kinds[i] == "r")
+            if n >= linehash.MIN_WORDS or n and m.span() == (0, len(kinds)):
+                gone |= set(range(*m.span()))
+        out[doc] = ("".join(u for i, u in enumerate(each) if i not in gone) if text is not None else None, sum(len(each[i].encode()) for i in gone), len(re.findall("x+", "".join("x" if i in gone else " " for i in range(len(each))))))
+    return out
+
+
+def test_runs(spark):
+    passage = "A first sentence of this passage. And then a second one that goes on for longer. Then a third!\nIt ends here, on its own line. Really."
+    chinese = "这是一个没有空格的句子用来测试单词的计数方法是否正确"
+    own = [f"intro a. {passage}", f"other b. {passage} tail", f"x {passage}", "Short and sweet.", "Other text. Short and sweet.", "Short and sweet.", f"甲{chinese}", f"乙.{chinese}", f"丙.{chinese}.", "   \n \n", "..", "..", f"{passage}\n\n  \n{passage}"]
+    found = [r for r in rows() if not (r[0] is None and r[1] is None)] + [(20000 + i, t, "en", "s", 0) for i, t in enumerate(own)]
+    want = brute_runs(found)
+    got = {r.doc_id: r for r in linehash.dedup_units(frame(spark, found)).collect()}
+    assert {d: (r.text, r.n_removed, r.n_spans) for d, r in got.items()} == want and any(x[1] for x in want.values())
+    assert got[20004].n_removed == 0 and got[20005].text == "" and got[20001].text.startswith("other b.") and "passage" not in got[20001].text
+    texts = {d: t for d, t, *_ in found}
+    for d, r in got.items():
+        spans = [(s.start, s.end) for s in r.spans]
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False)) and (r.text is None or linehash.cut(texts[d], spans) == (r.text, r.n_removed))
 
 
 def test_units_keep_offsets_and_columns(spark):
-    a = "one two three four five six seven eight."
+    a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty."
     df = frame(spark, [(1, a, "en", "s", 1), (2, f"Start here. {a.upper()}  Rest.", "en", "s", 2)]).withColumn("spans", F.lit("clash")).withColumn("k", F.lit(1)).withColumn("h", F.lit(2))
     got = linehash.dedup_units(df).orderBy("doc_id").collect()
-    assert [(s.start, s.end) for s in got[1].spans] == [(11, 52)] and got[1].text == "Start here.  Rest." and got[1].source == "s"
+    assert [(s.start, s.end) for s in got[1].spans] == [(11, 12 + len(a))] and got[1].text == "Start here.  Rest." and got[1].source == "s"
 
 
 def test_units_hot_line_is_settled_in_the_task(spark):
-    line = "the very same line of more than eight words in all texts"
+    line = "the very same line in all texts"
     got = linehash.dedup_units(frame(spark, [(i, line, "", "", 0) for i in range(500)])).filter("n_removed = 0").collect()
     assert [r.doc_id for r in got] == [0]
 
 
-def brute_lines(found):
-    seen, out = set(), {}
-    for doc, text, *_ in ordered(found):
-        kept = []
-        for m in linehash.LINE.finditer(text or ""):
-            normal = " ".join(m[0].lower().replace("\xa0", "~").split())
-            if normal and ("line", normal) in seen:
-                continue
-            seen.add(("line", normal))
-            for u in linehash.UNIT.finditer(m[0]):
-                normal = " ".join(u[0].lower().replace("\xa0", "~").split())
-                if len(normal.split(" ")) >= linehash.MIN_WORDS:
-                    if normal in seen:
-                        continue
-                    seen.add(normal)
-                kept.append(u[0])
-        out[doc] = "".join(kept) if text is not None else None
-    return out
-
-
-def test_whole_lines(spark):
-    a, b = "Short one. Short two! No floor here.", "Seven words are not enough for units"
-    own = [(i, t, "en", "s", 0) for i, t in [(20001, f"{a}\n{b}\nx1"), (20002, f"x2\n\n{a.upper()}\n\n{b}"), (20003, f"{a} {b}\n{a}"), (20004, f"x2\n\n{a.upper()}\n\n{b}")]]
-    found = [r for r in rows() if not (r[0] is None and r[1] is None)] + own
-    got = {r.doc_id: r for r in linehash.dedup_units(frame(spark, found), whole_lines=True).collect()}
-    assert {d: r.text for d, r in got.items()} == brute_lines(found)
-    assert got[20002].text == "x2\n\n" and got[20003].text == f"{a} {b}\n" and got[20004].text == ""
-    assert all(x.end <= y.start for r in got.values() for x, y in zip(r.spans, r.spans[1:], strict=False))
-
-
 # chunks of lines
 
 
-def brute_chunks(found):
-    parts, out = {}, {}
-    for doc, text, *_ in ordered(found):
-        lines = (text or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        at = lambda i: h[i] if i >= 0 else 0  # noqa: E731, B023
-        cuts, chunk = [], []
-        for i, line in enumerate(lines):
-            chunk.append(line)
-            if (at(i) + 31 * at(i - 1) + 961 * at(i - 2)) % linechunks.DIVISOR == 0 or i == len(lines) - 1:
-                cuts.append(chunk)
-                chunk = []
-        parts[doc] = cuts
-    seen = set()
-    for doc, text, *_ in ordered(found):
-        kept, gone = [], 0
-        for chunk in parts[doc]:
-            if len(chunk) >= linechunks.MIN_LINES and tuple(chunk) in seen:
-                gone += 1
-            else:
-                seen.add(tuple(chunk))
-                kept += chunk
-        out[doc] = ("\n".join(kept) if gone else text, gone)
-    return out
-
-
-def test_chunks(spark):
-    found = [r for r in rows(n=60) if not (r[0] is None and r[1] is None)]
-    want = brute_chunks(found)
-    got = linechunks.dedup_line_chunks(frame(spark, found), counts=True).collect()
-    assert {r.doc_id: (r.text, r.n_removed_chunks) for r in got} == want and any(x[1] for x in want.values())
-    assert all(r.n_removed_lines < r.n_lines or r.text == "" for r in got if r.n_removed_chunks)
-
-
-def brute_whole_chunks(found):
+def brute_chunks(found, long_line):
     seen, out = set(), {}
     for doc, text, *_ in ordered(found):
         each, kept, chunk, gone = (text or "").split("\n"), [], [], 0
@@ -179,8 +134,8 @@ def brute_whole_chunks(found):
         for i, line in enumerate(each):
             chunk.append(line)
             last = i == len(each) - 1
-            if last or (h[i + 2] + 31 * h[i + 1] + 961 * h[i]) % linechunks.DIVISOR == 0 or max(len(line), len(each[i + 1])) >= linechunks.LONG:
-                if tuple(chunk) in seen and (len(chunk) >= linechunks.MIN_LINES or chunk[0].strip()):
+            if last or (h[i + 2] + 31 * h[i + 1] + 961 * h[i]) % linechunks.DIVISOR == 0 or long_line and max(len(line), len(each[i + 1])) >= long_line:
+                if tuple(chunk) in seen and (len(chunk) > 1 or chunk[0].strip()):
                     gone += 1
                 else:
                     kept += chunk
@@ -190,16 +145,26 @@ def brute_whole_chunks(found):
     return out
 
 
-def test_whole_chunks(spark):
+@pytest.mark.parametrize("long_line", [None, linechunks.LONG])
+def test_chunks(spark, long_line):
     line = " ".join(f"w{i}" for i in range(50))
     found = [r for r in rows(n=60) if not (r[0] is None and r[1] is None)] + [(20000 + i, t, "en", "s", 0) for i, t in enumerate([f"a1\n{line}\nb1", "one line", f"a2\n{line}\nb2", "one line", line])]
-    got = {r.doc_id: (r.text, r.n_removed_chunks) for r in linechunks.dedup_line_chunks(frame(spark, found), counts=True, long_line=linechunks.LONG).collect()}
-    assert got == brute_whole_chunks(found)
-    assert got[20002][0] == "a2\nb2" and got[20003][0] == got[20004][0] == ""
-    first = {}
-    for doc, text, *_ in ordered(found):
-        if (text or "").strip() and first.setdefault(text, doc) != doc:
-            assert not got[doc][0].strip()
+    got = {r.doc_id: r for r in linechunks.dedup_line_chunks(frame(spark, found), counts=True, long_line=long_line).collect()}
+    want = brute_chunks(found, long_line)
+    assert {d: (r.text, r.n_removed_chunks) for d, r in got.items()} == want and any(x[1] for x in want.values())
+    assert all(r.n_removed_lines < r.n_lines or r.text == "" for r in got.values() if r.n_removed_chunks)
+    if long_line:
+        assert got[20002].text == "a2\nb2" and got[20003].text == got[20004].text == ""
+        first = {}
+        for doc, text, *_ in ordered(found):
+            if (text or "").strip() and first.setdefault(text, doc) != doc:
+                assert not got[doc].text.strip()
+
+
+def test_fully_repeated_rows_are_one_document(spark):
+    found = [(1, "a\nb\nc d e", "en", "s", 0)] * 2 + [(2, "x\ny", "en", "s", 0)]
+    got = linechunks.dedup_line_chunks(frame(spark, found), counts=True).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed_chunks) for r in got) == [(1, "a\nb\nc d e", 0)] * 2 + [(2, "x\ny", 0)]
 
 
 def test_chunk_boundaries_resist_shifts():
