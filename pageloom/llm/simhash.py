@@ -39,6 +39,8 @@ EDITED = T.StructType(
     ]
 )
 
+RANGES, PER_RANGE = 1 << 16, 20
+
 
 class WordHashes(dict):
     """64-bit hashes of words; kept between texts up to a bound."""
@@ -92,14 +94,19 @@ def edited(text: str, other: str) -> str:
 def _next_by_descending_id(docs: DataFrame, part_bytes: int) -> DataFrame:
     """Ranges of doc_id in descending order, each with a copy of the row that follows its last one (of the whole: the first).
 
-    Columns doc_id, text, part, copy. The ranges hold about part_bytes of text; their bounds and greatest ids (two numbers
-    a range) are all that reaches the driver. Ranges are found by binary search, so their number doesn't slow the rows."""
+    Columns doc_id, text, part, copy. The ranges hold about part_bytes of text and are RANGES at most; their bounds are quantiles
+    of PER_RANGE ids a range, chosen by a hash. Those ids, and one id a range, are all that reaches the driver or is broadcast.
+    Ranges are found by binary search, so their number doesn't slow the rows."""
     from pyspark.ml.feature import Bucketizer
 
     rows = docs.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
-    parts = max(1, min(-(-(stats["size"] or 0) // part_bytes), stats["n"]))
-    bounds = rows.select("k").stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    parts = max(1, min(-(-(stats["size"] or 0) // part_bytes), stats["n"], RANGES))
+    bounds = []
+    if parts > 1:
+        least = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * PER_RANGE * parts // stats["n"])
+        ids = np.sort(np.asarray(rows.filter(F.xxhash64("k") <= least).select("k").toArrow()["k"]))
+        bounds = [ids[len(ids) * i // parts] for i in range(1, parts)] if len(ids) else []
     splits = [float("-inf"), *(sorted({float(b) for b in bounds}) or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(rows.withColumn("v", F.col("k").cast("double"))).withColumn("part", F.col("b").cast("int")).drop("v", "b")
     tops = sorted((r["part"], r["top"]) for r in rows.select("part", "k").groupBy("part").agg(F.max("k").alias("top")).collect())
