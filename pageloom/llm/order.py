@@ -4,7 +4,8 @@ Documents are tokenised and cut into sequences of at most ``length`` ids. Sequen
 a keyed Feistel permutation over the least even number of bits that holds all numbers, walked on until the value is in
 range, gives every sequence its slot: a bijection of the numbers that needs no table. Slots are range-partitioned into
 shards of ``per_shard`` records of equal stride, so slot s is record s % per_shard of shard s // per_shard, and a reader
-resumes anywhere by arithmetic.
+resumes anywhere by arithmetic. Slots are dense, so a shard's range follows from its number. ``export`` writes ``per_file``
+shards one after another into each file (256 MB with two-byte ids), by the same arithmetic.
 
 Ids are two bytes wide where the vocabulary allows it, else four; records are padded with the end id, and each shard names
 its records' documents, pieces and lengths. Token ids move compressed. Token rows are written once, before numbering, so a
@@ -32,6 +33,7 @@ from pageloom.llm._util import arrow_batch, keyed, materialize, read_table, slic
 from pageloom.llm.packing import cut_pieces
 
 LENGTH, PER_SHARD, ROUNDS = 1024, 256, 6
+PER_FILE, RANGE_BYTES = 512, 64 << 20
 _LONG = T.LongType()
 IDS = T.StructType([T.StructField("k", _LONG), T.StructField("h", _LONG), T.StructField("n", _LONG), T.StructField("ids", T.BinaryType())])
 NUMBERED = T.StructType([T.StructField("row", _LONG), T.StructField("part", T.IntegerType()), T.StructField("run", _LONG), T.StructField("pieces", _LONG)])
@@ -79,6 +81,11 @@ class Permutation:
         return self._walk(slots, True)
 
 
+def id_width(n_ids: int) -> int:
+    """Bytes of an id."""
+    return 2 if n_ids <= 1 << 16 else 4
+
+
 def _tokenised(docs: DataFrame, vocabulary: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = tokens.encoder(vocabulary), zstandard.ZstdCompressor(level=3)
@@ -111,9 +118,12 @@ def numbered(rows: DataFrame, length: int) -> tuple[DataFrame, int]:
     return runs.join(F.broadcast(bases), "part").select("row", (F.col("base") + F.col("run")).alias("first")), int(before[-1])
 
 
-def shards(docs: DataFrame, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: str | None = None, width: int = 2) -> DataFrame:
-    """One row per shard: shard, first_slot, records, stride and width (bytes of a record and of an id), crc32 of data, the records' doc_id, piece and length, data."""
-    made = materialize(_tokenised(keyed(docs), vocabulary or tokens.default_vocabulary(), width).withColumn("row", F.monotonically_increasing_id()))
+def shards(docs: DataFrame, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: str | None = None, together: int = 1) -> DataFrame:
+    """One row per shard: shard, first_slot, records, stride and width (bytes of a record and of an id), crc32 of data, the
+    records' doc_id, piece and length, data. Partitions hold shards in order, and so many together (see export) whole."""
+    vocabulary = vocabulary or tokens.default_vocabulary()
+    width = id_width(max(len(tokens.encoder(vocabulary).spaced), tokens.EOS + 1))
+    made = materialize(_tokenised(keyed(docs), vocabulary, width).withColumn("row", F.monotonically_increasing_id()))
     firsts, total = numbered(made, length)
     order = Permutation(total, key)
 
@@ -151,7 +161,10 @@ def shards(docs: DataFrame, key: int = 0, length: int = LENGTH, per_shard: int =
             yield shard()
 
     placed = made.join(firsts, "row").select("k", "n", "ids", "first").mapInArrow(place, SEQUENCES)
-    return placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(fill, SHARDS)
+    units = max(1, -(-total // (per_shard * together)))
+    ranges = min(units, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * length * width // RANGE_BYTES))
+    at = F.floor(F.floor(F.col("shard") / together) * ranges / units).cast("int")
+    return placed.repartitionById(ranges, at).sortWithinPartitions("slot").mapInArrow(fill, SHARDS)
 
 
 def records(made: DataFrame, first_slot: int = 0) -> DataFrame:
@@ -174,23 +187,37 @@ def records(made: DataFrame, first_slot: int = 0) -> DataFrame:
     return made.filter(F.col("first_slot") + F.col("records") > first_slot).mapInArrow(run, RECORDS)
 
 
-def export(made: DataFrame, folder: str) -> int:
-    """Write each shard's bytes to <folder>/shard-<number>.bin on a file system that all executors mount; returns the count.
+def export(made: DataFrame, folder: str, per_file: int = PER_FILE) -> int:
+    """Write per_file shards after another to each <folder>/shards-<number>.bin on a file system that all executors mount;
+    returns the number of files. made comes from shards(..., together=per_file), so that a file's shards are in one task.
 
-    A file appears whole or not at all, and one that is there already in full is not written again."""
+    A file appears whole or not at all, and one that is there in full stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, at, part, out = 0, None, "", None
+
+        def close() -> None:
+            if out is not None:
+                size = out.tell()
+                out.close()
+                path = f"{folder}/shards-{at // per_file:08d}.bin"
+                if os.path.exists(path) and os.path.getsize(path) == size:
+                    os.remove(part)
+                else:
+                    os.replace(part, path)
+
         for batch in batches:
-            n = 0
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path = f"{folder}/shard-{shard:010d}.bin"
-                if not os.path.exists(path) or os.path.getsize(path) != len(data):
-                    part = f"{path}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
-                        f.write(data)
-                    os.replace(part, path)
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                if at is None or shard // per_file != at // per_file:
+                    close()
+                    if shard % per_file:
+                        raise ValueError("a file's shards lie in several partitions: make them with together=per_file")
+                    part, n = f"{folder}/shards-{shard // per_file:08d}.bin.{os.getpid()}.part", n + 1
+                    out = open(part, "wb")  # noqa: SIM115 - closed when the next file begins
+                out.write(data)
+                at = shard
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return made.select("shard", "data").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 

@@ -122,12 +122,26 @@ def test_shards_round_trip(spark, tmp_path, length, per_shard):
     got = order.records(made, first_slot=len(want) // 2).collect()
     assert {r.slot for r in got} == {s for s in want if s >= len(want) // 2}
     assert all(r.ids_crc32 == zlib.crc32(want[r.slot][3].tobytes()) and r.offset == r.slot % per_shard * 2 * length for r in got)
-    n = order.export(made, str(tmp_path))
+    per_file = 3
+    whole = _util.materialize(order.shards(frame(spark, found), 5, length, per_shard, together=per_file))
+    n = order.export(whole, str(tmp_path), per_file)
     files = sorted(tmp_path.glob("*.bin"))
-    assert n == len(files) and sum(f.stat().st_size for f in files) == len(want) * 2 * length
+    by_shard = [bytes(r["data"]) for r in made.orderBy("shard").collect()]
+    assert n == len(files) == -(-len(by_shard) // per_file) and not list(tmp_path.glob("*.part"))
+    assert [f.read_bytes() for f in files] == [b"".join(by_shard[i : i + per_file]) for i in range(0, len(by_shard), per_file)]
     files[0].write_bytes(b"cut short")
-    order.export(made, str(tmp_path))
-    assert files[0].stat().st_size % (2 * length) == 0
+    order.export(whole, str(tmp_path), per_file)
+    assert files[0].read_bytes() == b"".join(by_shard[:per_file])
+
+
+def test_files_need_their_shards_together(spark, tmp_path):
+    made = order.shards(frame(spark, [(i, "some text", "", "", 0) for i in range(40)]), length=16, per_shard=1)
+    with pytest.raises(Exception, match="together=per_file"):
+        order.export(made, str(tmp_path), 20)
+
+
+def test_id_width_follows_the_vocabulary():
+    assert [order.id_width(n) for n in (10, 50_257, 65_536, 65_537, 200_000)] == [2, 2, 2, 4, 4]
 
 
 def test_order_of_equal_rows(spark):
