@@ -5,18 +5,25 @@ least ``percent`` / 100.
 
 Sizes are cut into bands; a set takes part in the band of its own size and in those of larger sets it may link with. In a
 band whose sets have at most u elements, linked sets differ in at most k = floor(2 u (1 - j) / (1 + j)) elements. The feature
-domain (the hash range) is cut into 2 k + 1 partitions, so linked sets agree wholly on at least k + 1 of them. All sets rank
-their partitions by one total order of (partition, content); the heaviest partition on which two linked sets agree is then
-among the heaviest k + 1 of both, so these are a set's signatures. The order puts partitions with many infrequent features
-first; partitions that are empty or hold only features that a great many documents share come last and are mostly left out.
-Frequent features come from counts over all documents; they only order partitions and lose no pair.
+domain (the hash range) is cut into 4 k + 1 partitions, so linked sets agree wholly on at least 3 k + 1 of them. All sets rank
+their partitions by one total order of (partition, content); the t heaviest partitions on which two linked sets agree are then
+among the heaviest k + t of both (k as it follows from a set's own size, if that is less), so the subsets of t of these are a
+set's signatures. Pairs (t = 2) are enumerated up to k = 4,
+where they are few; single partitions above, k + 1 a band. Where k is 0, linked sets are equal and need no signature. The order
+puts partitions with many infrequent features first; those that are empty or hold only features that a great many documents
+share come last and are mostly left out: with so many partitions to choose from, sets that have only a passage in common
+meet in few buckets. Frequent features come from counts over all documents;
+they only order partitions and lose no pair.
 
 Sets that share a signature form a bucket. Its pairs are not all made: parity sketches (whose Hamming distance never exceeds
 the number of elements in which two sets differ) tell which of its sets can link at all, and the bucket gives a spanning set
 of such pairs. Sets that can link, directly or through others, form a cluster; each set goes once to its cluster's task,
-which counts common elements through an inverted index and gives a spanning set of links. Clusters of over ``CLUSTER`` sets
-are cut into blocks and treated by pairs of blocks. Every link rests on both whole sets, so the components are those of all
-links. Equal sets are one node throughout, named by 64 bits of a digest of the set.
+which counts common elements through an inverted index and gives a spanning set of links. Buckets of over ``BUCKET`` sets and
+clusters of over ``CLUSTER`` are cut into blocks and treated by pairs of blocks, each in a task of its own. Every link rests on
+both whole sets, so the components are those of all links.
+
+Equal sets are one node throughout, named by 64 bits of a digest of the set. A second digest of 64 bits tells different sets
+of one name apart; those (a handful in tens of billions) go by the second one.
 
 Null, empty and blank texts have empty sets and link with nothing. Null ids count as the least id. Rows of one doc_id are
 separate documents unless their texts agree. Empty tables give empty results; other columns are not read.
@@ -38,12 +45,13 @@ from pageloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
 CACHE = 200_000
-FREQUENT, SEEN = 1 << 15, 3
-CLUSTER, SPOTS = 3000, 1 << 23
+FREQUENT, SEEN, PAIRED = 1 << 15, 3, 4
+CLUSTER, BUCKET, SPOTS = 3000, 4000, 1 << 23
+HELD, MOST_SHARED = 1 << 20, 10_000
 _LONG = T.LongType()
-MEMBERS = T.StructType([*(T.StructField(n, _LONG) for n in ("k", "h", "n", "id")), T.StructField("sketch", T.BinaryType())])
+MEMBERS = T.StructType([*(T.StructField(n, _LONG) for n in ("k", "h", "n", "id", "other")), T.StructField("sketch", T.BinaryType())])
 SIGNED = T.StructType([T.StructField("sig", _LONG), T.StructField("id", _LONG)])
-BUCKETS = T.StructType([T.StructField(n, _LONG) for n in ("sig", "hub", "id")])
+BUCKETS = T.StructType([T.StructField(n, _LONG) for n in ("sig", "block", "id")])
 SETS = T.StructType([T.StructField("id", _LONG), T.StructField("set", T.BinaryType())])
 KEYED_SETS = T.StructType([T.StructField("k", _LONG), T.StructField("h", _LONG), *SETS.fields])
 PAIRS = T.StructType([T.StructField("a", _LONG), T.StructField("b", _LONG)])
@@ -79,12 +87,17 @@ def shingles(text: str, known: WordHashes) -> np.ndarray:
     return total[np.append(True, total[1:] != total[:-1])]
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """64 bits of the set's digest, signed."""
-    h = xxhash.xxh3_64_intdigest(hashes.tobytes())
+def _digest(hashes: np.ndarray, seed: int) -> int:
+    h = xxhash.xxh3_64_intdigest(hashes.tobytes(), seed)
     return h - (1 << 64) if h >> 63 else h
 
 
+def set_id(hashes: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """64 bits of the set's digest, signed; of another digest where the first is one of those that different sets share."""
+    h = _digest(hashes, 0)
+    return _digest(hashes, 1) if h in shared else h
+
+
 def _bands() -> tuple[np.ndarray, np.ndarray]:
     least = [1]
     while least[-1] < 1 << 40:
@@ -106,52 +119,65 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     high, found = hashes >> np.uint64(32), []
     for band in range(own, last + 1):
         k = int(2 * MOST[band] * (100 - percent) // (100 + percent))
-        m = 2 * k + 1
+        if not k:
+            continue
+        m, t = 4 * k + 1, 2 if k <= PAIRED else 1
+        # no set that links with this one differs in more
+        own_k = int((len(hashes) + min(MOST[band], len(hashes) * 100 // percent)) * (100 - percent) // (100 + percent))
         cuts = np.concatenate([[0], np.searchsorted((high * np.uint64(m)) >> np.uint64(32), np.arange(1, m, dtype=np.uint64)), [len(hashes)]])
         content = _mix(total[cuts[1:]] - total[cuts[:-1]] + np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band))
         weight = (np.minimum(rare[cuts[1:]] - rare[cuts[:-1]], 255) << 8) + np.minimum(np.diff(cuts), 255)
         rank = (weight.astype(np.uint64) << np.uint64(47)) | (content >> np.uint64(17))  # a partition's own: ties are as rare as equal hashes
-        found.append(content[np.argpartition(rank, m - k - 1)[m - k - 1 :]])
-    return np.concatenate(found)
+        top = content[np.argpartition(rank, m - own_k - t)[m - own_k - t :]]
+        if t == 2:
+            i, j = np.triu_indices(own_k + 2, 1)
+            top = _mix(top[i] + top[j])
+        found.append(top)
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """k, h, n, id and sketch of every document, and rows with k = null that count features seen SEEN times in a slice (in h: the
-    feature, in n: the count)."""
+    """k, h, n, id, other (the second digest) and sketch of every document, and rows with k = null that count features seen SEEN
+    times in a slice (in h: the feature, in n: the count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches, most_bytes=2 << 20):
             sets = [shingles(t, known) for t in part.column(2).to_pylist()]
-            yield arrow_batch(MEMBERS, [part.column(0), part.column(1), [len(s) for s in sets], [set_id(s) for s in sets], [parity_sketch(s).tobytes() for s in sets]])
+            yield arrow_batch(MEMBERS, [part.column(0), part.column(1), [len(s) for s in sets], [_digest(s, 0) for s in sets], [_digest(s, 1) for s in sets], [parity_sketch(s).tobytes() for s in sets]])
             distinct = {set_id(s): s for s in sets}
             features, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             often = counts >= SEEN
             if often.any():
-                yield arrow_batch(MEMBERS, [pa.nulls(int(often.sum()), pa.int64()), features[often].view(np.int64), counts[often].astype(np.int64), np.zeros(int(often.sum()), np.int64), pa.nulls(int(often.sum()), pa.binary())])
+                yield arrow_batch(MEMBERS, [pa.nulls(int(often.sum()), pa.int64()), features[often].view(np.int64), counts[often].astype(np.int64), *[np.zeros(int(often.sum()), np.int64)] * 2, pa.nulls(int(often.sum()), pa.binary())])
 
     return docs.mapInArrow(run, MEMBERS)
 
 
-def _signed(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _signed(docs: DataFrame, frequent: np.ndarray, percent: int, shared: frozenset[int]) -> DataFrame:
+    """sig, id: a set's signatures, about once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for part in slices(batches, most_bytes=2 << 20):
-            sets = {set_id(s): s for s in (shingles(t, known) for t in part.column(0).to_pylist()) if len(s)}
-            if sets:
-                signed = [signatures(s, frequent, percent) for s in sets.values()]
-                yield arrow_batch(SIGNED, [np.concatenate(signed).view(np.int64), np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in signed])])
+            sets = {set_id(s, shared): s for s in (shingles(t, known) for t in part.column(0).to_pylist()) if len(s)}
+            fresh = [i for i in sets if i not in seen]
+            if len(seen) > HELD:
+                seen.clear()
+            seen.update(fresh)
+            signed = [signatures(sets[i], frequent, percent) for i in fresh]
+            if signed:
+                yield arrow_batch(SIGNED, [np.concatenate(signed).view(np.int64), np.repeat(np.array(fresh, np.int64), [len(x) for x in signed])])
 
     return docs.select("text").mapInArrow(run, SIGNED)
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """Of every signature that several sets share: its least set (hub) with each other one. A bucket is named by a digest of
-    its members, so that signatures with the same members are one bucket after a distinct."""
+    """The sets (id) of every signature that several sets share, in blocks of BUCKET. A bucket is named by a digest of its
+    members, so that signatures with the same members are one bucket after a distinct; one of over HELD sets is passed on as it
+    comes, under its signature."""
 
     def groups(sig: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
         sig, own = sig[fresh], own[fresh]
@@ -160,27 +186,43 @@ def _buckets(signed: DataFrame) -> DataFrame:
         name = np.add.reduceat(_mix(own.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts)
         name, kept = np.unique(np.where(sizes > 1, name, 0), return_index=True)
         kept, name = kept[sizes[kept] > 1], name[sizes[kept] > 1]
-        n = sizes[kept] - 1
+        n = sizes[kept]
         if len(kept):
-            at = np.repeat(starts[kept] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield arrow_batch(BUCKETS, [np.repeat(name, n).view(np.int64), np.repeat(own[starts[kept]], n), own[at]])
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield arrow_batch(BUCKETS, [np.repeat(name, n).view(np.int64), place // BUCKET, own[np.repeat(starts[kept], n) + place]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        flowing, passed, latest = None, 0, None  # the signature that is passed on, how many sets so far, the latest one
         for batch in batches:
-            if not batch.num_rows:
-                continue
             sig, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if flowing is not None and len(sig):
+                n = int(np.searchsorted(sig, flowing, side="right"))
+                some = own[:n][np.append(True, own[1:n] != own[: n - 1])] if n else own[:0]
+                some = some[1:] if len(some) and some[0] == latest else some
+                if len(some):
+                    yield arrow_batch(BUCKETS, [np.full(len(some), flowing), (passed + np.arange(len(some))) // BUCKET, some])
+                    passed, latest = passed + len(some), some[-1]
+                sig, own = sig[n:], own[n:]
+                flowing = None if len(sig) else flowing
+            if not len(sig):
+                continue
             last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on in the next batch
             if last or held and held[-1][0][-1] != sig[0]:
                 held.append((sig[:last], own[:last]))
                 yield from groups(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
             held.append((sig[last:], own[last:]))
+            if sum(len(x) for x, _ in held) > HELD:
+                flowing, some = held[0][0][0], np.concatenate([x for _, x in held])
+                some = some[np.append(True, some[1:] != some[:-1])]
+                held = []
+                yield arrow_batch(BUCKETS, [np.full(len(some), flowing), np.arange(len(some)) // BUCKET, some])
+                passed, latest = len(some), some[-1]
         if held:
             yield from groups(*map(np.concatenate, zip(*held, strict=True)))
 
-    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, BUCKETS)
+    return signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, BUCKETS)
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -196,8 +238,8 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _may_link(ids: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Pairs that connect a bucket's sets as far as they can link."""
+def _may_link(ids: list[int], sizes: list[int], sketches: list[bytes], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect a bucket's sets as far as they can link; with side (two blocks) only by links from one to the other."""
     n, least = np.array(sizes, np.int64), min(map(len, sketches))
     bits = np.stack([_fold(np.frombuffer(x, np.uint8), least) for x in sketches]).view(np.uint64)
     waiting, out = np.ones(len(ids), bool), []
@@ -205,9 +247,10 @@ def _may_link(ids: list[int], sizes: list[int], sketches: list[bytes], percent:
         queue = [first] if waiting[first] else []
         waiting[first] = False
         while queue:
-            i, rest = queue.pop(), np.flatnonzero(waiting)
+            i = queue.pop()
+            rest = np.flatnonzero(waiting if side is None else waiting & (side != side[i]))
             if not len(rest):
-                break
+                continue
             apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = rest[apart * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)].tolist()
             waiting[near] = False
@@ -216,33 +259,45 @@ def _may_link(ids: list[int], sizes: list[int], sketches: list[bytes], percent:
     return out
 
 
-def _can_link(buckets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that can link, a spanning set of them in every bucket."""
+def _in_block_pairs(rows: DataFrame, key: str, mine: str, last: str) -> DataFrame:
+    """rows in the pairs (x, y) of blocks that they take part in: key, x, y, side (whether a row is of the second block), others.
+    mine: a row's block; last: its group's greatest block."""
+    rest = [c for c in rows.columns if c not in (key, mine, last)]
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(last).cast("int"))))
+    # with several blocks a block meets itself once, and every other one once
+    return dealt.select(key, F.least(mine, "other").cast("int").alias("x"), F.greatest(mine, "other").cast("int").alias("y"), (F.col(mine) > F.col("other")).alias("side"), *rest)
+
+
+def _can_link(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets that can link, a spanning set of them in every bucket. sketches: id, n and sketch of every set, once."""
     once = buckets.distinct()
-    rows = once.select("sig", "id").unionByName(once.select("sig", F.col("hub").alias("id")).distinct())
-    sketches = members.select("id", "n", "sketch").dropDuplicates(["id"])
-    wide = rows.join(sketches, "id").select("sig", "id", "n", "sketch")
+    last = once.filter("block > 0").groupBy("sig").agg(F.max("block").alias("last"))
+    wide = once.join(sketches, "id").join(last, "sig", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    dealt = _in_block_pairs(wide.select("sig", "block", "last", "id", "n", "sketch"), "sig", "block", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, held, seen = None, [], set()
+        key, held, seen = None, [], set()
 
         def close() -> Iterator[pa.RecordBatch]:
-            found = set(_may_link(*map(list, zip(*held, strict=True)), percent)) - seen if held else None
+            if len(held) < 2:
+                return
+            side, *columns = map(list, zip(*held, strict=True))
+            found = set(_may_link(*columns, percent, None if key[1] == key[2] else np.array(side))) - seen
             if found:
-                if len(seen) > 1_000_000:
+                if len(seen) > HELD:
                     seen.clear()
                 seen.update(found)
                 yield arrow_batch(PAIRS, list(map(list, zip(*sorted(found), strict=True))))
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if row[0] != sig:
+        for part in slices(batches, "sketch"):
+            for row in zip(*(part.column(c).to_pylist() for c in range(7)), strict=True):
+                if row[:3] != key:
                     yield from close()
-                    sig, held = row[0], []
-                held.append(row[1:])
+                    key, held = row[:3], []
+                held.append(row[3:])
         yield from close()
 
-    return wide.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, PAIRS).distinct()
+    return dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "id").mapInArrow(run, PAIRS).distinct()
 
 
 def links_across(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -276,11 +331,10 @@ def links_across(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list
 
 def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the sets of each cluster (node, root)."""
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER).cast("int").alias("blocks"))
-    member = clusters.withColumnRenamed("node", "id").join(blocks, "root").join(sets, "id")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("side"), "id", "set")
+    last = materialize(clusters.groupBy("root").agg((F.ceil(F.count(F.lit(1)) / CLUSTER) - 1).cast("int").alias("last")))
+    member = clusters.withColumnRenamed("node", "id").join(last, "root").join(sets, "id")
+    mine = F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")
+    dealt = _in_block_pairs(member.withColumn("mine", mine).select("root", "mine", "last", "id", "set"), "root", "mine", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -303,7 +357,7 @@ def _within(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, PAIRS)
 
 
-def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
+def _whole_sets(texts: DataFrame, shown: DataFrame, shared: frozenset[int]) -> DataFrame:
     """id and set of the documents in shown (k, h). A bitmap of SPOTS bits, whatever the size of shown, keeps most
     other texts from being shuffled; the join that follows is exact."""
     spot = F.pmod(F.xxhash64("k", "h"), F.lit(SPOTS))
@@ -323,7 +377,7 @@ def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
                     if (k, h) not in seen:
                         seen.add((k, h))
                         own = shingles(text, known)
-                        out.append((k, h, set_id(own), own.tobytes()))
+                        out.append((k, h, set_id(own, shared), own.tobytes()))
                 if out:
                     yield arrow_batch(KEYED_SETS, list(map(list, zip(*out, strict=True))))
 
@@ -331,22 +385,34 @@ def _whole_sets(texts: DataFrame, shown: DataFrame) -> DataFrame:
     return made.join(shown, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("id", "set")
 
 
+def _shared_names(members: DataFrame) -> frozenset[int]:
+    """Names of more than one set, as far as the second digest tells: chance makes a handful of them in tens of billions."""
+    found = members.groupBy("id").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("id").limit(MOST_SHARED + 1).collect()
+    if len(found) > MOST_SHARED:
+        raise RuntimeError("more equal digests of different sets than chance makes")
+    return frozenset(r["id"] for r in found)
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """k, h (the document's key), n (its set's size) and component_id (the least k that links reach) of every document."""
     spark, texts = docs.sparkSession, keyed(docs)
     found = materialize(_sets(texts))
-    members = found.filter("k IS NOT NULL")
+    members, filled = found.filter("k IS NOT NULL"), F.col("n") > 0
+    shared = _shared_names(members.filter(filled))
+    members = members.withColumn("id", F.when(F.col("id").isin(list(shared)), F.col("other")).otherwise(F.col("id"))) if shared else members
     often = most_counted(found.filter("k IS NULL").groupBy("h").agg(F.sum("n").alias("n")), "n", FREQUENT).select("h").collect()
     frequent = np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
-    buckets = materialize(_buckets(_signed(texts, frequent, percent)))
+    buckets = materialize(_buckets(_signed(texts, frequent, percent, shared)))
 
-    clusters = materialize(components(_can_link(buckets, members.filter("n > 0"), percent)))
-    shown = members.filter("n > 0").groupBy("id").agg(F.min(F.struct("k", "h")).alias("doc")).join(clusters, F.col("id") == F.col("node")).select("doc.k", "doc.h").distinct()
-    sets = materialize(_whole_sets(texts, shown))
+    clusters = materialize(components(_can_link(buckets, members.filter(filled).select("id", "n", "sketch").dropDuplicates(["id"]), percent)))
+    shown = members.filter(filled).groupBy("id").agg(F.min(F.struct("k", "h")).alias("doc")).join(clusters, F.col("id") == F.col("node")).select("doc.k", "doc.h").distinct()
+    sets = materialize(_whole_sets(texts, shown, shared))
     roots = materialize(components(_within(clusters, sets, percent)))
 
-    named = members.filter("n > 0").join(roots, members["id"] == roots["node"], "left").select("k", "h", "n", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("k").alias("component_id"), F.min(F.struct("k", "h")).alias("first"))
+    named = members.filter(filled).join(roots, members["id"] == roots["node"], "left").select("k", "h", "n", F.coalesce("root", "id").alias("root"))
+    # written, so that a component of very many documents is joined by several tasks
+    named = materialize(named)
+    least = materialize(named.groupBy("root").agg(F.min("k").alias("component_id"), F.min(F.struct("k", "h")).alias("first")))
     some = named.join(least, "root").select("k", "h", "n", "component_id", (F.struct("k", "h") == F.col("first")).alias("stays"))
     none = members.filter("n = 0").select("k", "h", "n", F.col("k").alias("component_id"), F.lit(True).alias("stays"))
     return some.unionByName(none)

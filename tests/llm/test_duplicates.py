@@ -222,9 +222,10 @@ def near_copies(n, edits, seed=5, size=120):
     return out
 
 
-@pytest.mark.parametrize("cluster", [3000, 7])
-def test_components(spark, monkeypatch, cluster):
-    monkeypatch.setattr(partenum, "CLUSTER", cluster)
+@pytest.mark.parametrize(("cluster", "bucket", "held"), [(3000, 4000, 1 << 20), (7, 5, 1 << 20), (7, 4, 9)])
+def test_components(spark, monkeypatch, cluster, bucket, held):
+    for name, value in (("CLUSTER", cluster), ("BUCKET", bucket), ("HELD", held)):
+        monkeypatch.setattr(partenum, name, value)
     found = [r for r in rows() if not (r[0] is None and r[1] is None)] + near_copies(40, 2) + [(5000 + r[0], *r[1:]) for r in near_copies(30, 4, 6)] + [(9000 + r[0], *r[1:]) for r in near_copies(30, 3, 7, 60)]
     got = {(None if r.k == LEAST else r.k, r.n, None if r.component_id == LEAST else r.component_id) for r in partenum.jaccard_components(frame(spark, found)).collect()}
     want = brute_components(found)
@@ -250,7 +251,43 @@ def test_linked_sets_share_a_signature():
                     break
                 b = c
             frequent = np.sort(a[: len(a) // 2])
-            assert len(np.intersect1d(partenum.signatures(a, frequent), partenum.signatures(b, frequent)))
+            assert np.array_equal(a, b) or len(np.intersect1d(partenum.signatures(a, frequent), partenum.signatures(b, frequent)))
+            assert partenum.LEAST[-1] > size and len(partenum.signatures(a, frequent)) <= 0.6 * size + 40
+
+
+def test_a_common_passage_makes_few_buckets_of_all():
+    """500 words of 650 in common, likeness 0.62, no link: own features come first, so most signatures are a set's own."""
+    rng, n = np.random.default_rng(11), 300
+    common = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    signed = [np.unique(partenum.signatures(np.unique(np.append(common, rng.integers(0, 1 << 63, 150, dtype=np.uint64))), np.sort(common))) for _ in range(n)]
+    shared = np.unique(np.concatenate(signed), return_counts=True)[1] > n / 2
+    assert shared.sum() <= 100 and sum(len(x) for x in signed) / n > 250
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    a, b = np.array([1, 2, 3], np.uint64), np.array([4], np.uint64)
+    one, two = partenum._digest(a, 0), partenum._digest(a, 1)
+    assert partenum.set_id(a) == one and partenum.set_id(a, frozenset([one])) == two and partenum.set_id(b, frozenset([one])) == partenum._digest(b, 0)
+    members = spark.createDataFrame([(5, 1), (5, 1), (6, 1), (6, 2), (7, 3)], "id long, other long")
+    assert partenum._shared_names(members) == {6}
+
+
+def test_blocks_connect_as_the_whole_does():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.append(rng.choice(base[i % 6], 57, replace=False), rng.integers(0, 1 << 63, 2, dtype=np.uint64))) for i in range(30)]
+    ids, sizes, sketches = list(range(30)), [len(x) for x in sets], [partenum.parity_sketch(x).tobytes() for x in sets]
+
+    def groups(pairs):
+        root = list(range(30))
+        for _ in range(30):
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    blocks = [range(0, 12), range(12, 24), range(24, 30)]
+    apart = [p for i, x in enumerate(blocks) for y in blocks[i:] for own in [[*x] if x == y else [*x, *y]] for p in partenum._may_link([ids[j] for j in own], [sizes[j] for j in own], [sketches[j] for j in own], 80, None if x == y else np.array([j in y for j in own]))]
+    assert groups(apart) == groups(partenum._may_link(ids, sizes, sketches, 80))
 
 
 def test_sketch_never_exceeds_the_difference():
