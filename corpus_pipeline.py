@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm._util import materialize, read_table
 from pageloom.llm.decontam import drop_contaminated
-from pageloom.llm.linechunks import LONG, dedup_line_chunks
+from pageloom.llm.linechunks import dedup_line_chunks
 from pageloom.llm.packing import pack
 from pageloom.llm.partenum import keep_one_of_each
 from pageloom.llm.toxicity import keep_non_toxic
@@ -22,7 +22,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = dedup_line_chunks(docs, long_line=LONG)
+    kept = dedup_line_chunks(docs)
+    if "n_chars" not in docs.columns:
+        return kept
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
