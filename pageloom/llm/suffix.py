@@ -121,9 +121,10 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int):
     at = np.concatenate([at[has_early], at[has_late]])
     is_late = np.arange(len(lo)) >= has_early.sum()
     shared = np.where(is_late, at, at - half - 1), np.where(is_late, at + length - half, at + gram)
-    key = _mix(_span_hashes(data, 0, *shared) + is_late.astype(np.uint64))
+    windows = _windows(data)
+    key = _mix(_span_hashes(windows, 0, *shared) + is_late.astype(np.uint64))
     end = hi + length
-    whole = _mix(_span_hashes(data, 1, lo, end) + (end - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    whole = _mix(_span_hashes(windows, 1, lo, end) + (end - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     doc = np.searchsorted(starts, lo, side="right") - 1
     return key, whole, doc, lo - starts[doc], hi - lo + 1
 
@@ -141,12 +142,21 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[which]
 
 
-def _span_hashes(data: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], alike for equal bytes wherever they are."""
-    powers, inverse = _powers(which, len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_tables()[which][data] * powers[: len(data)], out=prefix[1:])
-    return (prefix[end] - prefix[start]) * inverse[start]
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number."""
+    x = data.astype(np.uint64)
+    for n in (1, 2, 4):
+        x = x[:-n] | x[n:] << np.uint64(8 * n)
+    return x
+
+
+def _span_hashes(windows: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes start to end (8 at least), alike for equal bytes wherever they are: of the windows within, each mixed
+    by itself before they are added up with powers, so that no arrangement of bytes cancels out. The two mix differently."""
+    powers, inverse = _powers(which, len(windows) + 1)
+    prefix = np.zeros(len(windows) + 1, np.uint64)
+    np.cumsum(_mix(windows ^ _tables()[which][0]) * powers[: len(windows)], out=prefix[1:])
+    return (prefix[end - 7] - prefix[start]) * inverse[start]
 
 
 def _blocks(part: pa.RecordBatch, length: int) -> Iterator[tuple]:

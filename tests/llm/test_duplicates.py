@@ -73,6 +73,21 @@ def test_longest_previous_is_exact():
         assert got.tolist() == [bool(first[s] < p) for s, p in zip(strings, position, strict=True)]
 
 
+def test_span_hashes_tell_regular_bytes_apart():
+    """Thue-Morse strings and their complements, which cancel out in sums of powers of any base."""
+    for bits in (7, 8, 10, 12):
+        each = np.array([bin(i).count("1") % 2 for i in range(1 << bits)], np.uint8)
+        data = np.concatenate([97 + each, 98 - each])
+        windows, start, end = suffix._windows(data), np.array([0, 1 << bits]), np.array([1 << bits, 2 << bits])
+        for which in (0, 1):
+            a, b = (int(x) for x in suffix._span_hashes(windows, which, start, end))
+            assert (a ^ b) & 0xFFFFFF and ((a ^ b) >> 24) & 0xFFFFFF
+    rng = np.random.default_rng(1)
+    some = rng.integers(0, 256, 500).astype(np.uint8)
+    windows = suffix._windows(np.concatenate([some, [7, 7, 7], some]).astype(np.uint8))
+    assert len({int(x) for x in suffix._span_hashes(windows, 0, np.array([0, 503]), np.array([500, 1003]))}) == 1
+
+
 # runs of repeated sentences
 
 
