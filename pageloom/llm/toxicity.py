@@ -83,6 +83,22 @@ def _margins(w: np.ndarray, b: float, columns: np.ndarray, starts: np.ndarray) -
     return total[starts[1:]] - total[starts[:-1]] + b
 
 
+def risk(theta: np.ndarray, prior: float, positive: tuple, unlabelled: tuple, ceiling: float = 0.0) -> tuple[float, np.ndarray]:
+    """The non-negative risk and the gradient to descend; theta ends with the bias, rows are (columns, row of each, row starts).
+
+    Where the corrected negative part is below ceiling, the gradient is that of its opposite."""
+
+    def pull(d: np.ndarray, rows: tuple) -> np.ndarray:
+        return np.concatenate([np.bincount(rows[0], d[rows[1]], minlength=len(theta) - 1), [d.sum()]])
+
+    gp, gu = (_margins(theta[:-1], theta[-1], rows[0], rows[2]) for rows in (positive, unlabelled))
+    yes_p, yes_u = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    g_negative = pull(yes_u / len(gu), unlabelled) - prior * pull(yes_p / len(gp), positive)
+    value = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+    return float(value), -g_negative if negative < ceiling else prior * pull((yes_p - 1) / len(gp), positive) + g_negative
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, max_features: int = 4096, least_z: float = 4.0, steps: int = 400, rate: float = 0.1, l2: float = 1e-4, ceiling: float = 0.0) -> Model:
     """Non-negative PU learning; each row is an array of distinct feature numbers.
 
@@ -103,23 +119,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     theta = np.concatenate([np.zeros(len(keep)), [np.log(prior / (1 - prior))]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
 
-    def pull(d: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Gradient from d, the derivative by each row's margin."""
-        return np.concatenate([np.bincount(columns, d[rows], minlength=len(keep)), [d.sum()]])
-
     for step in range(1, steps + 1):
-        gp, gu = _margins(theta[:-1], theta[-1], cp, sp), _margins(theta[:-1], theta[-1], cu, su)
-        yes_p, yes_u = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        g_negative = pull(yes_u / len(gu), cu, ru) - prior * pull(yes_p / len(gp), cp, rp)
-        grad = -g_negative if negative < ceiling else prior * pull((yes_p - 1) / len(gp), cp, rp) + g_negative
+        _, grad = risk(theta, prior, (cp, rp, sp), (cu, ru, su), ceiling)
         grad[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({int(k): float(w) for k, w in zip(keep, theta[:-1], strict=True)}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 7000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 3000, max_unlabelled: int = 12000) -> Model:
     """Fit on the bounded samples described above; only they reach the driver."""
     spark = docs.sparkSession
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(folds))
