@@ -2,8 +2,8 @@
 
 Terms are runs of ``words`` consecutive words (fewer words: the whole text), weighted by 1 + ln(count); each term's hash
 votes +weight or -weight on every bit, and a bit is set where the votes are positive. ``near_fingerprints`` finds all pairs
-within a radius by permuted block tables: bits are cut into blocks, each table leads with another choice of blocks, and
-fingerprints within the radius agree on the leading blocks of some table.
+within a radius by permuted block tables, ``near_counts`` how many rows are near each fingerprint: bits are cut into blocks,
+each table leads with another choice of blocks, and fingerprints within the radius agree on the leading blocks of some table.
 
 Null text is an empty text, whose fingerprint has no bit set. Rows of equal doc_id follow each other in the order of their
 text; null ids come last. An empty table gives an empty result; other columns are not read.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm._util import arrow_batch, id_and_text, read_table, slices
+from pageloom.llm._util import arrow_batch, id_and_text, materialize, read_table, slices
 
 BITS, WORDS = 256, 5
 CACHE = 300_000
@@ -39,7 +39,13 @@ EDITED = T.StructType(
     ]
 )
 
+KEYS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("copies", T.LongType())])
+RUNS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("no", T.IntegerType()), T.StructField("prints", T.BinaryType()), T.StructField("copies", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("distance", T.IntegerType())])
+NEAR = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("n_near", T.LongType())])
+
 RANGES, PER_RANGE = 1 << 16, 20
+RADIUS, HELD, SALTS = 7, 2048, 16
 
 
 class WordHashes(dict):
@@ -147,34 +153,140 @@ def fingerprint_edits(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     return _next_by_descending_id(id_and_text(docs), part_bytes).mapInArrow(run, EDITED)
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None, bits: int = BITS) -> DataFrame:
-    """All pairs (a, b) with a < b of distinct hex fingerprints at most radius bits apart, and their distance.
-
-    prints: a column ``fingerprint``. One table per choice of blocks - radius leading blocks (radius + 2 blocks by default,
-    so two lead); equal keys of a table are candidates, and every candidate's distance is computed. Copies are one row."""
-    blocks = blocks or radius + 2
+def _table_keys(cut: np.ndarray, edges: list[int], lead: list[tuple[int, ...]]) -> Iterator[list[bytes]]:
+    """For each table the keys of fingerprints given as rows of bits: the table's number and its leading blocks."""
+    for t, chosen in enumerate(lead):
+        picked = np.packbits(np.concatenate([cut[:, edges[c] : edges[c + 1]] for c in chosen], axis=1), axis=1)
+        yield [t.to_bytes(2, "little") + p.tobytes() for p in picked]
+
+
+def _close(a: np.ndarray, b: np.ndarray, table: int, same: bool, radius: int, edges: list[int], lead: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a and b (packed bits) within the radius and their distance, of pairs whose first table is this one."""
+    lanes_a, lanes_b = a.view(np.uint32), b.view(np.uint32)
+    for at in range(0, len(a), 64):
+        apart = np.bitwise_count(lanes_a[at : at + 64, None] ^ lanes_b[None]).sum(2, dtype=np.int32)
+        i, j = np.nonzero(apart <= radius)
+        distance = apart[i, j]
+        i += at
+        if same:
+            keep = i < j
+            i, j, distance = i[keep], j[keep], distance[keep]
+        if len(i):
+            cut = np.unpackbits(a[i] ^ b[j], axis=1)
+            equal = np.stack([~cut[:, lo:hi].any(axis=1) for lo, hi in zip(edges, edges[1:], strict=False)], axis=1)
+            chosen = np.zeros(equal.shape[1], bool)
+            chosen[list(lead[table])] = True
+            first = equal & (np.cumsum(equal, axis=1) <= len(lead[table]))  # the first table is that of the first equal blocks
+            keep = (first == chosen).all(axis=1)
+            i, j, distance = i[keep], j[keep], distance[keep]
+        if len(i):
+            yield i, j, distance
+
+
+def _settled(prints: DataFrame, radius: int, blocks: int, bits: int, held: int, found: T.StructType, tell) -> DataFrame:
+    """What tell(left, right, pairs) yields for all close pairs of prints (print binary, copies long), each pair once.
+
+    A bucket, the fingerprints of one key, is cut into runs of at most held; runs are compared with themselves and with each
+    other run of their bucket, in tasks of their own. Only one run is held at a time, or two."""
+    if blocks <= radius or held < 2:
+        raise ValueError("more blocks than the radius and runs of two or more are needed")
     edges = [bits * i // blocks for i in range(blocks + 1)]
     lead = list(combinations(range(blocks), blocks - radius))
-    keys = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("fingerprint", T.StringType())])
+    size = bits // 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(0).to_pylist()
-            raw = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1)
-            cut = np.unpackbits(raw, axis=1)
-            for t, chosen in enumerate(lead):
-                picked = np.packbits(np.concatenate([cut[:, edges[c] : edges[c + 1]] for c in chosen], axis=1), axis=1)
-                yield arrow_batch(keys, [[t.to_bytes(2, "little") + p.tobytes() for p in picked], prints])
-
-    tables = prints.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct().mapInArrow(run, keys)
-    a, b = tables.select("key", F.col("fingerprint").alias("a")), tables.select("key", F.col("fingerprint").alias("b"))
-    pairs = a.join(b, "key").filter("a < b").select("a", "b").distinct()
-    words = [F.bit_count(F.conv(F.substring("a", 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 1 + 8 * i, 8), 16, 10).cast("long"))) for i in range(bits // 32)]
-    distance = words[0]
-    for w in words[1:]:
-        distance = distance + w
-    return pairs.withColumn("distance", distance.cast("int")).filter(F.col("distance") <= radius)
+            if batch.num_rows:
+                cut = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, size), axis=1)
+                for keys in _table_keys(cut, edges, lead):
+                    yield arrow_batch(KEYS, [keys, batch.column(0), batch.column(1)])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, no, some, copies, out = None, 0, [], [], []
+        for batch in batches:
+            for k, mark, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key or len(some) == held:
+                    if len(some) > 1 or no:
+                        out.append((key, no, b"".join(some), np.array(copies, np.int64).tobytes()))
+                    key, no, some, copies = k, no + 1 if k == key else 0, [], []
+                some.append(mark)
+                copies.append(n)
+                if len(out) >= 64:
+                    yield arrow_batch(RUNS, list(zip(*out, strict=True)))
+                    out = []
+        if len(some) > 1 or no:
+            out.append((key, no, b"".join(some), np.array(copies, np.int64).tobytes()))
+        if out:
+            yield arrow_batch(RUNS, list(zip(*out, strict=True)))
+
+    def unpack(marks: bytes, copies: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(marks, np.uint8).reshape(-1, size), np.frombuffer(copies, np.int64)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, marks, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = unpack(marks, copies)
+                for told in tell(one, one, _close(one[0], one[0], int.from_bytes(key[:2], "little"), True, radius, edges, lead)):
+                    yield arrow_batch(found, told)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, marks, copies, others, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = unpack(marks, copies), unpack(others, more)
+                for told in tell(one, two, _close(one[0], two[0], int.from_bytes(key[:2], "little"), False, radius, edges, lead)):
+                    yield arrow_batch(found, told)
+
+    cut = materialize(prints.mapInArrow(spread, KEYS).repartition("key").sortWithinPartitions("key").mapInArrow(runs, RUNS))
+    whole = cut.select("key", "prints", "copies").mapInArrow(within, found)
+    a = cut.select("key", "no", "prints", "copies")
+    b = cut.filter("no > 0").select("key", F.col("no").alias("other"), F.col("prints").alias("others"), F.col("copies").alias("more"))
+    pairs = a.join(b, "key").filter("no < other").repartition(F.col("key"), "no", "other").select("key", "prints", "copies", "others", "more")
+    return whole.unionByName(pairs.mapInArrow(across, found))
+
+
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS, held: int = HELD) -> DataFrame:
+    """All pairs (a, b) with a < b of distinct hex fingerprints at most radius bits apart, and their distance.
+
+    prints: a column ``fingerprint``. One table per choice of blocks - radius leading blocks (radius + 1 blocks by default,
+    so one leads); fingerprints of equal keys of a table are compared, and a pair comes from the first table that has it.
+    Copies are one row, nulls none."""
+
+    def tell(one, two, close):
+        for i, j, distance in close:
+            a, b = ([x[0][r].tobytes().hex() for r in rows] for x, rows in ((one, i), (two, j)))
+            yield [list(map(min, a, b)), list(map(max, a, b)), distance]
+
+    given = prints.select(F.unhex("fingerprint").alias("print")).filter(F.col("print").isNotNull()).distinct().withColumn("copies", F.lit(1).cast("long"))
+    return _settled(given, radius, blocks or radius + 1, bits, held, PAIRS, tell)
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS, held: int = HELD) -> DataFrame:
+    """print, n_near of each distinct binary fingerprint in prints that more than one row is near to: the number of rows whose
+    fingerprint is at most radius bits apart, the row itself left out. No pair leaves the task that compares it."""
+
+    def tell(one, two, close):
+        left, right = (np.zeros(len(x[1]), np.int64) for x in (one, two))
+        for i, j, _ in close:
+            np.add.at(left, i, two[1][j])
+            np.add.at(right, j, one[1][i])
+        for (marks, _), total in ((one, left), (two, right)):
+            seen = np.flatnonzero(total)
+            if len(seen):
+                yield [[marks[r].tobytes() for r in seen], total[seen]]
+
+    own = prints.groupBy("print").agg(F.count(F.lit(1)).alias("copies"))
+    more = _settled(own, radius, blocks or radius + 1, bits, held, NEAR, tell)
+    each = own.filter("copies > 1").select("print", (F.col("copies") - 1).alias("n_near")).unionByName(more)
+    return each.groupBy("print").agg(F.sum("n_near").alias("n_near"))
+
+
+def with_near_counts(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """found with n_near, see ``near_counts``, of its column ``fingerprint``. Rows of one fingerprint are dealt to SALTS tasks."""
+    counts = near_counts(found.select(F.unhex("fingerprint").alias("print")), radius)
+    counts = counts.select(F.lower(F.hex("print")).alias("fingerprint"), "n_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    return salted.join(counts, ["fingerprint", "salt"], "left").select(*found.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    return with_near_counts(materialize(fingerprint_edits(read_table(spark, sf_dir, "documents"))))

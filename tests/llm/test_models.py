@@ -70,6 +70,32 @@ def test_non_negative_risk_follows_the_prior():
     assert model.score({1}) > 0.9 and model.score({2}) < 0.1
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.6])
+def test_risk_and_gradient_against_loops(prior):
+    rng = random.Random(int(prior * 10))
+    rows = lambda n: [sorted(rng.sample(range(6), rng.randint(0, 4))) for _ in range(n)]
+    flat = lambda x: (np.array([f for r in x for f in r], int), np.repeat(np.arange(len(x)), [len(r) for r in x]), np.cumsum([0] + [len(r) for r in x]))
+    loss = lambda g: math.log1p(math.exp(-g))
+    positive, unlabelled, signs = [sorted({0, *r}) for r in rows(9)], [[f for f in r if f] for r in rows(14)], set()
+    for lean in (-4.0, 0.0, 6.0):
+        theta = np.array([lean] + [rng.gauss(0, 1) for _ in range(5)] + [-2.0])
+
+        def parts(x):
+            gp, gu = ([sum(x[f] for f in r) + x[-1] for r in some] for some in (positive, unlabelled))
+            below = prior * sum(loss(-g) for g in gp) / len(gp)
+            return prior * sum(map(loss, gp)) / len(gp), sum(loss(-g) for g in gu) / len(gu) - below
+
+        value, grad = toxicity.risk(theta, prior, flat(positive), flat(unlabelled))
+        first, negative = parts(theta)
+        signs.add(negative < 0)
+        assert math.isclose(value, first + max(0, negative), rel_tol=1e-9)
+        for k in range(7):
+            up, down = (parts(theta + np.eye(7)[k] * d) for d in (1e-6, -1e-6))
+            want = (down[1] - up[1]) / 2e-6 if negative < 0 else (sum(up) - sum(down)) / 2e-6
+            assert math.isclose(grad[k], want, rel_tol=1e-4, abs_tol=1e-7)
+    assert signs == ({False, True} if prior > 0.5 else signs)
+
+
 def test_filter_keeps_columns(spark):
     docs, labels, truth = toxic_corpus()
     df = frame(spark, docs).withColumn("score", F.lit("clash"))
@@ -366,8 +392,8 @@ def test_likeness_tells_copies_from_others():
     assert simhash.likeness(a, b) > 0.85 > 0.65 > simhash.likeness(a, c)
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(0, None), (3, None), (5, 8), (12, 14)])
-def test_radius_search_finds_all(spark, radius, blocks):
+@pytest.mark.parametrize(("radius", "blocks", "held"), [(0, None, 2048), (3, None, 2), (7, None, 3), (5, 8, 2048), (12, 14, 2048)])
+def test_radius_search_finds_all(spark, radius, blocks, held):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2, (20, 256))
     found = []
@@ -380,5 +406,18 @@ def test_radius_search_finds_all(spark, radius, blocks):
     texts = sorted({f for f in found if f})
     bits = [int(t, 16) for t in texts]
     want = {(a, b, (x ^ y).bit_count()) for i, (a, x) in enumerate(zip(texts, bits, strict=True)) for b, y in zip(texts[i + 1 :], bits[i + 1 :], strict=True) if (x ^ y).bit_count() <= radius}
-    got = {tuple(r) for r in simhash.near_fingerprints(spark.createDataFrame([(f,) for f in found], "fingerprint string"), radius, blocks).collect()}
-    assert got == want
+    got = [tuple(r) for r in simhash.near_fingerprints(spark.createDataFrame([(f,) for f in found], "fingerprint string"), radius, blocks, held=held).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = found * 2
+    counts = {bytes(r["print"]).hex(): r["n_near"] for r in simhash.near_counts(spark.createDataFrame([(bytes.fromhex(f),) for f in rows if f], "print binary"), radius, blocks, held=held).collect()}
+    assert counts == {t: sum(f is not None and (int(t, 16) ^ int(f, 16)).bit_count() <= radius for f in rows) - 1 for t in texts}
+
+
+def test_query_counts_near_documents(spark, tmp_path):
+    found = rows()
+    frame(spark, found).write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op1_simhash(spark, str(tmp_path)).collect()
+    marks = [int(simhash.fingerprint(r[1] or "").tobytes().hex(), 16) for r in found]
+    assert sorted((r.fingerprint, r.n_near) for r in got) == sorted((f"{m:064x}", sum((m ^ o).bit_count() <= simhash.RADIUS for o in marks) - 1) for m in marks)
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert simhash.op1_simhash(spark, str(tmp_path / "none")).collect() == []
