@@ -240,7 +240,7 @@ def _settled(prints: DataFrame, radius: int, blocks: int, bits: int, held: int,
     whole = cut.select("key", "prints", "copies").mapInArrow(within, found)
     a = cut.select("key", "no", "prints", "copies")
     b = cut.filter("no > 0").select("key", F.col("no").alias("other"), F.col("prints").alias("others"), F.col("copies").alias("more"))
-    pairs = a.join(b, "key").filter("no < other").repartition(F.col("key"), "no", "other").select("key", "prints", "copies", "others", "more")
+    pairs = a.join(b.hint("merge"), "key").filter("no < other").repartition(F.col("key"), "no", "other").select("key", "prints", "copies", "others", "more")
     return whole.unionByName(pairs.mapInArrow(across, found))
 
 
@@ -281,11 +281,12 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int | None = No
 
 
 def with_near_counts(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """found with n_near, see ``near_counts``, of its column ``fingerprint``. Rows of one fingerprint are dealt to SALTS tasks."""
+    """found with n_near, see ``near_counts``, of its column ``fingerprint``. Rows of one fingerprint are dealt to SALTS tasks.
+    The counts grow with the documents, so they are shuffled and never broadcast."""
     counts = near_counts(found.select(F.unhex("fingerprint").alias("print")), radius)
     counts = counts.select(F.lower(F.hex("print")).alias("fingerprint"), "n_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
-    return salted.join(counts, ["fingerprint", "salt"], "left").select(*found.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return salted.join(counts.hint("merge"), ["fingerprint", "salt"], "left").select(*found.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
