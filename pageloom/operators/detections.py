@@ -13,6 +13,7 @@ from pyspark.sql import Window
 
 from pageloom.functions import boxes
 from pageloom.operators import slices
+from pageloom.sources.shared import materialize
 
 
 def project(df: DataFrame, names: dict[int, str]) -> DataFrame:
@@ -106,11 +107,13 @@ def average_precision(truth: DataFrame, found: DataFrame, image: str = "image",
     mine = found.select(F.col(image).alias("image"), "cls", *CORNERS, F.col("conf").cast("double").alias("conf"), "box_id", F.lit(True).alias("found"))
 
     def match(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        corners, is_found, hit = rows[CORNERS].to_numpy(), rows["found"].to_numpy(), np.zeros(len(rows), np.int32)
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            n = int(b - a - is_found[a:b].sum())  # true boxes come first
-            there, free = corners[a : a + n], np.ones(n, bool)
-            for i in range(a + n, b) if n else ():
+        corners, is_found, hit = rows[CORNERS].to_numpy(), rows["found"].to_numpy(bool), np.zeros(len(rows), np.int32)
+        begins, sizes = starts[:-1], np.diff(starts)
+        n_true = sizes - np.add.reduceat(is_found, begins, dtype=np.int64)
+        both = np.flatnonzero((n_true > 0) & (n_true < sizes))  # without true boxes, or without found ones, nothing is hit
+        for a, b, n in zip(begins[both].tolist(), starts[1:][both].tolist(), n_true[both].tolist(), strict=True):
+            there, free = corners[a : a + n], np.ones(n, bool)  # true boxes come first
+            for i in range(a + n, b):
                 score = np.where(free, _ious(corners[i], there), 0)
                 best = int(score.argmax())
                 if score[best] >= iou:
@@ -122,14 +125,15 @@ def average_precision(truth: DataFrame, found: DataFrame, image: str = "image",
     hits = _in_groups(truth.select("*", *none).unionByName(mine), ["image", "cls"], order, match, schema)
     total = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("truth"))
     order = [F.col("conf").desc(), F.col("image"), F.col("box_id")]
-    sliced = slices.in_slices(hits, ["cls"], order)
+    sliced = slices.in_slices(materialize(hits), ["cls"], order)  # dealing by ranges reads its rows twice
     run = slices.within(["cls"], order)
     local = sliced.withColumn("tp", F.sum("hit").over(run)).withColumn("n", F.count(F.lit(1)).over(run))
     before = slices.carried(sliced, ["cls"], {"n_tp": F.sum("hit"), "n_rows": F.count(F.lit(1))})
     curve = slices.joined(local, before, ["cls"]).withColumns({"tp": F.col("tp") + F.coalesce("n_tp", F.lit(0)), "n": F.col("n") + F.coalesce("n_rows", F.lit(0))}).drop("n_tp", "n_rows")
     curve = curve.withColumn("precision", F.col("tp") / F.col("n"))
-    # the envelope: the best precision from a row on, first within its range, then of the ranges after it
-    ahead = Window.partitionBy("cls", slices.SLICE).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # the envelope: the best precision from a row on, first within its range, then of the ranges after it; rows are read from the
+    # last one, as Spark computes a frame that ends at the last row anew for every row
+    ahead = Window.partitionBy("cls", slices.SLICE).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
     after = slices.carried(curve, ["cls"], {"later": F.max("precision")}, backwards=True)
     envelope = slices.joined(curve.withColumn("best", F.max("precision").over(ahead)), after, ["cls"]).withColumn("best", F.greatest("best", "later"))
     made = envelope.groupBy("cls").agg(F.sum(F.col("hit") * F.col("best")).alias("area"), F.max_by("precision", "n").alias("precision"), F.max("tp").alias("tp"))

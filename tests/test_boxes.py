@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,6 +74,37 @@ def test_average_precision(spark):
     assert got["d"].ap == 0 and got["d"].truth == 1
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_average_precision_is_linear_in_a_class(spark, parts):
+    """Against a plain loop over classes in several ranges; no frame is computed anew for every row."""
+    rng = random.Random(3)
+    box = lambda: (a := rng.randrange(4), b := rng.randrange(4), a + 2.0, b + 2.0)
+    truth = [(i, rng.choice("cd"), *map(float, box())) for i in range(60) for _ in range(3)]
+    found = [(i, rng.choice("cde"), rng.randrange(5) / 5, n, *map(float, box())) for i in range(90) for n in range(4)]
+    corners = "x0 double, y0 double, x1 double, y1 double"
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = detections.average_precision(spark.createDataFrame(truth, f"image int, cls string, {corners}"), spark.createDataFrame(found, f"image int, cls string, conf double, box_id int, {corners}"), iou=0.3)
+        got = {r.cls: r for r in made.collect()}
+        assert "unboundedfollowing" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for cls in "cd":
+        free, hits = [t for t in sorted(truth) if t[1] == cls], []
+        n = len(free)
+        for f in sorted((f for f in found if f[1] == cls), key=lambda f: (-f[2], f[0], f[3])):
+            shared = lambda t: max(min(f[6], t[4]) - max(f[4], t[2]), 0) * max(min(f[7], t[5]) - max(f[5], t[3]), 0)  # noqa: B023, E731
+            best = max((t for t in free if t[0] == f[0]), key=lambda t: shared(t), default=None)
+            hits.append(best is not None and shared(best) / (8 - shared(best)) >= 0.3)
+            if hits[-1]:
+                free.remove(best)
+        precision = [sum(hits[: i + 1]) / (i + 1) for i in range(len(hits))]
+        assert math.isclose(got[cls].ap, sum(max(precision[i:]) for i, h in enumerate(hits) if h) / n)
+        assert math.isclose(got[cls].recall, sum(hits) / n) and math.isclose(got[cls].precision, precision[-1]) and got[cls].truth == n
+
+
 def test_containment(spark):
     rows = [("i", "s", 1, 0.0, 0.0, 10.0, 10.0), ("i", "r", 2, 5.0, 0.0, 20.0, 10.0), ("i", "r", 3, 8.0, 0.0, 20.0, 10.0), ("j", "r", 4, 0.0, 0.0, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "image string, label string, box_id int, x0 double, y0 double, x1 double, y1 double")
