@@ -101,51 +101,59 @@ def average_precision(truth: DataFrame, found: DataFrame, image: str = "image",
 
     truth: image, cls, x0..y1. found: the same with conf and box_id. Area under the precision
     envelope over recall. Boxes of equal overlap are taken by their corners."""
+    return _by_class(truth, found, image, (iou,)).select("cls", "truth", *[F.col(f"{c}_0").alias(c) for c in ("precision", "recall", "ap")])
+
+
+def mean_average_precision(truth: DataFrame, found: DataFrame, image: str = "image", ious: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))) -> DataFrame:
+    """Per class: truth, precision and recall at the first threshold, the average precision there (ap50) and its mean over all
+    thresholds (ap50_95)."""
+    mean = functools.reduce(Column.__add__, [F.col(f"ap_{i}") for i in range(len(ious))]) / len(ious)
+    return _by_class(truth, found, image, ious).select("cls", "truth", F.col("precision_0").alias("precision"), F.col("recall_0").alias("recall"), F.col("ap_0").alias("ap50"), mean.alias("ap50_95"))
+
+
+def _by_class(truth: DataFrame, found: DataFrame, image: str, ious: tuple[float, ...]) -> DataFrame:
+    """cls, truth and, for each threshold i, precision_i, recall_i and ap_i; boxes are matched in one pass for all thresholds."""
     kind = dict(found.dtypes)
     none = [F.lit(None).cast("double").alias("conf"), F.lit(None).cast(kind["box_id"]).alias("box_id"), F.lit(False).alias("found")]
     truth = truth.select(F.col(image).cast(kind[image]).alias("image"), F.col("cls").cast(kind["cls"]).alias("cls"), *CORNERS)
     mine = found.select(F.col(image).alias("image"), "cls", *CORNERS, F.col("conf").cast("double").alias("conf"), "box_id", F.lit(True).alias("found"))
+    each = range(len(ious))
 
     def match(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        corners, is_found, hit = rows[CORNERS].to_numpy(), rows["found"].to_numpy(bool), np.zeros(len(rows), np.int32)
+        corners, is_found, hit = rows[CORNERS].to_numpy(), rows["found"].to_numpy(bool), np.zeros((len(ious), len(rows)), np.int32)
         begins, sizes = starts[:-1], np.diff(starts)
         n_true = sizes - np.add.reduceat(is_found, begins, dtype=np.int64)
         both = np.flatnonzero((n_true > 0) & (n_true < sizes))  # without true boxes, or without found ones, nothing is hit
         for a, b, n in zip(begins[both].tolist(), starts[1:][both].tolist(), n_true[both].tolist(), strict=True):
-            there, free = corners[a : a + n], np.ones(n, bool)  # true boxes come first
+            there, free = corners[a : a + n], np.ones((len(ious), n), bool)  # true boxes come first
             for i in range(a + n, b):
-                score = np.where(free, _ious(corners[i], there), 0)
-                best = int(score.argmax())
-                if score[best] >= iou:
-                    free[best], hit[i] = False, 1
-        return rows.assign(hit=hit).loc[is_found, ["cls", "conf", "box_id", "image", "hit"]]
-
-    schema = f"cls {kind['cls']}, conf double, box_id {kind['box_id']}, image {kind[image]}, hit int"
+                overlaps = _ious(corners[i], there)
+                for t, least in enumerate(ious):
+                    score = np.where(free[t], overlaps, 0)
+                    best = int(score.argmax())
+                    if score[best] >= least:
+                        free[t, best], hit[t, i] = False, 1
+        return rows.assign(**{f"hit_{t}": hit[t] for t in each}).loc[is_found, ["cls", "conf", "box_id", "image", *[f"hit_{t}" for t in each]]]
+
+    schema = f"cls {kind['cls']}, conf double, box_id {kind['box_id']}, image {kind[image]}, " + ", ".join(f"hit_{t} int" for t in each)
     order = [F.col("found"), F.col("conf").desc(), F.col("box_id"), *map(F.col, CORNERS)]
     hits = _in_groups(truth.select("*", *none).unionByName(mine), ["image", "cls"], order, match, schema)
     total = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("truth"))
     order = [F.col("conf").desc(), F.col("image"), F.col("box_id")]
     sliced = slices.in_slices(materialize(hits), ["cls"], order)  # dealing by ranges reads its rows twice
     run = slices.within(["cls"], order)
-    local = sliced.withColumn("tp", F.sum("hit").over(run)).withColumn("n", F.count(F.lit(1)).over(run))
-    before = slices.carried(sliced, ["cls"], {"n_tp": F.sum("hit"), "n_rows": F.count(F.lit(1))})
-    curve = slices.joined(local, before, ["cls"]).withColumns({"tp": F.col("tp") + F.coalesce("n_tp", F.lit(0)), "n": F.col("n") + F.coalesce("n_rows", F.lit(0))}).drop("n_tp", "n_rows")
-    curve = curve.withColumn("precision", F.col("tp") / F.col("n"))
+    local = sliced.withColumns({"n": F.count(F.lit(1)).over(run)} | {f"tp_{t}": F.sum(f"hit_{t}").over(run) for t in each})
+    before = slices.carried(sliced, ["cls"], {"n_rows": F.count(F.lit(1))} | {f"n_tp_{t}": F.sum(f"hit_{t}") for t in each})
+    earlier = {"n": "n_rows"} | {f"tp_{t}": f"n_tp_{t}" for t in each}
+    curve = slices.joined(local, before, ["cls"]).withColumns({c: F.col(c) + F.coalesce(b, F.lit(0)) for c, b in earlier.items()}).drop(*earlier.values())
+    curve = curve.withColumns({f"precision_{t}": F.col(f"tp_{t}") / F.col("n") for t in each})
     # the envelope: the best precision from a row on, first within its range, then of the ranges after it; rows are read from the
     # last one, as Spark computes a frame that ends at the last row anew for every row
     ahead = Window.partitionBy("cls", slices.SLICE).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    after = slices.carried(curve, ["cls"], {"later": F.max("precision")}, backwards=True)
-    envelope = slices.joined(curve.withColumn("best", F.max("precision").over(ahead)), after, ["cls"]).withColumn("best", F.greatest("best", "later"))
-    made = envelope.groupBy("cls").agg(F.sum(F.col("hit") * F.col("best")).alias("area"), F.max_by("precision", "n").alias("precision"), F.max("tp").alias("tp"))
-    whole = total.join(made, "cls", "left")
-    return whole.select("cls", "truth", F.coalesce("precision", F.lit(0.0)).alias("precision"), F.coalesce(F.col("tp") / F.col("truth"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("area") / F.col("truth"), F.lit(0.0)).alias("ap"))
-
-
-def mean_average_precision(truth: DataFrame, found: DataFrame, image: str = "image", ious: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))) -> DataFrame:
-    """Per class: truth, precision and recall at the first threshold, the average precision there (ap50) and its mean over all
-    thresholds (ap50_95)."""
-    each = [average_precision(truth, found, image, t).withColumn("iou", F.lit(t)) for t in ious]
-    every = functools.reduce(DataFrame.unionByName, each)
-    first = F.col("iou") == ious[0]
-    at_first = [F.max(F.when(first, F.col(c))).alias(a) for c, a in (("truth", "truth"), ("precision", "precision"), ("recall", "recall"), ("ap", "ap50"))]
-    return every.groupBy("cls").agg(*at_first, F.avg("ap").alias("ap50_95"))
+    after = slices.carried(curve, ["cls"], {f"later_{t}": F.max(f"precision_{t}") for t in each}, backwards=True)
+    envelope = slices.joined(curve.withColumns({f"best_{t}": F.max(f"precision_{t}").over(ahead) for t in each}), after, ["cls"])
+    made = [(F.sum(F.col(f"hit_{t}") * F.greatest(f"best_{t}", f"later_{t}")).alias(f"area_{t}"), F.max_by(f"precision_{t}", "n").alias(f"last_{t}"), F.max(f"tp_{t}").alias(f"tp_{t}")) for t in each]
+    whole = total.join(envelope.groupBy("cls").agg(*[c for some in made for c in some]), "cls", "left")
+    share = lambda c: F.coalesce(F.col(c) / F.col("truth"), F.lit(0.0))
+    rates = [(F.coalesce(f"last_{t}", F.lit(0.0)).alias(f"precision_{t}"), share(f"tp_{t}").alias(f"recall_{t}"), share(f"area_{t}").alias(f"ap_{t}")) for t in each]
+    return whole.select("cls", "truth", *[c for some in rates for c in some])

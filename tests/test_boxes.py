@@ -105,6 +105,23 @@ def test_average_precision_is_linear_in_a_class(spark, parts):
         assert math.isclose(got[cls].recall, sum(hits) / n) and math.isclose(got[cls].precision, precision[-1]) and got[cls].truth == n
 
 
+def test_mean_average_precision_matches_once(spark, monkeypatch):
+    """All thresholds in one pass over the boxes, with what each threshold gives on its own."""
+    box, rng = "x0 double, y0 double, x1 double, y1 double", random.Random(5)
+    some = lambda: (rng.randrange(3) / 2, rng.randrange(3) / 2, 2.0, 2.0)
+    truth = spark.createDataFrame([(i % 9, rng.choice("cd"), *some()) for i in range(40)], f"image int, cls string, {box}")
+    found = spark.createDataFrame([(i % 11, rng.choice("ce"), rng.random(), i, *some()) for i in range(60)], f"image int, cls string, conf double, box_id int, {box}")
+    ious = (0.2, 0.5, 0.9)
+    alone = [{r.cls: r for r in detections.average_precision(truth, found, iou=t).collect()} for t in ious]
+    passes, group = [], detections._in_groups
+    monkeypatch.setattr(detections, "_in_groups", lambda *a: passes.append(a) or group(*a))
+    got = {r.cls: r for r in detections.mean_average_precision(truth, found, ious=ious).collect()}
+    assert len(passes) == 1 and set(got) == {"c", "d"}
+    for cls, r in got.items():
+        assert (r.truth, r.precision, r.recall, r.ap50) == tuple(alone[0][cls])[1:]
+        assert math.isclose(r.ap50_95, sum(a[cls].ap for a in alone) / 3)
+
+
 def test_containment(spark):
     rows = [("i", "s", 1, 0.0, 0.0, 10.0, 10.0), ("i", "r", 2, 5.0, 0.0, 20.0, 10.0), ("i", "r", 3, 8.0, 0.0, 20.0, 10.0), ("j", "r", 4, 0.0, 0.0, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "image string, label string, box_id int, x0 double, y0 double, x1 double, y1 double")
