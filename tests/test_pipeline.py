@@ -1,6 +1,6 @@
 import pytest
 
-from pageloom.plans import backends, stages
+from pageloom.plans import backends, queries, stages
 from pageloom.plans.config import Config
 from pageloom.sources import readers, writers
 from pageloom.streaming import ingest
@@ -164,6 +164,14 @@ def test_crop_order(spark, tmp_path):
     assert [(r["cls"], r["name"]) for r in got] == [("b", "page-10.png"), ("b", "page-2.JPG"), ("a", "y.webp")]
 
 
+def test_crop_order_of_equal_paths(spark, tmp_path):
+    """Pages of one address are numbered by page, however they are dealt."""
+    pages = [(n, "https://a/x") for n in range(0, 800, 4)] + [(1, "https://a/b")]
+    spark.createDataFrame(pages[::-1], "page_id long, url string").repartition(7).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.ord for r in queries.q16_crop_order(spark, str(tmp_path)).collect()}
+    assert got == {1: 1} | {n: n // 4 + 2 for n in range(0, 800, 4)}
+
+
 def test_command_lines():
     assert readers.page_arguments(["p.png"]).ocsr is False and Config().recognise_structures is True
     a = readers.dataset_arguments(["--images", "i", "--ann", "a", "--out", "o"])
