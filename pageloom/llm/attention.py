@@ -9,6 +9,8 @@ within the class; an id outside the table costs the class REST times its add-one
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,7 @@ CLASSES, PER_CLASS = 32, 32
 MEMBERS = CLASSES * PER_CLASS
 REST, PAD = MEMBERS, MEMBERS + 1
 WIDTH, KEY, HIDDEN = 32, 16, 64
+BATCH = 512
 CEILING = 80.0  # of an exponent in single precision
 
 
@@ -312,7 +315,7 @@ def gradients(p: dict, where: tuple[np.ndarray, np.ndarray], inputs: np.ndarray,
     return float(loss) / max(len(t), 1), g
 
 
-def train(texts: list[np.ndarray], steps: int = 200, batch: int = 512, rate: float = 2e-2, seed: int = 0) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
+def train(texts: list[np.ndarray], steps: int = 200, batch: int = BATCH, rate: float = 2e-2, seed: int = 0) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
     """Adam over batches of blocks of the texts' symbols."""
     inputs, queried, targets, _ = blocks_of(texts)
     p, members = start(inputs[queried].reshape(-1), targets, seed)
@@ -346,11 +349,21 @@ def of_flat(flat: np.ndarray, like: dict[str, dict]) -> dict[str, dict]:
     return out
 
 
-def advance(state: dict, where: tuple, pairs: np.ndarray, by_block: np.ndarray, those: range, steps: int, rng: np.random.Generator, batch: int = 512, rate: float = 2e-2) -> None:
-    """Those of all steps of Adam, in place, over batches of the blocks."""
+def batches(n: int, batch: int, rng: np.random.Generator, skip: int = 0) -> Iterator[np.ndarray]:
+    """Batches of n blocks without end: all blocks in one order, then all in another. The first skip batches are left out."""
+    order = np.zeros(0, np.int64)
+    for i in itertools.count():
+        while len(order) < min(batch, n):
+            order = np.concatenate([order, rng.permutation(n)])
+        if i >= skip:
+            yield order[:batch]
+        order = order[batch:]
+
+
+def advance(state: dict, where: tuple, pairs: np.ndarray, by_block: np.ndarray, those: Iterable[float], steps: int, rng: np.random.Generator, batch: int = BATCH, rate: float = 2e-2, skip: int = 0) -> None:
+    """Those of all steps of Adam, in place, over batches of the blocks that take every block in turn."""
     p, m, v = state["p"], state["m"], state["v"]
-    for step in those:
-        chosen = rng.integers(0, len(pairs), min(batch, len(pairs)))
+    for step, chosen in zip(those, batches(len(pairs), batch, rng, skip)):  # noqa: B905 - the batches have no end
         _, g = gradients(p, where, pairs[chosen].reshape(-1, BLOCK), np.tile([False, True], len(chosen)), by_block[chosen].reshape(-1))
         now = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for n in p:

@@ -10,10 +10,12 @@ with their counts; all other words' counts come from a join by word. No word is
 Model: a word's subword ids are those of a space and the word, so the ids of a text follow from its words and the ids'
 counts over all training texts from the words' counts. These counts choose the model's symbols and the shares of all other
 ids. Which symbol follows which is counted over all training texts; the weights' start, the classes and the class and member
-frequencies come from that. The weights are then fitted on a sample that grows with the training texts: for every ``PER_TRAINER``
-training ids one trainer, with blocks of ``sample_ids`` ids from everywhere in the texts (by a hash of text and place) and
-``steps`` steps. Trainers run in tasks and go on from their common mean in each of ``ROUNDS`` rounds. Texts are scored in
-overlapping windows that predict each id once (see ``attention``).
+frequencies come from that. The weights are then fitted on all ids of all training texts: every block of a text goes to one of
+the trainers, of which there is one for every ``PER_TRAINER`` training ids, and each takes all of its blocks, in ``steps`` steps or
+as many as they need. Trainers run in tasks and go on from their common mean in each of ``ROUNDS`` rounds; several trainers read a
+part of their blocks in each round, a single one goes through its blocks on and on. ``sample_ids``, if given, limits the blocks to
+so many ids a trainer, from everywhere in the texts (by a hash of text and place); no query gives it. Texts are scored in overlapping windows that
+predict each id once (see ``attention``).
 
 Null and empty texts have the end token only. A null doc_id is the empty string for the fold. Repeated rows are scored each
 and count each. Without training texts every id has the same probability. Empty tables give empty results; other columns
@@ -38,7 +40,7 @@ from pageloom.llm._util import arrow_batch, id_and_text, materialize, most_count
 FOLDS, FOLD = 7, 2
 HELD_WORDS = 450_000
 CHUNK = 8192
-PER_TRAINER, ROUNDS = 50_000_000, 5
+PER_TRAINER, ROUNDS = 5_000_000, 5
 PIECE = 4096  # numbers of a trainer's state that are averaged together
 _LONG = T.LongType()
 COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", _LONG)])
@@ -183,7 +185,8 @@ def gather(training: DataFrame, symbols: attention.Vocabulary, trainers: int, sh
             place = _mix(np.asarray(part.column(0)).view(np.uint64)[owner] + _mix(no.astype(np.uint64) + np.uint64(1)))
             chosen = np.flatnonzero((place >> np.uint64(11)) * 2.0**-53 < share)
             if len(chosen):
-                blocks = np.concatenate([attention.pairs_of(inputs, queried)[chosen].reshape(len(chosen), -1), targets.reshape(-1, attention.BLOCK)[chosen]], axis=1).astype(np.int16)
+                here = np.flatnonzero(queried)[chosen]
+                blocks = np.concatenate([inputs[here - 1], inputs[here, :1], targets.reshape(-1, attention.BLOCK)[chosen]], axis=1).astype(np.int16)
                 none = [pa.nulls(len(chosen), t) for t in (pa.int32(), pa.int64())]
                 yield arrow_batch(GATHERED, [*none, (_mix(place[chosen]) % np.uint64(trainers)).astype(np.int64), place[chosen].view(np.int64), [b.tobytes() for b in blocks]])
         seen = np.flatnonzero(total)
@@ -192,16 +195,28 @@ def gather(training: DataFrame, symbols: attention.Vocabulary, trainers: int, sh
     return training.select("h", "ids").mapInArrow(run, GATHERED)
 
 
-def _round(sent, those: range, steps: int):
+def unpacked(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As attention.pairs_of, and the targets, from gathered blocks: the block before, its own first symbol, its targets."""
+    before, first, targets = blocks[:, : attention.BLOCK], blocks[:, attention.BLOCK : attention.BLOCK + 1], blocks[:, attention.BLOCK + 1 :]
+    here = np.concatenate([first, np.where(targets[:, :-1] > 0, targets[:, :-1], attention.PAD)], axis=1)  # each target is read next, but the end
+    return np.stack([before, here], axis=1), targets
+
+
+def _round(sent, those: range, steps: int, r: int, goes: int, least: int):
+    """A trainer's round r of at least so many batches; a pass over its blocks takes as many rounds as goes says, at most."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table["place"]), kind="stable")  # the same batches in every run
-        each = np.frombuffer(b"".join(table["block"].to_pylist()), np.int16).reshape(-1, 3, attention.BLOCK)[order].astype(np.int32)
+        pairs, targets = unpacked(np.frombuffer(b"".join(table["block"].to_pylist()), np.int16).reshape(-1, 2 * attention.BLOCK + 1)[order].astype(np.int32))
         begun, where = sent.value
         own = {part: dict(x) for part, x in begun.items()}
-        attention.advance(own, where, each[:, :2], each[:, 2], those, steps, np.random.default_rng([key[0].as_py(), those.start]))
+        n = max(least, -(-len(pairs) // (goes * attention.BATCH)))
+        at = np.linspace(those.start, those.stop - 1, n)  # places in the schedule
+        seed = [key[0].as_py(), 0 if goes > 1 else those.start]
+        attention.advance(own, where, pairs, targets, at, steps, np.random.default_rng(seed), skip=r * n if goes > 1 else 0)
         flat = attention.flat_of(own)
         cuts = range(0, len(flat), PIECE)
-        return pa.Table.from_batches([arrow_batch(PIECES, [list(range(len(cuts))), [len(each)] * len(cuts), [flat[a : a + PIECE].tobytes() for a in cuts]])])
+        return pa.Table.from_batches([arrow_batch(PIECES, [list(range(len(cuts))), [len(pairs)] * len(cuts), [flat[a : a + PIECE].tobytes() for a in cuts]])])
 
     return run
 
@@ -212,19 +227,21 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([arrow_batch(PIECES, [[table["piece"][0].as_py()], [int(n.sum())], [total.astype(np.float32).tobytes()]])])
 
 
-def train(blocks: DataFrame, p: dict, where: tuple, steps: int, rounds: int = ROUNDS) -> dict:
-    """The weights after steps of each trainer on its blocks (trainer, place, block), averaged after every round."""
+def train(blocks: DataFrame, p: dict, where: tuple, steps: int, trainers: int = 1, rounds: int = ROUNDS) -> dict:
+    """The weights after steps, or more, of each trainer on its blocks (trainer, place, block), averaged after every round. No
+    block is left out."""
     state = attention.begin(p)
     rounds = max(1, min(rounds, steps))
     for r in range(rounds):
         those = range(steps * r // rounds + 1, steps * (r + 1) // rounds + 1)
         sent = blocks.sparkSession.sparkContext.broadcast((state, where))
-        done = blocks.groupBy("trainer").applyInArrow(_round(sent, those, steps), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
+        some, goes = (blocks, rounds) if trainers == 1 else (blocks.filter(F.pmod("place", F.lit(rounds)) == r), 1)
+        done = some.groupBy("trainer").applyInArrow(_round(sent, those, steps, r, goes, -(-steps // rounds)), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
         state = attention.of_flat(np.frombuffer(b"".join(bytes(x["state"]) for x in sorted(done, key=lambda x: x["piece"])), np.float32), state) if done else state
     return state["p"]
 
 
-def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str, known_words: int, sample_ids: int, steps: int) -> Model:
+def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str, known_words: int, sample_ids: int | None, steps: int) -> Model:
     sent = most_counted(counts, "c", known_words).collect()
     sent = sorted((bytes(r["word"]), r["c"]) for r in sent)
     enc = tokens.encoder(vocabulary)
@@ -236,13 +253,13 @@ def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str
     if n_training:
         n_ids = by_id.sum() + n_training
         trainers = int(-(-n_ids // PER_TRAINER))
-        gathered = materialize(gather(training, symbols, trainers, min(1.0, trainers * sample_ids / n_ids)))
+        gathered = materialize(gather(training, symbols, trainers, min(1.0, trainers * sample_ids / n_ids) if sample_ids else 1.0))
         pairs = gathered.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
         flat = np.zeros((attention.PAD + 1) * (attention.REST + 1), np.int64)
         flat[np.asarray(pairs["pair"])] = np.asarray(pairs["c"])
         p, members = attention.start_of(flat)
         where = attention.places(members)
-        weights = attention.ready(train(gathered.filter("trainer IS NOT NULL").select("trainer", "place", "block"), p, where, steps))
+        weights = attention.ready(train(gathered.filter("trainer IS NOT NULL").select("trainer", "place", "block"), p, where, steps, trainers))
     return Model(
         vocabulary,
         {w: i for i, (w, _) in enumerate(sent)},
@@ -255,7 +272,7 @@ def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str
     )
 
 
-def score_texts(docs: DataFrame, vocabulary: str | None = None, known_words: int = 150_000, sample_ids: int = 1_200_000, steps: int = 600) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str | None = None, known_words: int = 150_000, sample_ids: int | None = None, steps: int = 600) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     vocabulary = vocabulary or tokens.default_vocabulary()
     numbered = id_and_text(docs).withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id())

@@ -5,8 +5,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import frame, rows
 from corpus import words as some_words
@@ -237,6 +239,39 @@ def test_sample_grows_and_all_texts_count(spark, monkeypatch):
     assert seen[10**9][0] == 1 and seen[20_000][0] > 2 and seen[20_000][1] > 2 * seen[10**9][1]
 
 
+def test_weights_learn_from_all_blocks(spark, monkeypatch):
+    """Nothing is sampled unless asked for, and each trainer takes every block it has."""
+    rng = random.Random(7)
+    vocabulary, shares = some_words(rng, 40), []
+    docs = [(i, " ".join(rng.choices(vocabulary, k=90)), "en", "s", 0) for i in range(40)]
+    real = lm.gather
+    monkeypatch.setattr(lm, "gather", lambda t, s, trainers, share: shares.append((trainers, share)) or real(t, s, trainers, share))
+    for per in (10**9, 2_000):
+        monkeypatch.setattr(lm, "PER_TRAINER", per)
+        assert lm.score_texts(frame(spark, docs), steps=4).filter("score < 0").count() == 40
+    assert [s for _, s in shares] == [1.0, 1.0] and shares[0][0] == 1 < shares[1][0]
+
+    texts = [np.array([rng.randrange(1, 40) for _ in range(rng.randrange(60))]) for _ in range(50)]
+    inputs, queried, targets, _ = attention.blocks_of(texts)
+    packed = np.concatenate([inputs[np.flatnonzero(queried) - 1], inputs[queried][:, :1], targets.reshape(-1, attention.BLOCK)], axis=1).astype(np.int16)
+    pairs, by_block = lm.unpacked(packed.astype(np.int32))
+    assert (pairs == attention.pairs_of(inputs, queried)).all() and (by_block.reshape(-1) == targets).all()
+    p, members = attention.start(inputs[queried].reshape(-1), targets)
+    sent, taken = SimpleNamespace(value=(attention.begin(p), attention.places(members))), []
+    monkeypatch.setattr(attention, "BATCH", 8)
+    monkeypatch.setattr(attention.advance, "__defaults__", (8, 2e-2, 0))
+    monkeypatch.setattr(attention, "gradients", lambda p, where, inputs, queried, targets: taken.append(targets) or (0.0, {n: np.zeros_like(x) for n, x in p.items()}))
+    part = np.arange(len(packed)) % 3
+    for goes in (1, 3):
+        taken.clear()
+        for r in range(3):
+            mine = np.flatnonzero(part == r) if goes == 1 else np.arange(len(packed))
+            table = pa.table({"trainer": [0] * len(mine), "place": mine, "block": [packed[i].tobytes() for i in mine]})
+            lm._round(sent, range(r + 1, r + 2), 3, r, goes, 1)((pa.scalar(0),), table)
+        seen = np.concatenate(taken).reshape(-1, attention.BLOCK)
+        assert {x.tobytes() for x in seen} == {x.tobytes() for x in by_block} and len(seen) <= len(by_block) + 3 * 8
+
+
 def test_language_model_without_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
 
