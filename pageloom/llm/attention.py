@@ -21,6 +21,7 @@ MEMBERS = CLASSES * PER_CLASS
 REST, PAD = MEMBERS, MEMBERS + 1
 WIDTH, KEY, HIDDEN = 32, 16, 64
 BATCH = 512
+GROUP = 16  # symbols whose rows are summed in one product
 CEILING = 80.0  # of an exponent in single precision
 
 
@@ -133,34 +134,6 @@ def places(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cls, place
 
 
-def _windows(x: np.ndarray, queried: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(queried)
-    return np.concatenate([x[at - 1], x[at]], axis=1)
-
-
-def forward(p: dict, inputs: np.ndarray, queried: np.ndarray) -> dict:
-    x = p["E"][inputs]
-    xw, xq = _windows(x, queried), x[queried]
-    q = xq.reshape(-1, WIDTH) @ p["Wq"]
-    k = (x.reshape(-1, WIDTH) @ p["Wk"]).reshape(len(x), BLOCK, KEY)
-    kw = _windows(k, queried)
-    bias = np.where(BAND >= 0, p["back"][np.maximum(BAND, 0)], np.float32(-80)).astype(np.float32)
-    s = q.reshape(-1, BLOCK, KEY) @ kw.transpose(0, 2, 1)
-    s *= np.float32(KEY**-0.5)
-    s += bias
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    s /= (s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, np.float32)).reshape(len(s), BLOCK, 1)
-    z = s @ xw
-    g = np.concatenate([xq, z], axis=2).reshape(-1, 2 * WIDTH)
-    r = g @ p["W1"]
-    r += p["b1"]
-    np.maximum(r, 0, out=r)
-    h = np.square(r) @ p["W2"]
-    h += xq.reshape(-1, WIDTH)
-    return {"xw": xw, "xq": xq, "q": q, "kw": kw, "s": s, "g": g, "r": r, "h": h}
-
-
 def _class_order(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(classes.astype(np.int16), kind="stable")
     return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
@@ -253,66 +226,112 @@ def _log_likelihood(p: dict, where: tuple, inputs: np.ndarray, queried: np.ndarr
     return out
 
 
+def _by_symbol(symbols: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """For each of values, the sum of its rows by symbol. Rows are sorted by symbol and summed GROUP symbols at a time, by a product
+    with the rows' places in their group."""
+    order = np.argsort(symbols.astype(np.int16), kind="stable")  # short numbers are sorted by their digits
+    seen = symbols[order]
+    groups = PAD // GROUP + 1
+    cuts = np.searchsorted(seen, np.arange(groups + 1) * GROUP)
+    sums = []
+    place = np.zeros((len(seen), GROUP), values[0].dtype)
+    place[np.arange(len(seen)), seen % GROUP] = 1
+    for x in values:
+        total, rows = np.zeros((groups, GROUP, x.shape[1]), x.dtype), x.take(order, 0)
+        for i in range(groups):
+            if cuts[i + 1] > cuts[i]:
+                np.matmul(place[cuts[i] : cuts[i + 1]].T, rows[cuts[i] : cuts[i + 1]], out=total[i])
+        sums.append(total.reshape(groups * GROUP, -1)[: PAD + 1])
+    return sums
+
+
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> float:
+    """Turns the rows of x into their softmax less one at the chosen place; returns the loss."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    at = np.arange(len(x)), chosen
+    loss = -np.log(x[at] + 1e-30).sum(dtype=np.float64)
+    x[at] -= 1
+    return loss
+
+
 def gradients(p: dict, where: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, queried: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
-    """Mean loss per target and its gradients."""
-    f = forward(p, inputs, queried)
+    """Mean loss per target and its gradients.
+
+    What depends on a symbol alone is looked up, as in scoring. Weights out of the band are 0: tiny ones would make the products
+    that follow subnormal, which is slow."""
+    f, E = p["E"].dtype, p["E"]
+    at = np.flatnonzero(queried)
+    seen = np.concatenate([inputs[at - 1], inputs[at]], axis=1)
+    here = np.ascontiguousarray(seen[:, BLOCK:]).ravel()
+    Wq, X1, Z1 = p["Wq"] * f.type(KEY**-0.5), p["W1"][:WIDTH], np.ascontiguousarray(p["W1"][WIDTH:])
+
+    x, xw, kw = E.take(here, 0), E.take(seen, 0), (E @ p["Wk"]).take(seen, 0)
+    q = (E @ Wq).take(here, 0).reshape(-1, BLOCK, KEY)
+    s = q @ kw.transpose(0, 2, 1)
+    s += p["back"][np.maximum(BAND, 0)]
+    np.clip(s, -CEILING, CEILING, out=s)
+    np.exp(s, out=s)
+    s *= (BAND >= 0).astype(f)
+    s /= (s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, f)).reshape(-1, BLOCK, 1)
+    z = (s @ xw).reshape(-1, WIDTH)
+    r = z @ Z1
+    r += (E @ X1 + p["b1"]).take(here, 0)
+    np.maximum(r, 0, out=r)
+    squares = np.square(r)
+    h = squares @ p["W2"]
+    h += x
+
     live = np.flatnonzero(targets >= 0)
-    h, t = f["h"][live], targets[live]
-    cls, place = where[0][t], where[1][t]
-    logits = h @ p["A"] + p["a"]
-    soft = np.exp(logits - logits.max(1, keepdims=True))
-    soft /= soft.sum(1, keepdims=True)
-    loss = -np.log(soft[np.arange(len(t)), cls] + 1e-30).sum()
-    soft[np.arange(len(t)), cls] -= 1
-    soft /= len(t)
-    g = {"A": h.T @ soft, "a": soft.sum(0), "U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"])}
+    t = targets[live]
+    order, cuts = _class_order(where[0][t])
+    live, t = live[order], t[order]  # by class, so that each class is a slice
+    h = h.take(live, 0)
+    soft = h @ p["A"]
+    soft += p["a"]
+    loss = _softmax(soft, where[0][t])
+    inner = np.empty((int(cuts[CLASSES]), PER_CLASS), f)
+    for c, (a, b) in enumerate(itertools.pairwise(cuts.tolist())):
+        if b > a:
+            np.matmul(h[a:b], p["U"][c].T, out=inner[a:b])
+            inner[a:b] += p["u"][c]
+    if len(inner):
+        loss += _softmax(inner, where[1][t[: len(inner)]])
+    ones = np.ones(len(targets), f)
+    g = {"A": h.T @ soft, "a": ones[: len(t)] @ soft, "U": np.zeros_like(p["U"]), "u": np.zeros_like(p["u"])}
     dh = soft @ p["A"].T
-    order, cuts = _class_order(cls)
-    by_class, places_by_class, more = h[order], place[order], np.zeros_like(h)
-    for c in range(CLASSES):
-        a, b = cuts[c], cuts[c + 1]
+    for c, (a, b) in enumerate(itertools.pairwise(cuts.tolist())):
         if b > a:
-            inner, one = by_class[a:b] @ p["U"][c].T + p["u"][c], (np.arange(b - a), places_by_class[a:b])
-            inner = np.exp(inner - inner.max(1, keepdims=True))
-            inner /= inner.sum(1, keepdims=True)
-            loss -= np.log(inner[one] + 1e-30).sum()
-            inner[one] -= 1
-            inner /= len(t)
-            g["U"][c], g["u"][c] = inner.T @ by_class[a:b], inner.sum(0)
-            more[a:b] = inner @ p["U"][c]
-    dh[order] += more
-    whole = np.zeros_like(f["h"])
+            np.matmul(inner[a:b].T, h[a:b], out=g["U"][c])
+            np.matmul(ones[: b - a], inner[a:b], out=g["u"][c])
+            dh[a:b] += inner[a:b] @ p["U"][c]
+
+    whole = np.zeros((len(targets), WIDTH), f)
     whole[live] = dh
-    g["W2"] = np.square(f["r"]).T @ whole
-    dr = whole @ p["W2"].T
-    dr *= f["r"]
-    dr *= 2
-    g["W1"], g["b1"] = f["g"].T @ dr, dr.sum(0)
-    dg = (dr @ p["W1"].T).reshape(-1, BLOCK, 2 * WIDTH)
-    dxq = dg[..., :WIDTH] + whole.reshape(-1, BLOCK, WIDTH)
-    dz = dg[..., WIDTH:]
-    ds = dz @ f["xw"].transpose(0, 2, 1)
-    dxw = f["s"].transpose(0, 2, 1) @ dz
-    ds = f["s"] * (ds - (ds * f["s"]).sum(2, keepdims=True))
-    g["back"] = np.bincount(np.maximum(BAND, 0).ravel(), np.where(BAND >= 0, ds.sum(0), 0).ravel(), minlength=BLOCK).astype(np.float32)
-    ds *= np.float32(KEY**-0.5)
-    dq = (ds @ f["kw"]).reshape(-1, KEY)
-    dkw = ds.transpose(0, 2, 1) @ f["q"].reshape(-1, BLOCK, KEY)
-    flat = f["xq"].reshape(-1, WIDTH)
-    g["Wq"] = flat.T @ dq
-    g["Wk"] = f["xw"].reshape(-1, WIDTH).T @ dkw.reshape(-1, KEY)
-    dxq = dxq + (dq @ p["Wq"].T).reshape(dxq.shape)
-    dxw = dxw + (dkw.reshape(-1, KEY) @ p["Wk"].T).reshape(dxw.shape)
-    dx = np.zeros((*inputs.shape, WIDTH), np.float32)
-    at = np.flatnonzero(queried)
-    dx[at - 1] += dxw[:, :BLOCK]
-    dx[at] += dxw[:, BLOCK:] + dxq
-    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")  # short numbers are sorted by their digits
-    seen = inputs.ravel()[order]
-    first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-    g["E"] = np.zeros_like(p["E"])
-    g["E"][seen[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
-    return float(loss) / max(len(t), 1), g
+    g["W2"] = squares.T @ whole
+    dr = whole @ (2 * p["W2"]).T
+    dr *= r
+    g["W1"], g["b1"] = np.concatenate([x.T @ dr, z.T @ dr]), ones @ dr
+    dz = dr @ Z1.T
+    whole += dr @ X1.T
+    ds = dz.reshape(-1, BLOCK, WIDTH) @ xw.transpose(0, 2, 1)
+    ds -= ((dz * z) @ np.ones(WIDTH, f)).reshape(-1, BLOCK, 1)
+    ds *= s
+    g["back"] = np.bincount(np.maximum(BAND, 0).ravel(), ones[: len(ds)] @ ds.reshape(len(ds), -1), minlength=BLOCK).astype(f)
+    dq = (ds @ kw).reshape(-1, KEY)
+    g["Wq"] = (x.T @ dq) * f.type(KEY**-0.5)
+    whole += dq @ Wq.T
+    dxw = s.transpose(0, 2, 1) @ dz.reshape(-1, BLOCK, WIDTH)
+    dxw[:, BLOCK:] += whole.reshape(-1, BLOCK, WIDTH)
+    dkw = ds.transpose(0, 2, 1) @ q
+    g["E"], dk = _by_symbol(seen.ravel(), dxw.reshape(-1, WIDTH), dkw.reshape(-1, KEY))
+    g["E"] += dk @ p["Wk"].T
+    g["Wk"] = E.T @ dk
+    n = max(len(t), 1)
+    for each in g.values():
+        each /= n
+    return float(loss) / n, g
 
 
 def train(texts: list[np.ndarray], steps: int = 200, batch: int = BATCH, rate: float = 2e-2, seed: int = 0) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:

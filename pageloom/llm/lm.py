@@ -25,11 +25,12 @@ are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,6 +222,18 @@ def _round(sent, those: range, steps: int, r: int, goes: int, least: int):
     return run
 
 
+def _rounds_of(one) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """one, a trainer's round, for every trainer of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        whole = pa.Table.from_batches(found) if found else pa.table({"trainer": pa.array([], pa.int64())})
+        for key in sorted(pc.unique(whole["trainer"]).to_pylist()):
+            yield from one((pa.scalar(key),), whole.filter(pc.equal(whole["trainer"], key))).to_batches()
+
+    return run
+
+
 def _mean(table: pa.Table) -> pa.Table:
     n = np.asarray(table["n"]).astype(np.float64)
     total = sum(w * np.frombuffer(x.as_py(), np.float32) for w, x in zip(n / n.sum(), table["state"], strict=True))
@@ -236,7 +249,8 @@ def train(blocks: DataFrame, p: dict, where: tuple, steps: int, trainers: int =
         those = range(steps * r // rounds + 1, steps * (r + 1) // rounds + 1)
         sent = blocks.sparkSession.sparkContext.broadcast((state, where))
         some, goes = (blocks, rounds) if trainers == 1 else (blocks.filter(F.pmod("place", F.lit(rounds)) == r), 1)
-        done = some.groupBy("trainer").applyInArrow(_round(sent, those, steps, r, goes, -(-steps // rounds)), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
+        dealt = some.repartitionById(trainers, F.col("trainer").cast("int"))  # a task for each trainer; hashes would give some tasks several
+        done = dealt.mapInArrow(_rounds_of(_round(sent, those, steps, r, goes, -(-steps // rounds))), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
         state = attention.of_flat(np.frombuffer(b"".join(bytes(x["state"]) for x in sorted(done, key=lambda x: x["piece"])), np.float32), state) if done else state
     return state["p"]
 

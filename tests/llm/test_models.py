@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import random
+import tempfile
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -272,6 +274,56 @@ def test_weights_learn_from_all_blocks(spark, monkeypatch):
         assert {x.tobytes() for x in seen} == {x.tobytes() for x in by_block} and len(seen) <= len(by_block) + 3 * 8
 
 
+def test_nothing_out_of_the_band_has_weight():
+    """Weights that are nearly 0 instead made the gradient's products subnormal, which took most of its time."""
+    rng = np.random.default_rng(5)
+    inputs, targets = rng.integers(1, 500, (2, attention.BLOCK)).astype(np.int32), rng.integers(1, 500, attention.BLOCK).astype(np.int32)
+    inputs[0, 0] = 777  # further back than any query sees
+    p, members = attention.start(rng.integers(1, 900, 9000).astype(np.int32), rng.integers(1, 900, 9000).astype(np.int32))
+    p["W2"] = rng.normal(0, 0.1, p["W2"].shape).astype(np.float32)
+    _, g = attention.gradients(p, attention.places(members), inputs, np.array([False, True]), targets)
+    assert not g["E"][777].any() and g["E"][inputs[0, 1]].any()
+
+
+def test_sums_by_symbol():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 700):
+        symbols, x = rng.integers(0, attention.PAD + 1, n).astype(np.int32), rng.normal(size=(n, 5))
+        want = np.zeros((attention.PAD + 1, 5))
+        np.add.at(want, symbols, x)
+        assert np.allclose(attention._by_symbol(symbols, x)[0], want)
+
+
+def test_each_trainer_has_a_task(spark, monkeypatch):
+    """Dealt by hash, some of these eight trainers shared a task."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(1, 40, 40).astype(np.int32) for _ in range(60)]
+    inputs, queried, targets, _ = attention.blocks_of(texts)
+    packed = np.concatenate([inputs[np.flatnonzero(queried) - 1], inputs[queried][:, :1], targets.reshape(-1, attention.BLOCK)], axis=1).astype(np.int16)
+    rows = [(i % 8, i // 8, b.tobytes()) for i, b in enumerate(packed)]
+    blocks = spark.createDataFrame(rows, "trainer long, place long, block binary")
+    p, members = attention.start(inputs[queried].reshape(-1), targets)
+    folder = tempfile.mkdtemp()
+
+    def one(sent, those, steps, r, goes, least):
+        real = rounds(sent, those, steps, r, goes, least)
+
+        def run(key, table):
+            from pyspark import TaskContext
+
+            open(f"{folder}/{r}-{TaskContext.get().partitionId()}-{key[0].as_py()}", "w").close()
+            return real(key, table)
+
+        return run
+
+    rounds = lm._round
+    monkeypatch.setattr(lm, "_round", one)
+    got = lm.train(blocks, p, attention.places(members), steps=4, trainers=8, rounds=2)
+    assert all(np.isfinite(x).all() and x.shape == p[n].shape for n, x in got.items()) and not np.array_equal(got["E"], p["E"])
+    seen = [name.split("-") for name in os.listdir(folder)]
+    assert len(seen) == 16 and len({(r, task) for r, task, _ in seen}) == 16
+
+
 def test_language_model_without_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
 
