@@ -26,22 +26,25 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import attention, tokens
 from pageloom.llm._util import arrow_batch, id_and_text, materialize, most_counted, read_table, slices
+from pageloom.sources.shared import discard
 
 FOLDS, FOLD = 7, 2
 HELD_WORDS = 450_000
 CHUNK = 8192
 PER_TRAINER, ROUNDS = 5_000_000, 5
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PIECE = 4096  # numbers of a trainer's state that are averaged together
 _LONG = T.LongType()
 COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", _LONG)])
@@ -240,6 +243,17 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([arrow_batch(PIECES, [[table["piece"][0].as_py()], [int(n.sum())], [total.astype(np.float32).tobytes()]])])
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled meanwhile goes from the disks as soon as its query has ended, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def train(blocks: DataFrame, p: dict, where: tuple, steps: int, trainers: int = 1, rounds: int = ROUNDS) -> dict:
     """The weights after steps, or more, of each trainer on its blocks (trainer, place, block), averaged after every round. No
     block is left out."""
@@ -250,7 +264,8 @@ def train(blocks: DataFrame, p: dict, where: tuple, steps: int, trainers: int =
         sent = blocks.sparkSession.sparkContext.broadcast((state, where))
         some, goes = (blocks, rounds) if trainers == 1 else (blocks.filter(F.pmod("place", F.lit(rounds)) == r), 1)
         dealt = some.repartitionById(trainers, F.col("trainer").cast("int"))  # a task for each trainer; hashes would give some tasks several
-        done = dealt.mapInArrow(_rounds_of(_round(sent, those, steps, r, goes, -(-steps // rounds))), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
+        with _shuffles_dropped(blocks.sparkSession):
+            done = dealt.mapInArrow(_rounds_of(_round(sent, those, steps, r, goes, -(-steps // rounds))), PIECES).groupBy("piece").applyInArrow(_mean, PIECES).collect()
         state = attention.of_flat(np.frombuffer(b"".join(bytes(x["state"]) for x in sorted(done, key=lambda x: x["piece"])), np.float32), state) if done else state
     return state["p"]
 
@@ -274,6 +289,7 @@ def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str
         p, members = attention.start_of(flat)
         where = attention.places(members)
         weights = attention.ready(train(gathered.filter("trainer IS NOT NULL").select("trainer", "place", "block"), p, where, steps, trainers))
+        discard(gathered)
     return Model(
         vocabulary,
         {w: i for i, (w, _) in enumerate(sent)},

@@ -52,3 +52,10 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder that materialize wrote for df; nothing may read it afterwards."""
+    files = df.inputFiles()
+    if files:
+        _remove(df.sparkSession, files[0].rsplit("/", 1)[0])

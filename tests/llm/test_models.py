@@ -324,6 +324,21 @@ def test_each_trainer_has_a_task(spark, monkeypatch):
     assert len(seen) == 16 and len({(r, task) for r, task, _ in seen}) == 16
 
 
+def test_trained_blocks_leave_the_disk(spark, monkeypatch):
+    """Each round's shuffle used to stay until the driver collected garbage, the blocks until its end."""
+    rng, seen, made = random.Random(9), [], []
+    docs = [(i, " ".join(rng.choices(some_words(rng, 40), k=90)), "en", "s", 0) for i in range(30)]
+    real, of_flat = lm.materialize, attention.of_flat
+    monkeypatch.setattr(lm, "PER_TRAINER", 2_000)
+    monkeypatch.setattr(lm, "materialize", lambda df, *a: made.append(real(df, *a)) or made[-1])
+    monkeypatch.setattr(attention, "of_flat", lambda *a: seen.append(spark.conf.get(lm.CLEANUP)) or of_flat(*a))
+    assert lm.score_texts(frame(spark, docs), steps=10).count() == 30
+    folders = [df._jdf.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] for df in made]
+    blocks = [f for df, f in zip(made, folders, strict=True) if "block" in df.columns]
+    assert len(blocks) == 1 and not os.path.exists(blocks[0]) and all(os.path.exists(f) for f in folders if f != blocks[0])
+    assert len(seen) == lm.ROUNDS and set(seen) == {"false"}
+
+
 def test_language_model_without_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
 
