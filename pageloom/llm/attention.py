@@ -246,8 +246,10 @@ def _by_symbol(symbols: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 
 def _softmax(x: np.ndarray, chosen: np.ndarray) -> float:
-    """Turns the rows of x into their softmax less one at the chosen place; returns the loss."""
-    x -= x.max(1, keepdims=True)
+    """Turns the rows of x into their softmax less one at the chosen place; returns the loss. A row's greatest value, which is slow
+    to find, is only subtracted if some exponent could leave the range."""
+    if x.size and max(x.max(), -x.min()) > CEILING:
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     at = np.arange(len(x)), chosen

@@ -5,7 +5,8 @@ crc32(doc_id as text) leaves ``fold`` modulo ``folds`` are held out; all others
 
 Baseline: log10((c + 1) / (N + V + 1)) per token with counts over all training texts. Words are counted in the tasks and then
 by word. The ``known_words`` most frequent words at most (a whole range of counts, so that no tie is cut) go to every task
-with their counts; all other words' counts come from a join by word. No word is left out.
+with their counts and ids; all other words' counts come from a join by word. No word is left out. After the counts one pass over
+the texts looks up each word once, for its count and for its ids; only words that were not sent along go through the tokeniser.
 
 Model: a word's subword ids are those of a space and the word, so the ids of a text follow from its words and the ids'
 counts over all training texts from the words' counts. These counts choose the model's symbols and the shares of all other
@@ -24,10 +25,11 @@ are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,10 @@ PIECE = 4096  # numbers of a trainer's state that are averaged together
 _LONG = T.LongType()
 COUNTS = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", _LONG)])
 IDS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("c", _LONG)])
-SCORED = T.StructType(
-    [T.StructField("row", _LONG), T.StructField("doc_id", _LONG), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", _LONG), T.StructField("n_known", _LONG)]
-    + [T.StructField("known", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("word", T.BinaryType())]
-)
-TEXTS = T.StructType([T.StructField("row", _LONG), T.StructField("doc_id", _LONG), T.StructField("text", T.StringType()), T.StructField("held_out", T.BooleanType()), T.StructField("h", _LONG), T.StructField("ids", T.BinaryType())])
+_TEXT = [T.StructField("row", _LONG), T.StructField("doc_id", _LONG), T.StructField("held_out", T.BooleanType())]
+_BASE = [T.StructField("n_words", _LONG), T.StructField("n_known", _LONG), T.StructField("known", T.DoubleType())]
+TEXTS = T.StructType([*_TEXT, *_BASE, T.StructField("h", _LONG), T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType()))])
+SCORED = T.StructType([*_TEXT, *_BASE, T.StructField("score", T.DoubleType())])
 GATHERED = T.StructType([T.StructField("pair", T.IntegerType()), T.StructField("c", _LONG), T.StructField("trainer", _LONG), T.StructField("place", _LONG), T.StructField("block", T.BinaryType())])
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("n", _LONG), T.StructField("state", T.BinaryType())])
 
@@ -75,6 +76,34 @@ def text_ids(each: list[bytes], enc: tokens.Encoder) -> np.ndarray:
     return np.asarray(enc.ids(" " + b" ".join(each).decode("utf-8", "surrogatepass")) if each else [], np.int64)
 
 
+def _pieces(source: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of source that begin at first, one after another."""
+    ends = np.cumsum(sizes)
+    return source[np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def ids_by_word(each: list[bytes], enc: tokens.Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, word after word, and how many each word has. Words for the slow tokeniser don't take others along."""
+    if each and not enc.plain(b" ".join(each).decode("utf-8", "surrogatepass")):
+        odd = np.array([not enc.plain(w.decode("utf-8", "surrogatepass")) for w in each])
+    else:
+        odd = np.zeros(len(each), bool)
+    flat = text_ids([w for w, is_odd in zip(each, odd.tolist(), strict=True) if not is_odd], enc) if odd.any() else text_ids(each, enc)
+    owner = np.cumsum(enc.spaced[flat]) - 1  # a word's first id begins with its space, and no other id does
+    if len(flat) and owner[-1] != len(each) - odd.sum() - 1:
+        odd[:], flat, owner = True, flat[:0], owner[:0]
+    if not odd.any():
+        return flat, np.bincount(owner, minlength=len(each))
+    apart = [word_ids(w, enc) for w, is_odd in zip(each, odd.tolist(), strict=True) if is_odd]
+    sizes = np.zeros(len(each), np.int64)
+    sizes[~odd], sizes[odd] = np.bincount(owner, minlength=int((~odd).sum())), [len(x) for x in apart]
+    first = np.zeros(len(each), np.int64)
+    for those in (~odd, odd):
+        first[those] = np.cumsum(sizes[those]) - sizes[those]
+    first[odd] += len(flat)
+    return _pieces(np.concatenate([flat, *(np.array(x, np.int64) for x in apart)]), first, sizes), sizes
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over the texts of docs; each task sums before the shuffle, in bounded memory."""
 
@@ -101,15 +130,10 @@ def _id_counts(counts: DataFrame, vocabulary: str) -> DataFrame:
         enc, total = tokens.encoder(vocabulary), np.zeros(1 << 16, np.int64)
         for batch in batches:
             each, c = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-            flat = text_ids(each, enc)
-            owner = np.cumsum(enc.spaced[flat]) - 1  # a word's first id begins with its space, and no other id does
-            if len(flat) and owner[-1] != len(each) - 1:
-                apart = [word_ids(w, enc) for w in each]
-                flat, owner = np.concatenate([np.array(x, np.int64) for x in apart]), np.repeat(np.arange(len(each)), [len(x) for x in apart])
+            flat, sizes = ids_by_word(each, enc)
             if len(flat) and flat.max() >= len(total):
                 total = np.concatenate([total, np.zeros(int(flat.max()) + 1 - len(total), np.int64)])
-            weight = c[owner]
-            total += np.bincount(flat, weight, minlength=len(total)).astype(np.int64)
+            total += np.bincount(flat, np.repeat(c, sizes), minlength=len(total)).astype(np.int64)
         seen = np.flatnonzero(total)
         yield arrow_batch(IDS, [seen.astype(np.int32), total[seen]])
 
@@ -126,6 +150,7 @@ class Model:
     symbols: attention.Vocabulary
     weights: dict | None
     places: tuple | None
+    word_ids: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # of the words, in order, as from ids_by_word
 
     def log10_texts(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text's ids and its end."""
@@ -156,14 +181,35 @@ class Model:
         return out
 
 
-def tokenised(rows: DataFrame, vocabulary: str) -> DataFrame:
-    """rows (row, doc_id, text, held_out) with h, a hash of the text, and its ids."""
+def tokenised(rows: DataFrame, vocabulary: str, model: Model | None = None) -> DataFrame:
+    """rows (row, doc_id, text, held_out) with n_words, how many of them are training words that model sends along (n_known) and
+    the sum of their log_counts (known), h, a hash of the text, its ids, and its rare words: all others."""
+    sent = rows.sparkSession.sparkContext.broadcast(model) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocabulary)
+        enc, m = tokens.encoder(vocabulary), sent.value if sent else None
+        numbers_of, (ids, sizes), logs = (m.words, m.word_ids, m.log_counts) if m else ({}, (np.zeros(0, np.int64),) * 2, np.zeros(0))
+        first, sizes, logs = np.append(np.cumsum(sizes) - sizes, 0), np.append(sizes, 0), np.append(logs, 0.0)  # rare words' number is -1
         for part in slices(batches, most_bytes=1 << 20):
-            ids = [text_ids(words(text), enc).astype(np.int32).tobytes() for text in part.column(2).to_pylist()]
-            yield arrow_batch(TEXTS, [*part.columns, ids])
+            each = [words(text) for text in part.column(2).to_pylist()]
+            every, lengths = list(itertools.chain.from_iterable(each)), np.array([len(x) for x in each])
+            numbers = np.fromiter(map(numbers_of.get, every, itertools.repeat(-1)), np.int64, len(every))
+            others = np.flatnonzero(numbers < 0)
+            rare = [every[i] for i in others.tolist()]
+            made, made_sizes = ids_by_word(rare, enc)
+            at, n = first[numbers], sizes[numbers]
+            at[others], n[others] = len(ids) + np.cumsum(made_sizes) - made_sizes, made_sizes
+            flat = _pieces(np.concatenate([ids, made]).astype(np.int32), at, n)
+            owner = np.repeat(np.arange(len(each)), lengths)
+            n_rare = np.bincount(owner[others], minlength=len(each))
+            known = np.bincount(owner, logs[numbers], minlength=len(each))
+            cuts = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(lengths))].tolist()
+            those = np.append(0, np.cumsum(n_rare)).tolist()
+            yield arrow_batch(
+                TEXTS,
+                [part.column(0), part.column(1), part.column(3), lengths, lengths - n_rare, known, part.column(4)]
+                + [[flat[a:b].tobytes() for a, b in itertools.pairwise(cuts)], [rare[a:b] for a, b in itertools.pairwise(those)]],
+            )
 
     return rows.select("row", "doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(run, TEXTS)
 
@@ -270,77 +316,69 @@ def train(blocks: DataFrame, p: dict, where: tuple, steps: int, trainers: int =
     return state["p"]
 
 
-def fit(training: DataFrame, counts: DataFrame, n_training: int, vocabulary: str, known_words: int, sample_ids: int | None, steps: int) -> Model:
-    sent = most_counted(counts, "c", known_words).collect()
-    sent = sorted((bytes(r["word"]), r["c"]) for r in sent)
+def begun(counts: DataFrame, n_training: int, vocabulary: str, known_words: int) -> tuple[Model, float]:
+    """What follows from the words' counts, all but the weights; and the number of training ids, ends included."""
+    sent = sorted((bytes(r["word"]), r["c"]) for r in most_counted(counts, "c", known_words).collect())
     enc = tokens.encoder(vocabulary)
     of_ids = {r["id"]: r["c"] for r in _id_counts(counts, vocabulary).collect()}
     by_id = np.zeros(max(enc.exact.get_vocab_size(), max(of_ids, default=0) + 1))
     by_id[list(of_ids)] = list(of_ids.values())
-    symbols = attention.Vocabulary.of_counts(by_id)
-    weights = where = None
-    if n_training:
-        n_ids = by_id.sum() + n_training
-        trainers = int(-(-n_ids // PER_TRAINER))
-        gathered = materialize(gather(training, symbols, trainers, min(1.0, trainers * sample_ids / n_ids) if sample_ids else 1.0))
-        pairs = gathered.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-        flat = np.zeros((attention.PAD + 1) * (attention.REST + 1), np.int64)
-        flat[np.asarray(pairs["pair"])] = np.asarray(pairs["c"])
-        p, members = attention.start_of(flat)
-        where = attention.places(members)
-        weights = attention.ready(train(gathered.filter("trainer IS NOT NULL").select("trainer", "place", "block"), p, where, steps, trainers))
-        discard(gathered)
-    return Model(
+    model = Model(
         vocabulary,
         {w: i for i, (w, _) in enumerate(sent)},
         np.log10(np.array([c + 1.0 for _, c in sent])),
         float(np.log10(n_training + 1.0)),
         int(n_training > 0),
-        symbols,
-        weights,
-        where,
+        attention.Vocabulary.of_counts(by_id),
+        None,
+        None,
+        ids_by_word([w for w, _ in sent], enc),
     )
+    return model, by_id.sum() + n_training
+
+
+def fit(training: DataFrame, symbols: attention.Vocabulary, n_ids: float, sample_ids: int | None, steps: int) -> tuple[dict, tuple]:
+    """Weights, ready for scoring, and the symbols' places."""
+    trainers = int(-(-n_ids // PER_TRAINER))
+    gathered = materialize(gather(training, symbols, trainers, min(1.0, trainers * sample_ids / n_ids) if sample_ids else 1.0))
+    pairs = gathered.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    flat = np.zeros((attention.PAD + 1) * (attention.REST + 1), np.int64)
+    flat[np.asarray(pairs["pair"])] = np.asarray(pairs["c"])
+    p, members = attention.start_of(flat)
+    where = attention.places(members)
+    weights = attention.ready(train(gathered.filter("trainer IS NOT NULL").select("trainer", "place", "block"), p, where, steps, trainers))
+    discard(gathered)
+    return weights, where
 
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, known_words: int = 150_000, sample_ids: int | None = None, steps: int = 600) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     vocabulary = vocabulary or tokens.default_vocabulary()
-    numbered = id_and_text(docs).withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(tokenised(numbered, vocabulary))
-    training = rows.filter("NOT held_out")
-    counts = materialize(word_counts(training))
-    n_training = training.count()
+    given = materialize(id_and_text(docs).withColumn("held_out", held_out()).withColumn("row", F.monotonically_increasing_id()))
+    counts = materialize(word_counts(given.filter("NOT held_out")))
+    n_training = given.filter("NOT held_out").count()
     stats = counts.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = (stats["c"] or 0) + n_training, stats["v"] + (n_training > 0)
-    model = docs.sparkSession.sparkContext.broadcast(fit(training, counts, n_training, vocabulary, known_words, sample_ids, steps))
+    model, n_ids = begun(counts, n_training, vocabulary, known_words)
+    rows = materialize(tokenised(given, vocabulary, model))
+    weights, where = fit(rows.filter("NOT held_out"), model.symbols, n_ids, sample_ids, steps) if n_training else (None, None)
+    end_log, end_known = model.end_log, model.end_known
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, words={}, log_counts=np.zeros(0), word_ids=(), weights=weights, places=where))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for part in slices(batches, most_bytes=1 << 20):
-            others, other_n, lengths, known_n, known_sum = [], [], [], [], []
-            ids = [np.frombuffer(x, np.int32) for x in part.column(4).to_pylist()]
-            for text in part.column(2).to_pylist():
-                each = words(text)
-                numbers = np.fromiter((m.words.get(w, -1) for w in each), np.int64, len(each))
-                own = numbers[numbers >= 0]
-                lengths.append(len(each) + 1)
-                known_n.append(len(own) + m.end_known)
-                known_sum.append(float(m.log_counts[own].sum()) + m.end_log)
-                others += [each[i] for i in np.flatnonzero(numbers < 0).tolist()]
-                other_n.append(len(each) - len(own))
-            empty = [pa.nulls(part.num_rows, pa.binary())]
-            yield arrow_batch(SCORED, [part.column(0), part.column(1), part.column(3), lengths, known_n, known_sum, m.log10_texts(ids), *empty])
-            if others:
-                blank = [pa.nulls(len(others), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield arrow_batch(SCORED, [np.repeat(np.asarray(part.column(0)), other_n), *blank, others])
-
-    made = materialize(rows.select("row", "doc_id", "text", "held_out", "ids").mapInArrow(run, SCORED))
-    rare = made.filter("word IS NOT NULL").select("row", "word").join(counts, "word", "left")
+        for part in slices(batches, "ids", 1 << 20):
+            ids = [np.frombuffer(x, np.int32) for x in part.column(6).to_pylist()]
+            yield arrow_batch(SCORED, [*part.columns[:6], sent.value.log10_texts(ids)])
+
+    made = materialize(rows.select(*SCORED.names[:6], "ids").mapInArrow(run, SCORED))
+    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rest = rare.groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("others"))
-    whole = made.filter("word IS NULL").drop("word").join(rest, "row", "left")
-    base = F.col("known") + F.coalesce("others", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n_all + v_all + 1))
-    known = F.col("n_known") + F.coalesce("more", F.lit(0))
-    return whole.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    n_tokens = F.col("n_words") + 1
+    base = F.col("known") + end_log + F.coalesce("others", F.lit(0.0)) - n_tokens * float(np.log10(n_all + v_all + 1))
+    known = F.col("n_known") + end_known + F.coalesce("more", F.lit(0))
+    return made.join(rest, "row", "left").select(
+        "doc_id", "held_out", n_tokens.alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    )
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -51,10 +51,12 @@ class Encoder:
         self.spaced = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)  # ids that begin with a space
         self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
+    def plain(self, text: str) -> bool:
+        """Whether tiktoken may read text."""
+        return (text.isascii() or not PLAIN.search(text)) and not any(x in text for x in self.added)
+
     def ids(self, text: str) -> list[int]:
-        if not text.isascii() and PLAIN.search(text) or any(x in text for x in self.added):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self.fast.encode_ordinary(text) if self.plain(text) else self.exact.encode(text, add_special_tokens=False).ids
 
     def array(self, text: str) -> np.ndarray:
         return np.asarray(self.ids(text), dtype=np.uint32)

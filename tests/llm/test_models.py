@@ -285,6 +285,17 @@ def test_nothing_out_of_the_band_has_weight():
     assert not g["E"][777].any() and g["E"][inputs[0, 1]].any()
 
 
+def test_softmax_of_any_size():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (30, 0), (400, 0), (1, 500), (1, -500)):
+        x, chosen = (rng.normal(size=(50, 33)) * scale + shift).astype(np.float32), rng.integers(0, 33, 50)
+        want = np.exp(x.astype(np.float64) - x.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        loss = -np.log(want[np.arange(50), chosen] + 1e-30).sum()
+        want[np.arange(50), chosen] -= 1
+        assert math.isclose(attention._softmax(x, chosen), loss, rel_tol=1e-4) and np.allclose(x, want, atol=1e-5)
+
+
 def test_sums_by_symbol():
     rng = np.random.default_rng(6)
     for n in (0, 1, 700):
@@ -339,6 +350,35 @@ def test_trained_blocks_leave_the_disk(spark, monkeypatch):
     assert len(seen) == lm.ROUNDS and set(seen) == {"false"}
 
 
+@pytest.mark.parametrize("known", [0, 3, 100_000])
+def test_texts_are_read_once(spark, monkeypatch, known):
+    """Scoring used to split every text again and to write a row for each rare word; every word went through the tokeniser."""
+    odd = ["", " ", "日本語 a b", "naïve’s <|endoftext|> don't\x85x", "e\u0301 a\u00a0b", "\u2003 x"]
+    docs, made, real = [(i, t, "en", "s", 0) for i, t in enumerate(["a b b c c c zz"] * 20 + odd * 5)], [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, *a: made.append(real(df, *a)) or made[-1])
+    assert lm.score_texts(frame(spark, docs), known_words=known, steps=2).filter("score < 0").count() == len(docs)
+    assert [df.count() for df in made if "score" in df.columns] == [len(docs)] and sum("text" in df.columns for df in made) == 1
+    rows = {r.doc_id: r for df in made if "ids" in df.columns for r in df.collect()}
+    enc, sent = tokens.encoder(tokens.default_vocabulary()), set()
+    for i, t, *_ in docs:
+        each = lm.words(t)
+        assert np.frombuffer(rows[i].ids, np.int32).tolist() == lm.text_ids(each, enc).tolist()
+        assert rows[i].n_words == len(each) == rows[i].n_known + len(rows[i].rare)
+        sent |= set(each) - {bytes(w) for w in rows[i].rare}
+    assert len(sent) <= known and (b"c" in sent) == (known > 0)
+
+
+def test_slow_words_take_no_others_along(monkeypatch):
+    enc, slow = tokens.Encoder(tokens.default_vocabulary()), []
+    each = lm.words("a 日本 b naïve <|endoftext|> don't 語")
+    want = [enc.exact.encode(" " + w.decode(), add_special_tokens=False).ids for w in each]
+    exact = enc.exact
+    enc.exact = SimpleNamespace(encode=lambda text, **k: slow.append(text) or exact.encode(text, **k))
+    flat, sizes = lm.ids_by_word(each, enc)
+    assert flat.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert slow == [" 日本", " <|endoftext|>", " 語"]
+
+
 def test_language_model_without_rows(spark):
     assert lm.score_texts(frame(spark, [])).count() == 0
 
