@@ -266,9 +266,10 @@ Q15 = """WITH named AS (
 
 
 def q16_crop_order(spark, sf_dir):
-    path = F.concat(F.regexp_replace("url", r"[?#].*\z", ""), F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".tif", ".webp"))), (F.col("page_id") % 4 + 1).cast("int")))
-    files = read(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.when(F.col("url").startswith("https"), 0).otherwise(1).alias("dir_ord"))
-    return readers.ordered_crops(files.filter(text.extension("path").isin(list(schemas.CROP_EXTENSIONS))), tie=["page_id"]).select("page_id", "path", "dir_ord", "ord")
+    suffix = F.when(F.col("page_id").isNotNull(), F.coalesce(F.create_map(*map(F.lit, (0, ".png", 1, ".JPG", 2, ".tif")))[(F.col("page_id") % 4).cast("int")], F.lit(".webp")))
+    path = F.concat(F.regexp_replace("url", r"[?#][^\n]*\z", ""), "suffix")
+    files = read(spark, sf_dir, "pages").withColumn("suffix", suffix).select("page_id", "suffix", path.alias("path"), F.when(F.col("url").startswith("https"), 0).otherwise(1).alias("dir_ord"))
+    return readers.ordered_crops(files.filter(text.extension("suffix").isin(list(schemas.CROP_EXTENSIONS))), tie=["page_id"]).select("page_id", "path", "dir_ord", "ord")
 
 
 Q16 = r"""WITH files AS (

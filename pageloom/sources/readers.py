@@ -43,9 +43,9 @@ def class_of(path: str):
 
 
 def ordered_crops(df: DataFrame, key: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
-    """ord: the place by (dir_ord, path), within a key if one is given; paths compare as text. Files are listed once each; where
+    """ord: the place by (dir_ord, path), within a key if one is given; paths compare as text, missing ones come last. Files are listed once each; where
     paths occur twice, tie names columns that tell them apart."""
-    return numbered(df, key or ["dir_ord"], [F.col("dir_ord"), F.col("path"), *map(F.col, tie or [])], "ord")
+    return numbered(df, key or ["dir_ord"], [F.col("dir_ord"), F.col("path").asc_nulls_last(), *map(F.col, tie or [])], "ord")
 
 
 def literal_annotations(text: str, name: str = "ANN") -> dict[str, list[tuple]]:

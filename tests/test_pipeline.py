@@ -172,6 +172,17 @@ def test_crop_order_of_equal_paths(spark, tmp_path):
     assert got == {1: 1} | {n: n // 4 + 2 for n in range(0, 800, 4)}
 
 
+def test_crop_order_of_odd_pages(spark, tmp_path):
+    """As the query's SQL has it: negative ids, no url, no id, and a carriage return in what is cut off."""
+    pages = [(-1, "https://a/1"), (-2, "https://a/2"), (-3, "https://a/3"), (-4, "https://a/4"), (1, "https://b?x\ry"), (8, "https://f\n?q\nr")]
+    pages += [(0, None), (None, "https://n"), (2, "https://gone"), (3, "http://c# z"), (4, ""), (7, "HTTPS://e")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.dir_ord, r.ord): (r.page_id, r.path) for r in queries.q16_crop_order(spark, str(tmp_path)).collect()}
+    first = [(-1, "https://a/1.webp"), (-2, "https://a/2.webp"), (-3, "https://a/3.webp"), (-4, "https://a/4.png"), (1, "https://b.JPG"), (8, "https://f\n?q\nr.png")]
+    second = [(4, ".png"), (7, "HTTPS://e.webp"), (3, "http://c.webp"), (0, None)]
+    assert got == {(0, i): x for i, x in enumerate(first, 1)} | {(1, i): x for i, x in enumerate(second, 1)}
+
+
 def test_command_lines():
     assert readers.page_arguments(["p.png"]).ocsr is False and Config().recognise_structures is True
     a = readers.dataset_arguments(["--images", "i", "--ann", "a", "--out", "o"])
